@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from wardline.functions.numeric import round_to
 from wardline import dims
 from wardline.functions.text import clean, in_list, pipe_list, truthy
 
@@ -86,7 +87,7 @@ def rowcount_deviation() -> Column:
         F.coalesce(col("avg_rowcount_per_query").cast("double"), F.lit(1.0)), F.lit(1.0)
     )
     ratio = F.coalesce(col("rowcount").cast("double"), F.lit(0.0)) / usual
-    return F.bround(ratio, 4)
+    return round_to(ratio, 4)
 
 
 def exfiltration_dest_score() -> Column:
@@ -132,11 +133,11 @@ def time_sensitivity_risk() -> Column:
 
 def stale_sensitivity_risk() -> Column:
     days = F.coalesce(col("stale_account_days").cast("double"), F.lit(0.0))
-    return F.bround(F.log1p(days) * col(SENSITIVITY), 4)
+    return round_to(F.log1p(days) * col(SENSITIVITY), 4)
 
 
 def volume_dest_compound() -> Column:
-    return F.bround(F.log1p(col("Rowcount_Deviation")) * col("Exfiltration_Dest_Score"), 4)
+    return round_to(F.log1p(col("Rowcount_Deviation")) * col("Exfiltration_Dest_Score"), 4)
 
 
 PROFILE_STAGE = {

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from wardline.functions.numeric import round_to
+
 # Thresholds on the 0-100 risk score and on the raw score.
 BAND_FLOORS = [(80, "critical"), (60, "high"), (40, "elevated")]
 ACTION_CEILINGS = [(-0.3, "Quarantine"), (-0.1, "Investigate")]
@@ -13,7 +15,7 @@ ACTIONS = ["Quarantine", "Investigate", "Monitor"]
 def risk_score(raw: Column) -> Column:
     """Clamp to +-0.5 and map to 0..100, lower raw scores being riskier; half-even rounding."""
     clamped = F.greatest(F.lit(-0.5), F.least(F.lit(0.5), raw.cast("double")))
-    return F.bround((F.lit(0.5) - clamped) * 100).cast("int")
+    return F.rint((F.lit(0.5) - clamped) * 100).cast("int")
 
 
 def risk_band(score: Column) -> Column:

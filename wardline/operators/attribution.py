@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wardline.functions.numeric import round_to
 from wardline.operators.forest import Forest, seeded_sample
 
 TOP = 3
@@ -123,8 +124,8 @@ def explain(flagged: DataFrame, forest: Forest, background: np.ndarray) -> DataF
     entries = [
         F.struct(
             F.lit(f).alias("feature"),
-            F.bround(F.get(F.col("_phi"), F.lit(i)), 6).alias("shap_value"),
-            F.bround(F.col(f).cast("double"), 4).alias("event_value"),
+            round_to(F.get(F.col("_phi"), F.lit(i)), 6).alias("shap_value"),
+            round_to(F.col(f).cast("double"), 4).alias("event_value"),
         )
         for i, f in enumerate(forest.features)
     ]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from wardline.functions.numeric import round_to
 from wardline.operators.quantiles import exact_quantiles
 from wardline.operators.windows import MICROS, micros, previous_values, trailing_count
 
@@ -33,8 +34,8 @@ def daily_rate(logs: DataFrame, days: int = 30) -> DataFrame:
     usual = F.avg("n").over(past)
     return daily.select(
         "user_id", "day", "n",
-        F.bround(usual, 4).alias("usual"),
-        F.bround(F.try_divide(F.col("n"), usual), 4).alias("rate"),
+        round_to(usual, 4).alias("usual"),
+        round_to(F.try_divide(F.col("n"), usual), 4).alias("rate"),
     )
 
 
@@ -69,9 +70,9 @@ def user_deviations(logs: DataFrame, measures: list[str]) -> DataFrame:
     total = sum((F.abs(z(m)) for m in measures[1:]), F.abs(z(measures[0])))
     return joined.select(
         "access_id", "user_id",
-        *[F.bround(z(m), 4).alias(f"z_{m}") for m in measures],
+        *[round_to(z(m), 4).alias(f"z_{m}") for m in measures],
         *[outlier(m).alias(f"outlier_{m}") for m in measures],
-        F.bround(total / len(measures), 4).alias("deviation"),
+        round_to(total / len(measures), 4).alias("deviation"),
     )
 
 
@@ -93,9 +94,9 @@ def first_month_baseline(logs: DataFrame, measure: str, days: int = 30) -> DataF
     later = F.try_divide(F.col("_s1").cast("double"), F.col("later_events").cast("double"))
     return by_user.select(
         "user_id", "baseline_from", "baseline_events", "later_events",
-        F.bround(base, 4).alias("baseline_mean"),
-        F.bround(later, 4).alias("later_mean"),
-        F.bround(F.try_divide(later, base), 4).alias("change"),
+        round_to(base, 4).alias("baseline_mean"),
+        round_to(later, 4).alias("later_mean"),
+        round_to(F.try_divide(later, base), 4).alias("change"),
     )
 
 
@@ -116,7 +117,7 @@ def asset_returns(logs: DataFrame, idle_days: int = 180) -> DataFrame:
         F.col("first.access_id").alias("access_id"),
         "user_id", "data_asset", "day",
         F.col("_pause").isNull().alias("first_time"),
-        F.bround("_pause", 4).alias("idle_days"),
+        round_to("_pause", 4).alias("idle_days"),
     )
 
 
@@ -136,8 +137,8 @@ def seasonal_rate(logs: DataFrame) -> DataFrame:
     usual = F.avg("n").over(Window.partitionBy("user_id", "phase"))
     return daily.select(
         "user_id", "day", "phase", "n",
-        F.bround(usual, 4).alias("expected"),
-        F.bround(F.col("n") / usual, 4).alias("rate"),
+        round_to(usual, 4).alias("expected"),
+        round_to(F.col("n") / usual, 4).alias("rate"),
     )
 
 
@@ -178,8 +179,8 @@ def peer_deviation(logs: DataFrame, measure: str) -> DataFrame:
     z = F.when(F.col("_std") > 0, gap / F.col("_std")).otherwise(0.0)
     return per_user.join(peers, "department").select(
         "department", "user_id", "peers",
-        F.bround("own_mean", 4).alias("own_mean"),
-        F.bround(z, 4).alias("z"),
+        round_to("own_mean", 4).alias("own_mean"),
+        round_to(z, 4).alias("z"),
     )
 
 
@@ -212,7 +213,7 @@ def risk_trend(labelled: DataFrame) -> DataFrame:
     )
     x = _day_number(F.col("day")).cast("double")
     return daily.groupBy("user_id").agg(
-        F.count("*").alias("days"), F.bround(F.regr_slope("risk", x), 6).alias("slope")
+        F.count("*").alias("days"), round_to(F.regr_slope("risk", x), 6).alias("slope")
     )
 
 
@@ -230,7 +231,7 @@ def pauses(logs: DataFrame) -> DataFrame:
     slim = logs.select("access_id", "user_id", "timestamp", F.col("timestamp").alias("_at"))
     before = previous_values(slim, "user_id", "timestamp", "access_id", "_at", 1)
     gap = (micros(F.col("timestamp")) - micros(F.col("prev_1"))) / MICROS
-    return before.select("access_id", "user_id", F.bround(gap, 3).alias("seconds_since_previous"))
+    return before.select("access_id", "user_id", round_to(gap, 3).alias("seconds_since_previous"))
 
 
 def action_sequences(logs: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wardline.functions.numeric import round_to
+
 # Targets and the detection rate that counts as good.
 TARGETS = {"precision": 0.75, "recall": 0.70, "f1_score": 0.72}
 GOOD_RATE = 0.70
@@ -47,9 +49,9 @@ def metrics(df: DataFrame) -> DataFrame:
         F.col("total").alias("total_events"),
         (tp + fp).alias("total_predicted_anomalies"),
         (tp + fn).alias("total_ground_truth_anomalies"),
-        F.bround("_p", 4).alias("precision"),
-        F.bround("_r", 4).alias("recall"),
-        F.bround(f1(F.col("_p"), F.col("_r")), 4).alias("f1_score"),
+        round_to("_p", 4).alias("precision"),
+        round_to("_r", 4).alias("recall"),
+        round_to(f1(F.col("_p"), F.col("_r")), 4).alias("f1_score"),
     )
 
 
@@ -86,9 +88,9 @@ def classification_report(df: DataFrame) -> DataFrame:
     def row(name: str, p: Column, r: Column, f: Column, s: Column) -> Column:
         return F.struct(
             F.lit(name).alias("class"),
-            F.bround(p, 4).alias("precision"),
-            F.bround(r, 4).alias("recall"),
-            F.bround(f, 4).alias("f1_score"),
+            round_to(p, 4).alias("precision"),
+            round_to(r, 4).alias("recall"),
+            round_to(f, 4).alias("f1_score"),
             s.alias("support"),
         )
 
@@ -121,7 +123,7 @@ def detection_by_type(df: DataFrame) -> DataFrame:
         )
         .select(
             "anomaly_type", "detected", "total",
-            F.bround("_rate", 4).alias("rate"),
+            round_to("_rate", 4).alias("rate"),
             (F.col("_rate") >= GOOD_RATE).alias("good"),
         )
     )
@@ -133,9 +135,9 @@ def anomaly_counts(df: DataFrame) -> DataFrame:
     true_n, pred_n = F.count_if("actual"), F.count_if("predicted")
     return df.agg(
         true_n.alias("true_anomalies"),
-        F.bround(ratio(true_n, n), 4).alias("true_share"),
+        round_to(ratio(true_n, n), 4).alias("true_share"),
         pred_n.alias("predicted_anomalies"),
-        F.bround(ratio(pred_n, n), 4).alias("predicted_share"),
+        round_to(ratio(pred_n, n), 4).alias("predicted_share"),
     )
 
 

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wardline.functions.numeric import round_to
 from wardline.functions.text import clean
 from wardline import dims
 from wardline.operators.quantiles import exact_quantiles
@@ -54,7 +55,7 @@ def describe(df: DataFrame, features: list[str]) -> DataFrame:
         .agg(F.first("value"))
         .toDF("feature", "p25", "p50", "p75")
     )
-    r3 = lambda c: F.bround(F.col(c).cast("double"), 3).alias(c)
+    r3 = lambda c: round_to(F.col(c).cast("double"), 3).alias(c)
     return basics.join(quartiles, "feature").select(
         "feature", "count", *[r3(c) for c in ["mean", "std", "min", "p25", "p50", "p75", "max"]]
     )

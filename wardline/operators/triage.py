@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wardline.functions.numeric import fixed, round_to
 from wardline import dims
 from wardline.functions import scoring
 from wardline.operators.attribution import top_features
@@ -50,7 +51,7 @@ def evidence_with_values(top: Column) -> Column:
         top,
         lambda e: F.concat(
             feature_title(e["feature"]), F.lit(" - "), feature_text(e["feature"]),
-            F.lit(" (observed "), F.format_string("%.4f", e["event_value"]), F.lit(")"),
+            F.lit(" (observed "), fixed(e["event_value"], 4), F.lit(")"),
         ),
     )
 
@@ -77,7 +78,7 @@ def narrative(top: Column, score: Column, when: Column) -> Column:
 
 def plain_narrative(top: Column, raw: Column) -> Column:
     """Rule-based text that needs the score and, if there is one, the main factor."""
-    shown = F.format_string("%.4f", raw)
+    shown = fixed(raw, 4)
     first = F.get(top, F.lit(0))["feature"]
     explained = F.concat(
         F.lit("Anomalous event with raw score "), shown, F.lit(". Main factor: "),
@@ -113,7 +114,7 @@ def assemble_alerts(explained: DataFrame, logs: DataFrame, labels: DataFrame) ->
         "data_sensitivity",
         "query_type",
         "destination",
-        F.bround("anomaly_score", 6).alias("anomaly_score"),
+        round_to("anomaly_score", 6).alias("anomaly_score"),
         "risk_score",
         (F.col("prediction") == -1).alias("is_anomaly_predicted"),
         "prediction",

@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from wardline.functions.numeric import round_to
 from wardline.functions.text import content_hash
 from wardline.operators.forest import Forest
 from wardline.operators.windows import trailing_count
@@ -114,7 +115,7 @@ def evaluated(scored: DataFrame) -> DataFrame:
         "access_id",
         "user_id",
         (F.col("prediction") == -1).alias("is_anomaly"),
-        F.bround("anomaly_score", 6).alias("anomaly_score"),
+        round_to("anomaly_score", 6).alias("anomaly_score"),
         "prediction",
         F.current_timestamp().alias("analyzed_at"),
     )
