@@ -104,8 +104,7 @@ def global_importance(q: Inputs):
     """Importance over a seeded sample of events against 100 background rows."""
     sample = forest.seeded_sample(q.trained.enriched, "access_id", 500, seed=1)
     reference = attribution.background_rows(q.trained.enriched, q.trained.model, "access_id", 100)
-    spread = sample.repartition("access_id")
-    return attribution.global_importance(attribution.explain(spread, q.trained.model, reference))
+    return attribution.global_importance(attribution.explain(sample, q.trained.model, reference))
 
 
 @query("m9_evaluate_events")

@@ -54,14 +54,23 @@ def leaf_table(model: dict) -> dict:
 
 def met_bits(z: np.ndarray, leaves: dict) -> np.ndarray:
     """For each row and leaf, a bit mask of the path features whose interval the row lies in."""
-    out = np.zeros((len(z), len(leaves["value"])), dtype=np.uint32)
+    kind = np.uint8 if leaves["width"] <= 8 else np.uint32
+    out = np.zeros((len(z), len(leaves["value"])), dtype=kind)
     for j in range(leaves["width"]):
         v = z[:, leaves["feature"][:, j]]
         met = (v > leaves["low"][:, j]) & (v <= leaves["high"][:, j])
-        out |= met.astype(np.uint32) << np.uint32(j)
+        out |= met.astype(kind) << kind(j)
     return out
 
 
+def background_masks(met: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (leaf, mask) pairs over the background rows, each with its share of the rows."""
+    leaf = np.broadcast_to(np.arange(met.shape[1], dtype=np.int64), met.shape)
+    keys, counts = np.unique((leaf << 32) | met.astype(np.int64), return_counts=True)
+    masks = (keys & 0xFFFFFFFF).astype(met.dtype)
+    return keys >> 32, masks, counts / len(met)
+
+
 def shapley_weights(width: int) -> np.ndarray:
     """weights[a, b] = (a-1)! b! / (a+b)!, zero for a = 0."""
     f = [math.factorial(i) for i in range(2 * width + 2)]
@@ -70,26 +79,27 @@ def shapley_weights(width: int) -> np.ndarray:
     )
 
 
-def attribute_rows(z: np.ndarray, background: np.ndarray, leaves: dict) -> np.ndarray:
-    """Attributions of standardised rows against the bit masks of the background."""
+def attribute_rows(z: np.ndarray, background: tuple, leaves: dict) -> np.ndarray:
+    """Attributions of standardised rows against the distinct leaf masks of the background."""
+    leaf_of, mask_of, share_of = background
     width, n_features = leaves["width"], z.shape[1]
-    full = np.uint32((1 << width) - 1)
+    kind = mask_of.dtype.type
+    full, bits = kind((1 << width) - 1), np.arange(width, dtype=kind)
     weights = shapley_weights(width)
-    bits = np.arange(width, dtype=np.uint32)
+    set_bits = np.array([bin(m).count("1") for m in range(1 << width)], dtype=np.int64)
     out = np.zeros((len(z), n_features))
     for i in range(len(z)):
-        mine = met_bits(z[i : i + 1], leaves)[0]
-        _, leaf = np.nonzero((background | mine) == full)
-        theirs = background[(background | mine) == full]
-        only_mine = ((mine[leaf] & ~theirs)[:, None] >> bits) & 1
-        only_theirs = ((theirs & ~mine[leaf])[:, None] >> bits) & 1
-        a, b = only_mine.sum(axis=1), only_theirs.sum(axis=1)
-        value = leaves["value"][leaf]
-        gain = (weights[a, b] * value)[:, None] * only_mine
-        loss = (weights[b, a] * value)[:, None] * only_theirs
-        features = leaves["feature"][leaf]
-        out[i] = np.bincount(features.ravel(), (gain - loss).ravel(), n_features)
-    return out / len(background)
+        mine = met_bits(z[i : i + 1], leaves)[0].take(leaf_of)
+        covered = np.flatnonzero((mine | mask_of) == full)
+        leaf, x, b = leaf_of[covered], mine[covered], mask_of[covered]
+        only_x, only_b = x & ~b, b & ~x
+        n_x, n_b = set_bits[only_x], set_bits[only_b]
+        value = leaves["value"][leaf] * share_of[covered]
+        gain, loss = weights[n_x, n_b] * value, weights[n_b, n_x] * value
+        for j in range(width):
+            step = gain * ((only_x >> bits[j]) & 1) - loss * ((only_b >> bits[j]) & 1)
+            out[i] += np.bincount(leaves["feature"][leaf, j], step, n_features)
+    return out
 
 
 def background_rows(df: DataFrame, forest: Forest, id_col: str, n: int) -> np.ndarray:
@@ -102,8 +112,8 @@ def attribution(forest: Forest, background: np.ndarray) -> Column:
     """array<double>, one value per feature in model order."""
     model = forest.arrays()
     leaves = leaf_table(model)
-    met = met_bits((background - model["mean"]) / model["std"], leaves)
-    shared = forest.spark.sparkContext.broadcast((model["mean"], model["std"], leaves, met))
+    masks = background_masks(met_bits((background - model["mean"]) / model["std"], leaves))
+    shared = forest.spark.sparkContext.broadcast((model["mean"], model["std"], leaves, masks))
 
     @F.pandas_udf("array<double>")
     def attribute(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -118,9 +128,12 @@ def attribution(forest: Forest, background: np.ndarray) -> Column:
 def explain(flagged: DataFrame, forest: Forest, background: np.ndarray) -> DataFrame:
     """Add ``attribution``: (feature, shap_value, event_value) for every feature, model order.
 
-    Filter and limit before calling this: neither is pushed through an Arrow stage.
+    Filter and limit before calling this: neither is pushed through an Arrow stage. Few rows cost
+    much work here, so they are spread over all cores by a fixed partition count, which adaptive
+    execution does not merge again.
     """
-    values = flagged.withColumn("_phi", attribution(forest, background))
+    cores = forest.spark.sparkContext.defaultParallelism
+    values = flagged.repartition(cores, "access_id").withColumn("_phi", attribution(forest, background))
     entries = [
         F.struct(
             F.lit(f).alias("feature"),

@@ -13,8 +13,7 @@ def explained_anomalies(trained: Trained, limit: int, background: int = BACKGROU
     """The ``limit`` most anomalous events with their attributions."""
     top = most_anomalous(trained.scored(), limit)
     reference = background_rows(trained.enriched, trained.model, "access_id", background)
-    # the ranked rows arrive in one partition; spread them before the costly stage
-    return explain(top.repartition("access_id"), trained.model, reference)
+    return explain(top, trained.model, reference)
 
 
 def flagged_events(trained: Trained, logs: DataFrame, labels: DataFrame, limit: int = 50) -> DataFrame:
