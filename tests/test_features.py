@@ -145,6 +145,14 @@ def test_first_per_key_and_duplicates(spark):
     assert [tuple(r) for r in joins.duplicate_keys(df, ["k"]).collect()] == [(1, 3)]
 
 
+def test_salted_join_equals_plain_join(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}", i * 1.0) for i in range(300)], "id int, k string, v double")
+    stats = rows.groupBy("k").agg(F.count("*").alias("n"), F.avg("v").alias("m"))
+    plain = rows.join(stats, "k")
+    salted = joins.join_statistics(rows, stats, ["k"], "n", ["id"], rows_per_salt=30)
+    assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, plain.collect()))
+
+
 def plan_text(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 

@@ -23,7 +23,7 @@ def table(spark):
 
 @pytest.fixture(scope="module")
 def model(table):
-    return fo.fit_forest(table, "access_id", FEATURES, trees=40, contamination=0.05)
+    return fo.fit_forest(table, "access_id", FEATURES, trees=40, contamination=0.05)[0]
 
 
 def test_average_path():
@@ -56,7 +56,7 @@ def test_pool_path_draws_full_samples(spark, monkeypatch):
 
 
 def test_forest_does_not_depend_on_partitioning(table, model):
-    again = fo.fit_forest(table.repartition(5), "access_id", FEATURES, trees=40, contamination=0.05)
+    again, _ = fo.fit_forest(table.repartition(5), "access_id", FEATURES, trees=40, contamination=0.05)
     assert again.nodes.sort_values(["tree", "node"]).drop(columns=["threshold", "path"]).values.tolist() == \
         model.nodes.sort_values(["tree", "node"]).drop(columns=["threshold", "path"]).values.tolist()
     assert again.offset == pytest.approx(model.offset, rel=1e-9)
@@ -86,6 +86,7 @@ def test_store_round_trip(spark, table, model, tmp_path):
     save_forest(model, str(tmp_path / "v1"))
     again = load_forest(spark, str(tmp_path / "v1"))
     row = fo.agreement(model.score(table), again.score(table)).head()
+    assert fo.version_agreement(table, model, again).head() == row
     assert row["match_rate"] == 1.0 and row["compared"] == 3030
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         save_forest(model, str(tmp_path / "v1"))
@@ -93,7 +94,8 @@ def test_store_round_trip(spark, table, model, tmp_path):
 
 def test_tiny_and_empty_tables(spark):
     tiny = spark.createDataFrame([(1, 1.0, 2.0)], "access_id long, a double, b double")
-    model = fo.fit_forest(tiny, "access_id", ["a", "b"], trees=3)
+    model, raw = fo.fit_forest(tiny, "access_id", ["a", "b"], trees=3)
+    assert model.judge(raw).head()["prediction"] == 1
     assert model.score(tiny).head()["prediction"] == 1
     with pytest.raises(ValueError, match="empty"):
         fo.fit_forest(tiny.where("a > 5"), "access_id", ["a", "b"], trees=3)

@@ -36,11 +36,12 @@ def test_bracket_is_refined(spark, monkeypatch):
     check(spark, [float(v) for v in values])
 
 
-def test_grouped(spark):
+@pytest.mark.parametrize("salt", [None, 50])
+def test_grouped(spark, salt):
     rng = np.random.default_rng(1)
     rows = [("hot" if i % 3 == 0 else f"k{i % 7}", float(v), float(-v)) for i, v in enumerate(rng.normal(size=900))]
     df = spark.createDataFrame(rows, "k string, x double, y double")
-    got = exact_quantiles(df, ["x", "y"], [0.25, 0.75], ["k"]).collect()
+    got = exact_quantiles(df, ["x", "y"], [0.25, 0.75], ["k"], salt).collect()
     assert len(got) == 8 * 2 * 2
     for r in got:
         column = [row[1 if r["feature"] == "x" else 2] for row in rows if row[0] == r["k"]]

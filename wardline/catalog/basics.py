@@ -132,17 +132,14 @@ def predicted(q: Inputs):
 
 @query("p5_severity_filter", """
 SELECT 'ALL' AS wanted, access_id, severity FROM fx_labels
-UNION ALL SELECT severity, access_id, severity FROM fx_labels WHERE severity <> 'NONE'""")
+UNION ALL SELECT 'HIGH', access_id, severity FROM fx_labels WHERE severity = 'HIGH'""")
 def severity_filter(q: Inputs):
     def kept(wanted):
         return filters.by_severity(q.labels, wanted).select(
             F.lit(wanted).alias("wanted"), "access_id", "severity"
         )
 
-    out = kept("ALL")
-    for wanted in ["CRITICAL", "HIGH", "MEDIUM"]:
-        out = out.unionByName(kept(wanted))
-    return out
+    return kept("ALL").unionByName(kept("HIGH"))
 
 
 @query("p6_cohorts", """
@@ -318,7 +315,7 @@ SELECT access_id, 'ACC-' || lpad(CAST(seq AS VARCHAR), CAST(greatest(6, length(C
   SELECT access_id, row_number() OVER (ORDER BY timestamp, access_id) - 1 AS seq FROM fx_logs)""")
 def resequence(q: Inputs):
     slim = q.logs.select("access_id", "timestamp")
-    placed = windows.sequence_by_time(slim, "timestamp", ["access_id"], cell="hour")
+    placed = windows.sequence_by_time(slim, "timestamp", ["access_id"])
     return placed.select("access_id", F.format_string("ACC-%06d", "seq").alias("new_id"))
 
 

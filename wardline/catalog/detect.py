@@ -12,7 +12,6 @@ from wardline.plans import alerts as alert_plan, train as train_plan
 from wardline.schemas import FEATURES
 from wardline.session import fresh_path
 from wardline.sources import model_store, sample_views as views, writers
-from wardline.sources.readers import feature_matrix
 from wardline.streaming import ingest, jobs
 
 col = F.col
@@ -75,10 +74,9 @@ def model_metrics(q: Inputs):
 @query("m6_version_agreement")
 def version_agreement(q: Inputs):
     """A second version with another seed against the first."""
-    other = forest.fit_forest(
-        feature_matrix(q.trained.enriched), "access_id", FEATURES, trees=50, seed=7
-    )
-    return forest.agreement(q.trained.scored(), other.score(q.trained.enriched))
+    table = q.trained.enriched
+    other, _ = forest.fit_forest(table, "access_id", FEATURES, trees=50, seed=7)
+    return forest.version_agreement(table, q.trained.model, other)
 
 
 @query("s8_model_store")
@@ -87,7 +85,7 @@ def stored_model(q: Inputs):
     path = fresh_path(q.spark, "model")
     model_store.save_forest(q.trained.model, path)
     reloaded = model_store.load_forest(q.spark, path)
-    return forest.agreement(q.trained.scored(), reloaded.score(q.trained.enriched))
+    return forest.version_agreement(q.trained.enriched, q.trained.model, reloaded)
 
 
 # --- attribution -------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardline.functions.numeric import round_to
+from wardline.operators.joins import join_statistics
 from wardline.operators.quantiles import exact_quantiles
 from wardline.operators.windows import MICROS, micros, previous_values, trailing_count
 
@@ -39,16 +40,19 @@ def daily_rate(logs: DataFrame, days: int = 30) -> DataFrame:
     )
 
 
-def user_deviations(logs: DataFrame, measures: list[str]) -> DataFrame:
+def user_deviations(
+    logs: DataFrame, measures: list[str], rows_per_salt: int | None = None
+) -> DataFrame:
     """Per event: z-score of each measure for its user, IQR outlier marks, mean |z|.
 
     Means, deviations and quartiles are per-user aggregates joined back to the events.
     """
     stats = logs.groupBy("user_id").agg(
+        F.count("*").alias("_rows"),
         *[F.avg(m).alias(f"_{m}_mean") for m in measures],
         *[F.stddev_pop(m).alias(f"_{m}_std") for m in measures],
     )
-    quartiles = exact_quantiles(logs, measures, [0.25, 0.75], ["user_id"])
+    quartiles = exact_quantiles(logs, measures, [0.25, 0.75], ["user_id"], rows_per_salt)
     fences = quartiles.groupBy("user_id").agg(
         *[
             F.max(F.when((F.col("feature") == m) & (F.col("q") == q), F.col("value"))).alias(f"_{m}_{tag}")
@@ -56,7 +60,9 @@ def user_deviations(logs: DataFrame, measures: list[str]) -> DataFrame:
             for q, tag in [(0.25, "q1"), (0.75, "q3")]
         ]
     )
-    joined = logs.select("access_id", "user_id", *measures).join(stats, "user_id").join(fences, "user_id")
+    both = stats.join(fences, "user_id")
+    slim = logs.select("access_id", "user_id", *measures)
+    joined = join_statistics(slim, both, ["user_id"], "_rows", ["access_id"], rows_per_salt)
 
     def z(m: str) -> Column:
         gap = F.col(m) - F.col(f"_{m}_mean")

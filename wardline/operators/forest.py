@@ -212,8 +212,13 @@ class Forest:
 
     def score(self, df: DataFrame) -> DataFrame:
         """Add ``anomaly_score`` (offset applied) and ``prediction`` (-1 anomaly, 1 normal)."""
-        scored = df.withColumn("anomaly_score", self.raw_score() - F.lit(self.offset))
-        return scored.withColumn("prediction", prediction(F.col("anomaly_score")))
+        return self.judge(df.withColumn("raw", self.raw_score()))
+
+    def judge(self, scored: DataFrame) -> DataFrame:
+        """Score and prediction from a stored ``raw`` column."""
+        score = F.col("raw") - F.lit(self.offset)
+        judged = scored.withColumn("anomaly_score", score).drop("raw")
+        return judged.withColumn("prediction", prediction(F.col("anomaly_score")))
 
 
 def prediction(score: Column) -> Column:
@@ -248,8 +253,12 @@ def fit_forest(
     subsample: int = SUBSAMPLE,
     contamination: float = CONTAMINATION,
     seed: int = SEED,
-) -> Forest:
-    """Fit scaler, trees and threshold. ``df`` should be a stored table: it is read three times."""
+) -> tuple[Forest, DataFrame]:
+    """Fit scaler, trees and threshold. ``df`` should be a stored table: it is read three times.
+
+    Returns the model and ``df`` stored again with its ``raw`` scores, so that the training table
+    is scored once.
+    """
     spark = df.sparkSession
     scaler = fit_scaler(df, features).collect()  # one row per feature
     total = scaler[0]["n"]
@@ -260,17 +269,27 @@ def fit_forest(
     samples = tree_samples(z, id_col, total, trees, size, seed)
     nodes = fit_trees(samples, features, size, seed).toPandas()  # at most trees x (2 size - 1) rows
     model = Forest(spark, features, scaler, nodes, size, 0.0, seed)
-    raw = materialize(df.select(model.raw_score().alias("raw")), "training_scores")
+    raw = materialize(df.withColumn("raw", model.raw_score()), "training_scores")
     model.offset = exact_quantile(raw, "raw", contamination)
-    return model
+    return model, raw
 
 
 def agreement(left: DataFrame, right: DataFrame) -> DataFrame:
     """Share of events on which two sets of predictions agree."""
     other = right.select("access_id", F.col("prediction").alias("_other"))
-    joined = left.select("access_id", "prediction").join(other, "access_id")
-    return joined.agg(
+    return _match_rate(left.select("access_id", "prediction").join(other, "access_id"))
+
+
+def version_agreement(df: DataFrame, one: Forest, other: Forest) -> DataFrame:
+    """Agreement of two model versions on the same events: one pass, no join."""
+    first = one.score(df).withColumnRenamed("prediction", "_other").drop("anomaly_score")
+    return _match_rate(other.score(first))
+
+
+def _match_rate(df: DataFrame) -> DataFrame:
+    same = F.col("prediction") == F.col("_other")
+    return df.agg(
         F.count("*").alias("compared"),
-        F.count_if(F.col("prediction") == F.col("_other")).alias("equal"),
-        F.avg((F.col("prediction") == F.col("_other")).cast("double")).alias("match_rate"),
+        F.count_if(same).alias("equal"),
+        F.avg(same.cast("double")).alias("match_rate"),
     )

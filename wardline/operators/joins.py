@@ -1,7 +1,8 @@
-"""Joins of events with profiles, labels, context and dimensions.
+"""Joins of events with profiles, labels, context, dimensions and per-key statistics.
 
-No join carries a broadcast hint: Catalyst broadcasts a side whose measured size is below its
-threshold, and for larger sides adaptive execution splits skewed keys of the sort-merge join.
+A side is broadcast only when the size of its tables has been checked. Otherwise it is a
+sort-merge join, whose skewed partitions adaptive execution splits; joins that feed an aggregation
+on the same key, where it cannot do that, are salted by ``join_statistics``.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from wardline import dims
 from wardline.functions import features as fx
+from wardline.session import broadcast_if_small, input_bytes
 
 PROFILE_CLASHES = ["username", "email", "department"]
 
@@ -33,12 +35,12 @@ def without_clashes(profiles: DataFrame) -> DataFrame:
 
 def attach_profiles(logs: DataFrame, profiles: DataFrame) -> DataFrame:
     """Every event, with its user's profile where there is one. ``profiles`` has one row per user."""
-    return logs.join(without_clashes(profiles), "user_id", "left")
+    return logs.join(broadcast_if_small(without_clashes(profiles)), "user_id", "left")
 
 
 def orphan_events(logs: DataFrame, profiles: DataFrame) -> DataFrame:
     """Events whose user has no profile."""
-    return logs.join(profiles.select("user_id"), "user_id", "left_anti")
+    return logs.join(broadcast_if_small(profiles.select("user_id")), "user_id", "left_anti")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -53,6 +55,41 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     return picked.select(*df.columns)
 
 
+SALT_CHECK_BYTES = 8 << 30
+ROWS_PER_SALT = 5_000_000
+
+
+def join_statistics(
+    rows: DataFrame,
+    stats: DataFrame,
+    keys: list[str],
+    count: str,
+    spread: list[str],
+    rows_per_salt: int | None = None,
+) -> DataFrame:
+    """Inner join of rows with one row of statistics per key, safe for keys with very many rows.
+
+    ``count`` names the column of ``stats`` with the key's number of rows. A key with more than
+    ``rows_per_salt`` rows is split: its statistics are repeated once per part, and its rows are
+    dealt to the parts by a hash of the ``spread`` columns. At most rows / rows_per_salt keys are
+    split, which bounds the broadcast list of them. Small inputs are joined directly.
+    """
+    if rows_per_salt is None:
+        if input_bytes(rows) <= SALT_CHECK_BYTES:
+            return rows.join(stats, keys)
+        rows_per_salt = ROWS_PER_SALT
+    parts = F.ceil(F.col(count) / rows_per_salt).cast("int")
+    split = stats.where(F.col(count) > rows_per_salt).select(*keys, parts.alias("_parts"))
+    dealt = F.pmod(F.xxhash64(*spread), F.col("_parts")).cast("int")
+    salted = rows.join(F.broadcast(split), keys, "left").withColumn(
+        "_salt", F.coalesce(dealt, F.lit(0))
+    )
+    repeated = stats.withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))
+    )
+    return salted.drop("_parts").join(repeated, [*keys, "_salt"]).drop("_salt")
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("copies")).where("copies > 1")
 

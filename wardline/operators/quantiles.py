@@ -9,12 +9,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from wardline.operators.joins import join_statistics
+
 ACCURACY = 20_000
 SLACK = 4 / ACCURACY
 
 
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], keys: list[str] | None = None
+    df: DataFrame,
+    columns: list[str],
+    probs: list[float],
+    keys: list[str] | None = None,
+    rows_per_salt: int | None = None,
 ) -> DataFrame:
     """One row per (keys, feature, q) with ``value``: linear interpolation between neighbours.
 
@@ -28,8 +34,8 @@ def exact_quantiles(
         F.percentile_approx(c, edges, ACCURACY).alias(f"_edges_{i}") for i, c in enumerate(columns)
     ]
     if keys:
-        brackets = src.groupBy(*keys).agg(*sketches)
-        rows = src.join(brackets, keys)
+        brackets = src.groupBy(*keys).agg(F.count("*").alias("_rows"), *sketches)
+        rows = join_statistics(src, brackets, keys, "_rows", columns, rows_per_salt)
         edge = lambda i, j: F.get(F.col(f"_edges_{i}"), F.lit(j))
     else:
         found = src.agg(*sketches).head()

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wardline.session import input_bytes
+from wardline.session import input_bytes, materialize
 
 MICROS = 1_000_000
 
@@ -128,29 +128,35 @@ def sequence_by_time(
     ts: str,
     tiebreak: list[str],
     out: str = "seq",
-    cell: str = "minute",
     restart: str | None = None,
 ) -> DataFrame:
-    """Positions 0..n-1 in time order without sorting everything in one task.
+    """Positions 0..n-1 in time order; ``restart`` ("day", "month", ...) begins anew per period.
 
-    Rows are ranked inside each time cell; the counts of the earlier cells (one small row per
-    cell) give the offset. ``restart`` ("day", "month", ...) begins anew in each such period.
+    A distributed sort cuts the rows into ranges of about equal size, whatever the times look
+    like. The sorted rows are stored once with their range and place in it, so that a repeated
+    task cannot number them differently; the sizes of the earlier ranges give the offset. Only one
+    small row per range (and per period) is ever collected in a window or joined.
     """
-    cut = F.date_trunc(cell, F.col(ts).cast("timestamp"))
-    cells = df.withColumn("_cell", cut)
-    sizes = cells.groupBy("_cell").agg(F.count("*").alias("_n"))
-    # One row per minute: the only window without keys, bounded by the calendar, not by the data.
-    period = [F.date_trunc(restart, "_cell")] if restart else []
-    earlier = Window.partitionBy(*period).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        F.col("_cell").alias("_c"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")
-    )
-    rank = F.row_number().over(Window.partitionBy("_cell").orderBy(ts, *tiebreak))
-    ranked = cells.withColumn("_rank", rank)
-    placed = ranked.join(offsets, ranked["_cell"].eqNullSafe(offsets["_c"]))
-    return placed.withColumn(out, F.col("_rank") - 1 + F.col("_offset")).drop(
-        "_cell", "_c", "_rank", "_offset"
-    )
+    ranges = df.repartitionByRange(F.col(ts).asc_nulls_first(), *tiebreak)
+    placed = ranges.sortWithinPartitions(F.col(ts).asc_nulls_first(), *tiebreak)
+    ident = F.monotonically_increasing_id()  # range number in the high bits, place in the low 33
+    stored = materialize(placed.withColumn("_ident", ident), "sequence")
+    part = F.shiftright("_ident", 33)
+    stored = stored.withColumns({"_part": part, "_place": F.col("_ident") - F.shiftleft(part, 33)})
+
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = stored.groupBy("_part").agg(F.count("*").alias("_n"))
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    numbered = stored.join(F.broadcast(offsets), "_part")
+    seq = F.col("_place") + F.col("_offset")
+    if restart:
+        period = F.date_trunc(restart, F.col(ts).cast("timestamp"))
+        numbered = numbered.withColumns({"_period": period, "_seq": seq})
+        starts = numbered.groupBy(F.col("_period").alias("_p")).agg(F.min("_seq").alias("_start"))
+        same = F.col("_period").eqNullSafe(F.col("_p"))
+        numbered = numbered.join(F.broadcast(starts), same).drop("_p")
+        seq = F.col("_seq") - F.col("_start")
+    return numbered.select(*df.columns, seq.alias(out))
 
 
 def previous_values(

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from wardline.operators.attribution import BACKGROUND, background_rows, explain
 from wardline.operators.triage import assemble_alerts, most_anomalous
 from wardline.plans.train import Trained
+from wardline.session import materialize
 
 
 def explained_anomalies(trained: Trained, limit: int, background: int = BACKGROUND) -> DataFrame:
@@ -17,4 +18,12 @@ def explained_anomalies(trained: Trained, limit: int, background: int = BACKGROU
 
 
 def flagged_events(trained: Trained, logs: DataFrame, labels: DataFrame, limit: int = 50) -> DataFrame:
-    return assemble_alerts(explained_anomalies(trained, limit), logs, labels)
+    """Alerts with context and ground truth.
+
+    The explained rows are stored first: a table of ``limit`` rows. Logs and labels are then cut
+    to those ids by a semi-join that scans them in place, before the outer joins of the assembly.
+    """
+    explained = materialize(explained_anomalies(trained, limit), "explained")
+    ids = F.broadcast(explained.select("access_id"))
+    cut = lambda df: df.join(ids, "access_id", "left_semi")
+    return assemble_alerts(explained, cut(logs), cut(labels))

@@ -17,19 +17,24 @@ from wardline.sources.readers import feature_matrix
 
 @dataclass
 class Trained:
-    """A model with the stored feature table it was fitted on."""
+    """A model with the stored feature table it was fitted on, raw scores included."""
 
     model: Forest
-    enriched: DataFrame
+    table: DataFrame
+
+    @property
+    def enriched(self) -> DataFrame:
+        return self.table.drop("raw")
 
     def scored(self) -> DataFrame:
-        return self.model.score(self.enriched)
+        """The training events with score and prediction, read from the stored scores."""
+        return self.model.judge(self.table)
 
 
 def train(logs: DataFrame, profiles: DataFrame, reference_date: str, **params) -> Trained:
-    """Enrich, store the feature table, fit. Everything after reads the stored table."""
+    """Enrich, store the feature table, fit. Everything after reads stored tables."""
     enriched = materialize(enrich(logs, profiles, reference_date), "enriched")
-    return Trained(fit_forest(feature_matrix(enriched), "access_id", FEATURES, **params), enriched)
+    return Trained(*fit_forest(feature_matrix(enriched), "access_id", FEATURES, **params))
 
 
 def retrain(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def build_session(app: str = "wardline", master: str | None = None, **conf: str) -> SparkSession:
@@ -57,6 +57,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast when the tables behind ``df`` are at most ``limit`` bytes on disk.
+
+    Above that the join is planned without a hint: a sort-merge join whose skewed partitions
+    adaptive execution splits.
+    """
+    return F.broadcast(df) if input_bytes(df) <= limit else df
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the tables a DataFrame reads, after file pruning; no job is run."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -32,24 +31,24 @@ def score_stream(
     model: Forest | None = None,
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Enrich (and score) micro-batches into ``out``, partitioned by batch.
+    """Enrich (and score) micro-batches into ``out``, partitioned by day and batch.
 
     The trailing count needs the hour before the batch. It is read back from what earlier batches
-    wrote, pruned by date, so no state grows with the number of users. A batch that is run again
-    replaces its own folder, which makes the sink exactly-once. An event that arrives late counts
-    the events known by then; events already written are not revised.
+    wrote, and only from the days the batch touches, so neither state nor file listings grow with
+    the age of the stream. A batch that is run again replaces its own partitions, which makes the
+    sink exactly-once. An event that arrives late counts the events known by then; events already
+    written are not revised.
     """
     features = stateless_features(stream, profiles, reference_date)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         batch = batch.persist()
         try:
-            first = batch.agg(F.min("timestamp").alias("t")).head()["t"]
-            if first is None:
+            days = _days_touched(batch)
+            if not days:
                 return
             own = batch.select(*IDS).withColumn("_new", F.lit(True))
-            earlier = _written_since(spark, out, first - timedelta(seconds=VELOCITY_SECONDS), batch_id)
+            earlier = _written_on(batch.sparkSession, out, days, batch_id)
             seen = own if earlier is None else own.unionByName(earlier.withColumn("_new", F.lit(False)))
             counted = trailing_count(
                 seen, seen.select("user_id", "timestamp"), "user_id", "timestamp", "access_id",
@@ -58,8 +57,11 @@ def score_stream(
             done = finish(batch.join(counted.select("access_id", VELOCITY), "access_id"))
             if model is not None:
                 done = model.score(done)
-            dated = done.withColumn("event_date", F.to_date("timestamp"))
-            dated.write.mode("overwrite").partitionBy("event_date").parquet(f"{out}/batch_id={batch_id}")
+            placed = done.withColumns(
+                {"event_date": F.to_date("timestamp"), "batch_id": F.lit(batch_id)}
+            )
+            writer = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer.partitionBy("event_date", "batch_id").parquet(out)
         finally:
             batch.unpersist()
 
@@ -67,16 +69,25 @@ def score_stream(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def _written_since(spark, out: str, since, batch_id: int) -> DataFrame | None:
-    """Ids of stored events from ``since`` on, without those of the batch itself."""
-    if batch_id == 0:
-        return None
-    stored = spark.read.option("basePath", out).parquet(out)
-    return stored.where(
-        (F.col("batch_id") < batch_id)
-        & (F.col("event_date") >= F.lit(since.date()))
-        & (F.col("timestamp") > F.lit(since))
-    ).select(*IDS)
+def _days_touched(batch: DataFrame) -> list[str]:
+    """Days of the batch's events and of the hour before them."""
+    start = F.col("timestamp") - F.make_interval(secs=F.lit(VELOCITY_SECONDS))
+    both = F.explode(F.array(F.to_date("timestamp"), F.to_date(start)))
+    days = batch.where("timestamp IS NOT NULL").select(both.alias("d")).distinct()
+    return sorted(str(r["d"]) for r in days.collect())
+
+
+def _written_on(spark, out: str, days: list[str], batch_id: int) -> DataFrame | None:
+    """Ids of the stored events of these days, without those of the batch itself."""
+    found = None
+    for day in days:
+        try:
+            stored = spark.read.option("basePath", out).parquet(f"{out}/event_date={day}")
+        except AnalysisException:  # nothing was written on that day
+            continue
+        part = stored.where(F.col("batch_id") < batch_id).select(*IDS)
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def event_rates(
