@@ -4,7 +4,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from wardline.operators import quantiles
-from wardline.operators.quantiles import exact_quantiles
+from wardline.operators.quantiles import exact_quantiles, exact_quantiles_by
 
 PROBS = [0.0, 0.25, 0.43, 0.5, 0.75, 1.0]
 
@@ -41,7 +41,7 @@ def test_grouped(spark, salt):
     rng = np.random.default_rng(1)
     rows = [("hot" if i % 3 == 0 else f"k{i % 7}", float(v), float(-v)) for i, v in enumerate(rng.normal(size=900))]
     df = spark.createDataFrame(rows, "k string, x double, y double")
-    got = exact_quantiles(df, ["x", "y"], [0.25, 0.75], ["k"], salt).collect()
+    got = exact_quantiles_by(df, ["k"], ["x", "y"], [0.25, 0.75], salt).collect()
     assert len(got) == 8 * 2 * 2
     for r in got:
         column = [row[1 if r["feature"] == "x" else 2] for row in rows if row[0] == r["k"]]
@@ -52,3 +52,9 @@ def test_agrees_with_percentile(spark):
     df = spark.range(10_001).select((F.col("id") * F.col("id") % 7919 / 3.0).alias("x"))
     want = df.agg(F.percentile("x", 0.43)).head()[0]
     assert quantiles.exact_quantile(df, "x", 0.43) == pytest.approx(want, rel=1e-12)
+
+
+def test_column_without_values(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0)], "x double, y double")
+    got = {r["feature"]: r["value"] for r in exact_quantiles(df, ["x", "y"], [0.5]).collect()}
+    assert got == {"x": None, "y": 2.0}

@@ -54,8 +54,7 @@ ANSWERS = [
 
 def test_json_salvage(spark):
     df = spark.createDataFrame([(i, a[0]) for i, a in enumerate(ANSWERS)], "i int, answer string")
-    fields = responses.narrative_fields(F.col("answer"), F.lit(0.2))
-    got = df.select("i", *[c.alias(n) for n, c in fields.items()]).orderBy("i").collect()
+    got = responses.salvage(df.withColumn("raw", F.lit(0.2)), "answer", "raw").orderBy("i").collect()
     for row, (text, is_json, action) in zip(got, ANSWERS):
         assert (row["is_json"], row["recommended_action"]) == (is_json, action), text[:60]
     assert got[0]["evidence_list"] == ["a"] and got[1]["evidence_list"] == []

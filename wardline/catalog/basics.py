@@ -60,7 +60,7 @@ def scan_labels(q: Inputs):
 @query("s4_feature_matrix", f"SELECT access_id, {FEATURE_LIST} FROM fe")
 def matrix(q: Inputs):
     as_text = F.when(col("high_risk_flag") == 1, "True").otherwise("False")
-    loose = q.enriched.withColumns(
+    loose = q.stored.withColumns(
         {"high_risk_flag": as_text, "Weak_Auth_Flag": col("Weak_Auth_Flag") == 1}
     )
     return readers.feature_matrix(loose).drop("user_id", "timestamp")
@@ -581,8 +581,7 @@ SELECT access_id, access_id % 4 < 3 AS is_json,
     WHEN access_id % 4 < 3 AND access_id % 3 = 2 THEN 'Monitor' ELSE {ACTION} END AS recommended_action
 FROM rp""")
 def json_salvage(q: Inputs):
-    fields = responses.narrative_fields(col("answer"), col("anomaly_score"))
-    parsed = _responses(q).select("access_id", *[c.alias(n) for n, c in fields.items()])
+    parsed = responses.salvage(_responses(q), "answer", "anomaly_score")
     return parsed.select(
         "access_id", "is_json", "threat_narrative", F.array_join("evidence_list", ",").alias("evidence"),
         "recommended_action",

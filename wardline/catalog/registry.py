@@ -12,14 +12,16 @@ from wardline.functions.numeric import round_to
 from wardline.catalog.prelude import PRELUDE, scaled_rounding
 from wardline.operators import rules
 from wardline.plans import enrich as plan
-from wardline.plans.train import Trained, train
+from wardline.plans.train import Trained, fit
 from wardline.schemas import FEATURES
+from wardline.session import materialize
 from wardline.sources import sample_views as views
 
 
 class Inputs:
-    """Lazy views of one data folder. Nothing here runs a job except ``trained``."""
+    """Lazy views of one data folder. Only ``stored`` and ``trained`` run jobs."""
 
+    _stored: dict[tuple[str, str], DataFrame] = {}
     _fitted: dict[tuple[str, str], Trained] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -110,13 +112,23 @@ class Inputs:
             views.pick(kinds, F.col("access_id") % 5).alias("decision"),
         )
 
+    @property
+    def _key(self) -> tuple[str, str]:
+        return self.spark.sparkContext.applicationId, self.sf_dir
+
+    @property
+    def stored(self) -> DataFrame:
+        """The feature table, written once per application and folder; for jobs that read it often."""
+        if self._key not in Inputs._stored:
+            Inputs._stored[self._key] = materialize(self.enriched, "enriched")
+        return Inputs._stored[self._key]
+
     @property
     def trained(self) -> Trained:
         """The fitted model of this folder; fitted once per application and folder."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
-        if key not in Inputs._fitted:
-            Inputs._fitted[key] = train(self.logs, self.profiles, views.REFERENCE_DATE)
-        return Inputs._fitted[key]
+        if self._key not in Inputs._fitted:
+            Inputs._fitted[self._key] = fit(self.stored)
+        return Inputs._fitted[self._key]
 
 
 @dataclass(frozen=True)

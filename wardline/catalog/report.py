@@ -27,7 +27,7 @@ def _per_feature(measures: str, features=FEATURES) -> str:
 @query("a1_feature_ranges", _per_feature(
     "min({f}) AS min_value, max({f}) AS max_value, count(CASE WHEN {f} <> 0 THEN 1 END) AS nonzero, count({f}) AS total"))
 def feature_ranges(q: Inputs):
-    return profile.feature_ranges(q.enriched, FEATURES)
+    return profile.feature_ranges(q.stored, FEATURES)
 
 
 _R3 = "round_even(CAST({} AS DOUBLE), 3) AS {}"
@@ -40,7 +40,7 @@ _R3 = "round_even(CAST({} AS DOUBLE), 3) AS {}"
             ("quantile_cont({f}, 0.25)", "p25"), ("quantile_cont({f}, 0.5)", "p50"),
             ("quantile_cont({f}, 0.75)", "p75"), ("max({f})", "max")])))
 def describe(q: Inputs):
-    return profile.describe(q.enriched, FEATURES)
+    return profile.describe(q.stored, FEATURES)
 
 
 @query("a3_score_summary", """
@@ -121,7 +121,7 @@ FROM (SELECT *, {c} AS x FROM {source}),
 
 @query("a10_feature_histograms", " UNION ALL ".join(_histogram_sql("fe", f, 30) for f in FEATURES))
 def feature_histograms(q: Inputs):
-    return profile.histograms(q.enriched, FEATURES, 30)
+    return profile.histograms(q.stored, FEATURES, 30)
 
 
 @query("a10_score_histogram", _histogram_sql("rp", "anomaly_score", 50, "prediction"))
@@ -149,8 +149,8 @@ def distinct_types(q: Inputs):
     f"round_even(({f} - avg({f}) OVER ()) / CASE WHEN stddev_pop({f}) OVER () = 0 THEN 1 ELSE stddev_pop({f}) OVER () END, 6) AS {f}"
     for f in FEATURES) + " FROM fe")
 def standardise(q: Inputs):
-    scaler = forest.fit_scaler(q.enriched, FEATURES).collect()
-    z = forest.standardise(q.enriched, scaler, FEATURES)
+    scaler = forest.fit_scaler(q.stored, FEATURES).collect()
+    z = forest.standardise(q.stored, scaler, FEATURES)
     return z.select("access_id", *[round_to(f, 6).alias(f) for f in FEATURES])
 
 
@@ -158,7 +158,7 @@ def standardise(q: Inputs):
 def quantile(q: Inputs):
     from wardline.operators.quantiles import exact_quantiles
 
-    found = exact_quantiles(q.enriched, FEATURES, [forest.CONTAMINATION])
+    found = exact_quantiles(q.stored, FEATURES, [forest.CONTAMINATION])
     return found.select("feature", round_to("value", 6).alias("threshold"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline.functions.scoring import ACTIONS, recommended_action
 
@@ -25,26 +25,31 @@ def parse_object(text: Column) -> Column:
     """Direct parse, then without code fences, then the first embedded object; else null."""
 
     def as_object(c: Column) -> Column:
-        v = F.try_parse_json(c)
-        return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+        # a one-element array, so that the text is parsed once for both the test and the value
+        found = F.filter(
+            F.array(F.try_parse_json(c)), lambda v: F.schema_of_variant(v).startswith("OBJECT")
+        )
+        return F.get(found, F.lit(0))
 
     return F.coalesce(
         as_object(text), as_object(strip_fences(text)), as_object(embedded_object(text))
     )
 
 
-def narrative_fields(text: Column, raw_score: Column) -> dict[str, Column]:
-    """Narrative, evidence and action; an action outside the allowed three follows the score."""
-    parsed = parse_object(text)
-    field = lambda path, kind: F.try_variant_get(parsed, path, kind)
+def salvage(df: DataFrame, text: str, raw_score: str) -> DataFrame:
+    """Add is_json, narrative, evidence and action; an action outside the three follows the score."""
+    parsed = df.withColumn("_parsed", parse_object(F.col(text)))
+    field = lambda path, kind: F.try_variant_get("_parsed", path, kind)
     action = field("$.recommended_action", "string")
-    return {
-        "is_json": parsed.isNotNull(),
-        "threat_narrative": F.coalesce(field("$.threat_narrative", "string"), F.lit("")),
-        "evidence_list": F.coalesce(
-            field("$.evidence_list", "array<string>"), F.array().cast("array<string>")
-        ),
-        "recommended_action": F.when(action.isin(ACTIONS), action).otherwise(
-            recommended_action(raw_score)
-        ),
-    }
+    return parsed.withColumns(
+        {
+            "is_json": F.col("_parsed").isNotNull(),
+            "threat_narrative": F.coalesce(field("$.threat_narrative", "string"), F.lit("")),
+            "evidence_list": F.coalesce(
+                field("$.evidence_list", "array<string>"), F.array().cast("array<string>")
+            ),
+            "recommended_action": F.when(action.isin(ACTIONS), action).otherwise(
+                recommended_action(F.col(raw_score))
+            ),
+        }
+    ).drop("_parsed")

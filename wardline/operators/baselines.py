@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardline.functions.numeric import round_to
 from wardline.operators.joins import join_statistics
-from wardline.operators.quantiles import exact_quantiles
+from wardline.operators.quantiles import exact_quantiles_by
 from wardline.operators.windows import MICROS, micros, previous_values, trailing_count
 
 EPOCH = "1970-01-01"
@@ -52,7 +52,7 @@ def user_deviations(
         *[F.avg(m).alias(f"_{m}_mean") for m in measures],
         *[F.stddev_pop(m).alias(f"_{m}_std") for m in measures],
     )
-    quartiles = exact_quantiles(logs, measures, [0.25, 0.75], ["user_id"], rows_per_salt)
+    quartiles = exact_quantiles_by(logs, ["user_id"], measures, [0.25, 0.75], rows_per_salt)
     fences = quartiles.groupBy("user_id").agg(
         *[
             F.max(F.when((F.col("feature") == m) & (F.col("q") == q), F.col("value"))).alias(f"_{m}_{tag}")

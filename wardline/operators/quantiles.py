@@ -1,12 +1,14 @@
 """Exact interpolated quantiles that never sort or hold a whole group in one task.
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer. Here a bounded sketch
-first brackets each quantile between two values; a second pass counts the rows below the bracket
-and tallies only the few values inside it. The result equals ``percentile`` exactly.
+first brackets each quantile between two values; a second pass counts the rows around the brackets
+and only the few values inside them are tallied. The result equals ``percentile`` exactly.
 """
 
 from __future__ import annotations
 
+from math import ceil, floor
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardline.operators.joins import join_statistics
@@ -15,33 +17,114 @@ ACCURACY = 20_000
 SLACK = 4 / ACCURACY
 
 
-def exact_quantiles(
+def _edge_probs(probs: list[float]) -> list[float]:
+    """Two sketch probabilities per quantile, a little below and above it."""
+    return [e for p in probs for e in (max(p - SLACK, 0.0), min(p + SLACK, 1.0))]
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    """One row (feature, q, value) per column and quantile of the whole table.
+
+    Three passes, each with a result of a few numbers per column: the sketch's edges; counts,
+    minima and maxima of the slots that the edges cut each column into; and, where a wanted place
+    lies strictly inside a slot, the running counts of that slot's values.
+    """
+    src = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    wanted = _edge_probs(probs)
+    found = src.agg(
+        *[F.percentile_approx(c, wanted, ACCURACY).alias(f"_edges_{i}") for i, c in enumerate(columns)]
+    ).head()
+    edges = [sorted(set(found[i] or [])) for i in range(len(columns))]
+
+    def slot(i: int) -> Column:
+        """2k + 1 on the k-th edge, 2k below it, 2k + 2 above it."""
+        v = F.col(columns[i])
+        passed = [(v >= e).cast("int") + (v > e).cast("int") for e in edges[i]]
+        return sum(passed, F.lit(0))
+
+    def cell(i: int) -> Column:
+        return F.struct(F.lit(i).alias("c"), slot(i).alias("s"), F.col(columns[i]).alias("v"))
+
+    spread = src.select(F.inline(F.array(*[cell(i) for i in range(len(columns))])))
+    spread = spread.where("v IS NOT NULL")
+    tally = spread.groupBy("c", "s").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    slots: dict[int, list] = {}
+    for row in tally.orderBy("c", "s").collect():  # at most 4 x len(probs) + 1 rows per column
+        slots.setdefault(row["c"], []).append(row)
+
+    totals = {i: sum(r["n"] for r in rows) for i, rows in slots.items()}
+    places = {
+        (i, place)
+        for i, n in totals.items()
+        for p in probs
+        for place in (floor(p * (n - 1)), ceil(p * (n - 1)))
+    }
+    values: dict[tuple[int, int], float] = {}
+    inside: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for i, place in places:
+        before = 0
+        for row in slots[i]:
+            if place < before + row["n"]:
+                break
+            before += row["n"]
+        if place == before or row["lo"] == row["hi"]:
+            values[i, place] = row["lo"]
+        elif place == before + row["n"] - 1:
+            values[i, place] = row["hi"]
+        else:
+            inside.setdefault((i, row["s"]), []).append((place, place - before))
+    if inside:
+        values.update(_places_inside(spread, inside))
+
+    rows = []
+    for i, c in enumerate(columns):
+        for p in probs:
+            value = None
+            if i in totals:
+                place = p * (totals[i] - 1)
+                low, high = values[i, floor(place)], values[i, ceil(place)]
+                value = low + (high - low) * (place - floor(place))
+            rows.append((c, p, value))
+    return df.sparkSession.createDataFrame(rows, "feature string, q double, value double")
+
+
+def _places_inside(spread: DataFrame, inside: dict) -> dict[tuple[int, int], float]:
+    """Values at given places within slots; only rows of these slots are counted."""
+    spark = spread.sparkSession
+    asked = [(i, s, place, offset) for (i, s), at in inside.items() for place, offset in at]
+    ask = F.broadcast(spark.createDataFrame(asked, "c int, s int, place long, offset long"))
+    kept = spread.join(F.broadcast(ask.select("c", "s").distinct()), ["c", "s"], "left_semi")
+    counted = kept.groupBy("c", "s", "v").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("c", "s").orderBy("v"))
+    running = counted.withColumn("upto", upto).join(ask, ["c", "s"])
+    hit = running.where((F.col("offset") < F.col("upto")) & (F.col("offset") >= F.col("upto") - F.col("n")))
+    return {(r["c"], r["place"]): r["v"] for r in hit.collect()}
+
+
+def exact_quantile(df: DataFrame, column: str, prob: float) -> float:
+    """A single quantile of a whole column as a number."""
+    return exact_quantiles(df, [column], [prob]).head()["value"]
+
+
+def exact_quantiles_by(
     df: DataFrame,
+    keys: list[str],
     columns: list[str],
     probs: list[float],
-    keys: list[str] | None = None,
     rows_per_salt: int | None = None,
 ) -> DataFrame:
-    """One row per (keys, feature, q) with ``value``: linear interpolation between neighbours.
+    """One row (keys, feature, q, value) per key, column and quantile.
 
-    Without keys the brackets are two numbers per column and quantile, fetched by one small job
-    and used as literals. With keys they are joined to the rows.
+    The brackets are per-key statistics joined to the rows; nothing is run on the way.
     """
-    keys = keys or []
     src = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
-    edges = [e for p in probs for e in (max(p - SLACK, 0.0), min(p + SLACK, 1.0))]
-    sketches = [
-        F.percentile_approx(c, edges, ACCURACY).alias(f"_edges_{i}") for i, c in enumerate(columns)
-    ]
-    if keys:
-        brackets = src.groupBy(*keys).agg(F.count("*").alias("_rows"), *sketches)
-        rows = join_statistics(src, brackets, keys, "_rows", columns, rows_per_salt)
-        edge = lambda i, j: F.get(F.col(f"_edges_{i}"), F.lit(j))
-    else:
-        found = src.agg(*sketches).head()
-        literal = [found[i] or [None] * len(edges) for i in range(len(columns))]
-        rows = src
-        edge = lambda i, j: F.lit(literal[i][j]).cast("double")
+    wanted = _edge_probs(probs)
+    brackets = src.groupBy(*keys).agg(
+        F.count("*").alias("_rows"),
+        *[F.percentile_approx(c, wanted, ACCURACY).alias(f"_edges_{i}") for i, c in enumerate(columns)],
+    )
+    rows = join_statistics(src, brackets, keys, "_rows", columns, rows_per_salt)
+    edge = lambda i, j: F.get(F.col(f"_edges_{i}"), F.lit(j))
 
     cells = [(i, c, j, p) for i, c in enumerate(columns) for j, p in enumerate(probs)]
     low = lambda i, j: edge(i, 2 * j)
@@ -105,8 +188,3 @@ def exact_quantiles(
 
 def _out_of_bracket() -> Column:
     return F.raise_error(F.lit("quantile outside its bracket")).cast("double")
-
-
-def exact_quantile(df: DataFrame, column: str, prob: float) -> float:
-    """A single quantile of a whole column as a number."""
-    return exact_quantiles(df, [column], [prob]).head()["value"]

@@ -33,7 +33,11 @@ class Trained:
 
 def train(logs: DataFrame, profiles: DataFrame, reference_date: str, **params) -> Trained:
     """Enrich, store the feature table, fit. Everything after reads stored tables."""
-    enriched = materialize(enrich(logs, profiles, reference_date), "enriched")
+    return fit(materialize(enrich(logs, profiles, reference_date), "enriched"), **params)
+
+
+def fit(enriched: DataFrame, **params) -> Trained:
+    """Fit on a stored feature table."""
     return Trained(*fit_forest(feature_matrix(enriched), "access_id", FEATURES, **params))
 
 

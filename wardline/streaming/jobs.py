@@ -47,14 +47,15 @@ def score_stream(
             days = _days_touched(batch)
             if not days:
                 return
-            own = batch.select(*IDS).withColumn("_new", F.lit(True))
+            seen = batch.withColumn("_new", F.lit(True))
             earlier = _written_on(batch.sparkSession, out, days, batch_id)
-            seen = own if earlier is None else own.unionByName(earlier.withColumn("_new", F.lit(False)))
+            if earlier is not None:
+                seen = seen.unionByName(earlier.withColumn("_new", F.lit(False)), allowMissingColumns=True)
             counted = trailing_count(
                 seen, seen.select("user_id", "timestamp"), "user_id", "timestamp", "access_id",
                 VELOCITY, VELOCITY_SECONDS,
-            ).where("_new")
-            done = finish(batch.join(counted.select("access_id", VELOCITY), "access_id"))
+            )
+            done = finish(counted.where("_new"))
             if model is not None:
                 done = model.score(done)
             placed = done.withColumns(
