@@ -23,7 +23,18 @@ def _edge_probs(probs: list[float]) -> list[float]:
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
-    """One row (feature, q, value) per column and quantile of the whole table.
+    """One row (feature, q, value) per column and quantile of the whole table."""
+    rows = whole_quantiles(df, columns, probs)
+    return df.sparkSession.createDataFrame(rows, "feature string, q double, value double")
+
+
+def exact_quantile(df: DataFrame, column: str, prob: float) -> float | None:
+    """A single quantile of a whole column."""
+    return whole_quantiles(df, [column], [prob])[0][2]
+
+
+def whole_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> list[tuple]:
+    """(column, probability, value) triples.
 
     Three passes, each with a result of a few numbers per column: the sketch's edges; counts,
     minima and maxima of the slots that the edges cut each column into; and, where a wanted place
@@ -36,20 +47,21 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> Da
     ).head()
     edges = [sorted(set(found[i] or [])) for i in range(len(columns))]
 
-    def slot(i: int) -> Column:
-        """2k + 1 on the k-th edge, 2k below it, 2k + 2 above it."""
-        v = F.col(columns[i])
-        passed = [(v >= e).cast("int") + (v > e).cast("int") for e in edges[i]]
-        return sum(passed, F.lit(0))
-
-    def cell(i: int) -> Column:
-        return F.struct(F.lit(i).alias("c"), slot(i).alias("s"), F.col(columns[i]).alias("v"))
-
-    spread = src.select(F.inline(F.array(*[cell(i) for i in range(len(columns))])))
-    spread = spread.where("v IS NOT NULL")
-    tally = spread.groupBy("c", "s").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    # Slot 2k + 1 is the k-th edge, 2k lies below it, 2k + 2 above. The edges are looked up after
+    # the columns are turned into rows, which keeps the generated code small enough to compile.
+    cells = [F.struct(F.lit(i).alias("c"), F.col(c).alias("v")) for i, c in enumerate(columns)]
+    spread = src.select(F.inline(F.array(*cells))).where("v IS NOT NULL")
+    lists = F.array(*[F.array(*map(F.lit, e)).cast("array<double>") for e in edges])
+    own = F.get(lists, F.col("c"))
+    passed = F.size(F.filter(own, lambda e: e < F.col("v"))) * 2
+    slot = passed + F.array_contains(own, F.col("v")).cast("int")
+    tally = (
+        spread.withColumn("s", slot)
+        .groupBy("c", "s")
+        .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    )
     slots: dict[int, list] = {}
-    for row in tally.orderBy("c", "s").collect():  # at most 4 x len(probs) + 1 rows per column
+    for row in sorted(tally.collect()):  # at most 4 x len(probs) + 1 rows per column
         slots.setdefault(row["c"], []).append(row)
 
     totals = {i: sum(r["n"] for r in rows) for i, rows in slots.items()}
@@ -71,10 +83,12 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> Da
             values[i, place] = row["lo"]
         elif place == before + row["n"] - 1:
             values[i, place] = row["hi"]
+        elif not 0 < row["s"] < 2 * len(edges[i]):
+            raise RuntimeError("a quantile lies outside its bracket")
         else:
             inside.setdefault((i, row["s"]), []).append((place, place - before))
     if inside:
-        values.update(_places_inside(spread, inside))
+        values.update(_places_inside(src, columns, edges, inside))
 
     rows = []
     for i, c in enumerate(columns):
@@ -85,25 +99,30 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> Da
                 low, high = values[i, floor(place)], values[i, ceil(place)]
                 value = low + (high - low) * (place - floor(place))
             rows.append((c, p, value))
-    return df.sparkSession.createDataFrame(rows, "feature string, q double, value double")
+    return rows
 
 
-def _places_inside(spread: DataFrame, inside: dict) -> dict[tuple[int, int], float]:
+def _places_inside(src: DataFrame, columns: list[str], edges: list, inside: dict) -> dict:
     """Values at given places within slots; only rows of these slots are counted."""
-    spark = spread.sparkSession
-    asked = [(i, s, place, offset) for (i, s), at in inside.items() for place, offset in at]
-    ask = F.broadcast(spark.createDataFrame(asked, "c int, s int, place long, offset long"))
-    kept = spread.join(F.broadcast(ask.select("c", "s").distinct()), ["c", "s"], "left_semi")
-    counted = kept.groupBy("c", "s", "v").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("c", "s").orderBy("v"))
-    running = counted.withColumn("upto", upto).join(ask, ["c", "s"])
-    hit = running.where((F.col("offset") < F.col("upto")) & (F.col("offset") >= F.col("upto") - F.col("n")))
-    return {(r["c"], r["place"]): r["v"] for r in hit.collect()}
 
+    def member(i: int, s: int) -> Column:
+        v = F.col(columns[i])
+        cell = F.struct(F.lit(i).alias("c"), F.lit(s).alias("s"), v.alias("v"))
+        return F.when((v > edges[i][s // 2 - 1]) & (v < edges[i][s // 2]), cell)
 
-def exact_quantile(df: DataFrame, column: str, prob: float) -> float:
-    """A single quantile of a whole column as a number."""
-    return exact_quantiles(df, [column], [prob]).head()["value"]
+    kept = src.select(F.inline(F.array_compact(F.array(*[member(i, s) for i, s in inside]))))
+    in_slot = lambda i, s: (F.col("c") == i) & (F.col("s") == s)
+    counted = kept.groupBy("c", "s", "v").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("c", "s").orderBy("v"))
+    running = counted.withColumn("upto", upto)
+    covers = lambda at: (F.col("upto") > at) & (F.col("upto") - F.col("n") <= at)
+    marks = [
+        F.when(in_slot(i, s) & covers(offset), F.lit(place))
+        for (i, s), asked in inside.items()
+        for place, offset in asked
+    ]
+    hits = running.select("c", "v", F.explode(F.array_compact(F.array(*marks))).alias("place"))
+    return {(r["c"], r["place"]): r["v"] for r in hits.collect()}
 
 
 def exact_quantiles_by(
