@@ -52,8 +52,19 @@ def trailing_count(
     def cell(t: Column) -> Column:
         return F.floor(t / span).cast("long")
 
+    # Columns that only travel are packed, so that a row that leaves carries one null, not many.
+    others = [c for c in df.columns if c not in (key, ts, tiebreak)]
+    packed = F.struct(*others) if others else F.lit(None).cast("int")
     arriving = micros(F.col(ts))
-    arrivals = df.withColumns({"_t": arriving, "_cell": cell(arriving), "_step": F.lit(1)})
+    arrivals = df.select(
+        key,
+        ts,
+        tiebreak,
+        arriving.alias("_t"),
+        cell(arriving).alias("_cell"),
+        F.lit(1).alias("_step"),
+        packed.alias("_others"),
+    )
     leaving = micros(F.col(ts)) + F.lit(span)
     leaves = keys.where(F.col(ts).isNotNull()).select(
         key,
@@ -68,17 +79,16 @@ def trailing_count(
         group = [key, "_cell", "_slice"]
 
     steps = steps.repartition(*group)
-    whole = Window.partitionBy(*group)
-    so_far = whole.orderBy("_t", "_step", tiebreak).rowsBetween(Window.unboundedPreceding, 0)
+    ordered = Window.partitionBy(*group).orderBy("_t", "_step", tiebreak)
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     base = F.count_if(F.col("_step") == -1).over(whole)
     if dense_cell_rows is not None:
         base = F.coalesce(F.col("_base"), base)
-    counted = steps.withColumn(out, F.sum("_step").over(so_far) + base)
-    return (
-        counted.where("_step = 1")
-        .withColumn(out, F.when(F.col(ts).isNull(), F.lit(0)).otherwise(F.col(out)))
-        .drop("_t", "_cell", "_step", "_slice", "_base")
-    )
+    counted = steps.withColumn("_count", F.sum("_step").over(so_far) + base).where("_step = 1")
+    count = F.when(F.col(ts).isNull(), F.lit(0)).otherwise(F.col("_count")).alias(out)
+    back = [F.col(c) if c in (key, ts, tiebreak) else F.col("_others")[c].alias(c) for c in df.columns]
+    return counted.select(*back, count)
 
 
 def _with_slices(steps, keys, key, ts, span, cell, limit) -> DataFrame:
