@@ -153,6 +153,13 @@ def test_salted_join_equals_plain_join(spark):
     assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, plain.collect()))
 
 
+def test_training_keeps_one_profile_per_user(spark):
+    from wardline.plans.train import train
+
+    lf, pf = frames(spark, [{"access_id": str(i)} for i in range(5)], [{}, {"tenure_months": 3}])
+    assert train(lf, pf, REF, trees=2).enriched.count() == 5
+
+
 def plan_text(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 

@@ -19,13 +19,16 @@ from wardline.sources import sample_views as views
 
 
 class Inputs:
-    """Lazy views of one data folder. Only ``stored`` and ``trained`` run jobs."""
+    """Lazy views of one data folder. Only ``stored``, ``decisions`` and ``trained`` run jobs."""
 
     _stored: dict[tuple[str, str], DataFrame] = {}
+    _decided: dict[tuple[str, str], DataFrame] = {}
     _fitted: dict[tuple[str, str], Trained] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        # the tables hold times without a zone; hours and weeks are read as UTC
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def table(self, name: str) -> DataFrame:
         return views.load(self.spark, self.sf_dir, name)
@@ -102,9 +105,14 @@ class Inputs:
         entries = F.array(*[entry(f, v) for f, v in share.items()])
         return self.featured.withColumn("attribution", entries)
 
-    @cached_property
+    @property
     def decisions(self) -> DataFrame:
-        """Analyst decisions derived from the labelled anomalies."""
+        """The decision log: a stored table, derived once from the labelled anomalies."""
+        if self._key not in Inputs._decided:
+            Inputs._decided[self._key] = materialize(self._derived_decisions(), "decisions")
+        return Inputs._decided[self._key]
+
+    def _derived_decisions(self) -> DataFrame:
         kinds = ["Monitor", "False Positive", "Quarantine", "False Positive", "Monitor"]
         return self.typed.where("is_anomaly").select(
             "access_id", "user_id", "department", "anomaly_type",

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from wardline.functions.numeric import round_to
 from wardline.operators.joins import join_statistics
 from wardline.operators.quantiles import exact_quantiles_by
+from wardline.session import materialize
 from wardline.operators.windows import MICROS, micros, previous_values, trailing_count
 
 EPOCH = "1970-01-01"
@@ -248,6 +249,8 @@ def action_sequences(logs: DataFrame) -> DataFrame:
         "user_id", F.concat_ws(">", "prev_2", "prev_1", "query_type").alias("sequence")
     )
     per_user = grams.groupBy("user_id", "sequence").agg(F.count("*").alias("n"))
+    # users x sequences, far smaller than the events; stored because it is read twice
+    per_user = materialize(per_user, "sequences")
     overall = per_user.groupBy("sequence").agg(
         F.sum("n").alias("total"), F.count("*").alias("users")
     )

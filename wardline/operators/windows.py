@@ -50,7 +50,7 @@ def trailing_count(
         dense_cell_rows = DENSE_CELL_ROWS
 
     def cell(t: Column) -> Column:
-        return F.floor(t / span).cast("long")
+        return F.call_function("div", t - F.pmod(t, F.lit(span)), F.lit(span))
 
     # Columns that only travel are packed, so that a row that leaves carries one null, not many.
     others = [c for c in df.columns if c not in (key, ts, tiebreak)]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardline.operators import evaluate
 from wardline.operators.forest import Forest, fit_forest
+from wardline.operators.joins import first_per_key
 from wardline.plans.enrich import enrich
 from wardline.schemas import FEATURES
 from wardline.session import materialize
@@ -32,8 +33,12 @@ class Trained:
 
 
 def train(logs: DataFrame, profiles: DataFrame, reference_date: str, **params) -> Trained:
-    """Enrich, store the feature table, fit. Everything after reads stored tables."""
-    return fit(materialize(enrich(logs, profiles, reference_date), "enriched"), **params)
+    """Enrich, store the feature table, fit. Everything after reads stored tables.
+
+    A repeated profile would repeat its user's events, so one row per user is kept.
+    """
+    unique = first_per_key(profiles, ["user_id"], [])
+    return fit(materialize(enrich(logs, unique, reference_date), "enriched"), **params)
 
 
 def fit(enriched: DataFrame, **params) -> Trained:
