@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardline.functions.numeric import round_to
-from wardline.catalog.registry import FEATURE_LIST, Inputs, query
-from wardline.catalog.basics import CONTENT
+from wardline.catalog.basics import CONTENT, HASH
+from wardline.catalog.registry import FEATURE_LIST, Inputs, query, time_text
+from wardline.functions.text import content_hash, time_cell
 from wardline.operators import attribution, evaluate, filters, forest, triage
 from wardline.plans import alerts as alert_plan, train as train_plan
 from wardline.schemas import FEATURES
@@ -30,7 +31,9 @@ def fitted_forest(q: Inputs):
     )
 
 
-@query("m2_tree_samples")
+@query("m2_tree_samples", """
+SELECT CAST(t AS INTEGER) AS tree, least(256, (SELECT count(*) FROM events)) AS rows,
+  least(256, (SELECT count(DISTINCT event_id) FROM events)) AS distinct_rows FROM (SELECT unnest(range(200)) AS t)""", prelude=False)
 def tree_samples(q: Inputs):
     """Rows drawn per tree, checked against the subsample size."""
     total = q.trained.model.scaler[0]["n"]
@@ -79,7 +82,8 @@ def version_agreement(q: Inputs):
     return forest.version_agreement(table, q.trained.model, other)
 
 
-@query("s8_model_store")
+@query("s8_model_store", """
+SELECT count(*) AS compared, count(*) AS equal, 1.0::DOUBLE AS match_rate FROM events""", prelude=False)
 def stored_model(q: Inputs):
     """A saved and reloaded model must predict the same."""
     path = fresh_path(q.spark, "model")
@@ -169,11 +173,15 @@ def stream_features(q: Inputs):
     return q.spark.read.option("basePath", out).parquet(out).select("access_id", *FEATURES)
 
 
-@query("r2_event_rates")
+@query("r2_event_rates", """
+, w AS (SELECT time_bucket(INTERVAL 5 MINUTE, timestamp) - INTERVAL 5 MINUTE * i AS s, status FROM fx_logs, (SELECT unnest(range(12)) AS i))
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, status, count(*) AS n FROM w
+WHERE s + INTERVAL 1 HOUR <= (SELECT max(timestamp) - INTERVAL 1 HOUR FROM fx_logs) GROUP BY 1, 2""")
 def stream_rates(q: Inputs):
     """Sliding hourly rates; windows the watermark has not closed yet are not in the table."""
     slim = _log_stream(q).select("timestamp", "status")
-    return jobs.run_to_table(jobs.event_rates(slim, ["status"]), *_paths(q, "rates"))
+    out = jobs.run_to_table(jobs.event_rates(slim, ["status"]), *_paths(q, "rates"))
+    return out.select(time_text("window_start"), "status", "n")
 
 
 @query("r3_stream_scoring")
@@ -188,30 +196,40 @@ def stream_scoring(q: Inputs):
     return stored.select("access_id", "anomaly_score", "prediction")
 
 
-@query("r4_stream_reuse")
+@query("r4_stream_reuse", f"""
+SELECT DISTINCT {HASH} AS event_hash, epoch_us(timestamp) // 3600000000 AS ttl_cell FROM fx_logs""")
 def stream_reuse(q: Inputs):
     first = jobs.without_repeats(_log_stream(q), CONTENT)
-    return jobs.run_to_table(first.select("access_id", "timestamp", "event_hash"), *_paths(q, "unrepeated"))
+    return jobs.run_to_table(first.select("event_hash", "ttl_cell"), *_paths(q, "unrepeated"))
 
 
-@query("r5_stream_sessions")
+@query("r5_stream_sessions", """
+, g AS (SELECT *, CASE WHEN lag(timestamp) OVER w IS NULL OR timestamp - lag(timestamp) OVER w >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS o
+    FROM fx_logs WINDOW w AS (PARTITION BY user_id ORDER BY timestamp, access_id)),
+s AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY timestamp, access_id ROWS UNBOUNDED PRECEDING) AS sid FROM g)
+SELECT user_id, strftime(min(timestamp), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS events FROM s GROUP BY user_id, sid
+HAVING max(timestamp) + INTERVAL 30 MINUTE <= (SELECT max(timestamp) - INTERVAL 1 HOUR FROM fx_logs)""")
 def stream_sessions(q: Inputs):
     slim = _log_stream(q).select("user_id", "timestamp")
-    return jobs.run_to_table(jobs.session_stream(slim), *_paths(q, "sessions"))
+    out = jobs.run_to_table(jobs.session_stream(slim), *_paths(q, "sessions"))
+    return out.select("user_id", time_text("session_start"), "events")
 
 
 @query("t6_response")
 def responses(q: Inputs):
     """Scored requests with reuse: one evaluation per content, copies marked."""
-    from wardline.functions.text import content_hash
-
-    hashed = q.logs.select("access_id", content_hash(CONTENT).alias("event_hash"))
-    picked = triage.one_per_content(hashed, "event_hash", ["access_id"])
-    once = picked.select("event_hash", F.col("access_id").alias("evaluated_as"))
+    hashed = q.logs.select(
+        "access_id",
+        "timestamp",
+        content_hash(CONTENT).alias("event_hash"),
+        time_cell(col("timestamp"), triage.TTL_SECONDS).alias("ttl_cell"),
+    )
+    picked = triage.one_per_content(hashed, "event_hash", "timestamp", ["access_id"])
+    once = picked.select("event_hash", "ttl_cell", F.col("access_id").alias("evaluated_as"))
     scored = q.trained.scored().select(
         F.col("access_id").alias("evaluated_as"), "anomaly_score", "prediction"
     )
-    answered = hashed.join(once, "event_hash").join(scored, "evaluated_as")
+    answered = hashed.join(once, ["event_hash", "ttl_cell"]).join(scored, "evaluated_as")
     return answered.select(
         "access_id",
         (col("prediction") == -1).alias("is_anomaly"),

@@ -237,10 +237,10 @@ def plain_narrative(q: Inputs):
 
 @query("t5_reuse", f"""
 , h AS (SELECT access_id, timestamp, {HASH} AS event_hash FROM fx_logs)
-SELECT event_hash, count(*) AS copies, min(access_id) AS access_id FROM h GROUP BY 1""")
+SELECT event_hash, epoch_us(timestamp) // 3600000000 AS ttl_cell, count(*) AS copies, min(access_id) AS access_id FROM h GROUP BY 1, 2""")
 def reuse(q: Inputs):
     hashed = q.logs.withColumn("event_hash", text.content_hash(CONTENT))
-    return triage.one_per_content(hashed, "event_hash", ["access_id"])
+    return triage.one_per_content(hashed, "event_hash", "timestamp", ["access_id"])
 
 
 # --- evaluation --------------------------------------------------------------------------

@@ -51,6 +51,12 @@ def hours_range(c: Column) -> tuple[Column, Column]:
     return part(0), part(1)
 
 
+def time_cell(ts: Column, seconds: int) -> Column:
+    """Number of the ``seconds`` long interval that a time falls into."""
+    micros, width = F.unix_micros(ts.cast("timestamp")), F.lit(seconds * 1_000_000)
+    return F.call_function("div", micros - F.pmod(micros, width), width)
+
+
 def content_hash(columns: list[str]) -> Column:
     """SHA-256 over name=value pairs in name order; nulls are marked, so they differ from ''."""
     pairs = [

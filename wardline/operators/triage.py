@@ -7,10 +7,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wardline.functions.numeric import fixed, round_to
 from wardline import dims
 from wardline.functions import scoring
+from wardline.functions.text import time_cell
 from wardline.operators.attribution import top_features
 from wardline.operators.joins import with_context, with_labels
 
 MIN_COMPUTED = 50
+TTL_SECONDS = 3600
 
 
 def most_anomalous(scored: DataFrame, limit: int) -> DataFrame:
@@ -124,12 +126,18 @@ def assemble_alerts(explained: DataFrame, logs: DataFrame, labels: DataFrame) ->
     )
 
 
-def one_per_content(df: DataFrame, hash_col: str, order: list[str]) -> DataFrame:
-    """Mark the event of each content hash that is evaluated; the others reuse its result.
+def one_per_content(
+    df: DataFrame, hash_col: str, ts: str, order: list[str], ttl_seconds: int = TTL_SECONDS
+) -> DataFrame:
+    """The event that is evaluated for each content and interval of ``ttl_seconds``.
 
-    The representative is a grouped minimum, combined before the shuffle, so one content repeated
-    very often is no hot spot.
+    Its result serves the copies of the same interval, so none is older than the time to live. The
+    representative is a grouped minimum, combined before the shuffle: content that repeats very
+    often is no hot spot.
     """
-    pick = df.groupBy(hash_col).agg(F.min(F.struct(*order)).alias("_rep"), F.count("*").alias("copies"))
-    return pick.select(hash_col, "_rep.*", "copies")
+    cells = df.withColumn("ttl_cell", time_cell(F.col(ts), ttl_seconds))
+    pick = cells.groupBy(hash_col, "ttl_cell").agg(
+        F.min(F.struct(*order)).alias("_rep"), F.count("*").alias("copies")
+    )
+    return pick.select(hash_col, "ttl_cell", "_rep.*", "copies")
 

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wardline.functions.numeric import round_to
-from wardline.functions.text import content_hash
+from wardline.functions.text import content_hash, time_cell
 from wardline.operators.forest import Forest
+from wardline.operators.triage import TTL_SECONDS
 from wardline.operators.windows import trailing_count
 from wardline.plans.enrich import (
     VELOCITY, VELOCITY_SECONDS, event_features, finish, merge,
@@ -104,10 +105,22 @@ def event_rates(
     )
 
 
-def without_repeats(stream: DataFrame, content: list[str], ttl: str = "1 hour") -> DataFrame:
-    """Drop events whose content was seen within ``ttl``; the first one is evaluated for all."""
-    hashed = stream.withColumn("event_hash", content_hash(content))
-    return hashed.withWatermark("timestamp", ttl).dropDuplicatesWithinWatermark(["event_hash"])
+def without_repeats(
+    stream: DataFrame, content: list[str], ttl_seconds: int = TTL_SECONDS
+) -> DataFrame:
+    """Keep the first event of each content and interval; it is evaluated for the others.
+
+    Same intervals as the batch job. They also bound the state: a key is dropped once the
+    watermark has passed it, and cannot come back.
+    """
+    keyed = stream.withColumns(
+        {
+            "event_hash": content_hash(content),
+            "ttl_cell": time_cell(F.col("timestamp"), ttl_seconds),
+        }
+    )
+    timed = keyed.withWatermark("timestamp", f"{ttl_seconds} seconds")
+    return timed.dropDuplicatesWithinWatermark(["event_hash", "ttl_cell"])
 
 
 def session_stream(stream: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
