@@ -153,3 +153,33 @@ def test_top_features_break_ties_by_position(spark):
     )
     top = df.select(at.top_features(F.col("a")).alias("t")).head()["t"]
     assert [e["feature"] for e in top] == ["q", "r", "p"]
+
+
+def test_planted_patterns_score_below_ordinary_events(spark):
+    """Events with the signature of the typed rules stand out from a user's ordinary ones."""
+    import datetime as dt
+
+    from test_features import LOG, PROFILE, REF, frames
+    from wardline.plans.train import train
+
+    rng = np.random.default_rng(8)
+    day = dt.datetime(2026, 3, 2)
+    logs = []
+    for i in range(1500):
+        at_ = day + dt.timedelta(days=int(rng.integers(0, 28)), hours=int(rng.integers(9, 17)), minutes=int(rng.integers(60)))
+        logs.append(dict(access_id=f"n{i}", user_id=f"u{i % 40}", timestamp=at_, rowcount=int(rng.integers(5, 15)),
+                         query_type=str(rng.choice(["SELECT", "INSERT", "UPDATE"])), data_asset="Dev_DB"))
+    bulk = dict(query_type="EXPORT", destination="usb_drive", data_sensitivity="restricted", data_asset="Payroll_System",
+                rowcount=4000, time_classification="night", source_ip="203.0.113.9", authentication_method="API_Key",
+                geo_location="Lagos")
+    for i in range(30):
+        logs.append({**bulk, "access_id": f"p{i}", "user_id": f"u{i}", "timestamp": day + dt.timedelta(days=i % 28, hours=2)})
+    profiles = [dict(user_id=f"u{i}", tenure_months=6 + i) for i in range(40)]
+    lf, pf = frames(spark, logs, profiles)
+    scored = train(lf, pf, REF, trees=60, contamination=0.05).scored()
+    scored = scored.withColumn("planted", F.col("access_id").startswith("p"))
+    medians = {r["planted"]: r["m"] for r in scored.groupBy("planted").agg(F.median("anomaly_score").alias("m")).collect()}
+    worst = scored.where("planted").agg(F.max("anomaly_score")).head()[0]
+    assert worst < medians[False]
+    hits = scored.where("planted AND prediction = -1").count()
+    assert hits >= 28

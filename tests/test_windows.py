@@ -11,6 +11,14 @@ from wardline.operators import windows
 T0 = dt.datetime(2024, 1, 1)
 
 
+@pytest.fixture(autouse=True)
+def many_ranges(spark):
+    """Small test tables would be merged into one range, and no border would be tested."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def events(spark, rows):
     return spark.createDataFrame(rows, "id long, u string, t timestamp, v string")
 
@@ -50,7 +58,7 @@ def test_ties_and_bounds(spark, dense):
     assert got[2] == 2 and got[4] == 3 and got[3] == 2
 
 
-@pytest.mark.parametrize("dense", [None, 1, 40])
+@pytest.mark.parametrize("dense", [None, 1, 10_000])
 def test_hot_user_random(spark, dense):
     """A third of the rows belong to one user, many within one hour."""
     rnd = random.Random(5)
@@ -103,6 +111,25 @@ def test_previous_values(spark):
         assert [r["prev_1"], r["prev_2"], r["prev_3"]] == want[:3]
 
 
+def test_previous_values_with_one_key(spark):
+    """One key fills every range; look-back crosses range borders."""
+    df = spark.range(2000).select(
+        F.col("id"), F.lit("a").alias("u"), (F.lit(T0).cast("timestamp")).alias("t"), F.col("id").cast("string").alias("v")
+    )
+    out = windows.previous_values(df.repartition(8), "u", "t", "id", "v", 2)
+    wrong = out.where(
+        ~F.col("prev_1").eqNullSafe(F.when(F.col("id") >= 1, (F.col("id") - 1).cast("string")))
+        | ~F.col("prev_2").eqNullSafe(F.when(F.col("id") >= 2, (F.col("id") - 2).cast("string")))
+    )
+    assert out.count() == 2000 and wrong.count() == 0
+
+
+def test_ranges_stay_even_for_one_key_and_instant(spark):
+    df = spark.range(8000).select("id", F.lit("a").alias("u"), F.lit(T0).alias("t"))
+    sizes = [r["count"] for r in windows.in_order(df, ["u", "t", "id"]).groupBy("_part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 8000 / 8
+
+
 def test_last_before(spark):
     rnd = random.Random(3)
     rows = [(i, f"u{rnd.randrange(4)}", at(rnd.randrange(90000)), "x") for i in range(150)]

@@ -550,7 +550,8 @@ def action_sequences(q: Inputs):
 SELECT l.access_id, l.user_id, strftime(max(decided_at), '%Y-%m-%d %H:%M:%S') AS watched_since FROM fx_logs l
 JOIN m ON l.user_id = m.user_id AND l.timestamp BETWEEN decided_at AND decided_at + INTERVAL 48 HOUR GROUP BY 1, 2""")
 def watch_list(q: Inputs):
-    return feedback.watch_list(q.logs, q.decisions).select(
+    slim = q.logs.select("access_id", "user_id", "timestamp")
+    return feedback.watch_list(slim, q.decisions).select(
         "access_id", "user_id", F.date_format("watched_since", "yyyy-MM-dd HH:mm:ss").alias("watched_since")
     )
 

@@ -1,8 +1,9 @@
 """Time-ordered operators per user that do not gather a user in one task.
 
-A service account may own a third of all events. Every operator here therefore cuts a user's
-time line into cells, works inside the cells in parallel, and carries over only what crosses a
-cell boundary.
+A service account may own a third of all events, and a single hour may hold a third of its own.
+Trailing counts cut each user's time line into cells that are worked on in parallel. The other
+operators, and trailing counts where a cell is still too large, sort all rows into ranges of about
+equal size and carry only what crosses the border of a range: a few numbers per range.
 """
 
 from __future__ import annotations
@@ -16,13 +17,47 @@ MICROS = 1_000_000
 # Inputs with fewer bytes cannot hold a cell that one task would not sort with ease.
 DENSE_CHECK_BYTES = 8 << 30
 DENSE_CELL_ROWS = 2_000_000
-SLICES_PER_CELL = 3600
 
 
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+# --- rows in order -----------------------------------------------------------------------
+
+
+def in_order(df: DataFrame, order: list[str]) -> DataFrame:
+    """Sort all rows by ``order`` (nulls first) and add ``_part`` and ``_place`` within it.
+
+    The sort cuts by sampled values of all order columns, so ranges stay about equal however
+    often a key or a time repeats. The result is stored once: a task that is run again cannot
+    number its rows differently.
+    """
+    columns = [F.col(c).asc_nulls_first() for c in order]
+    ordered = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+    # range number in the high bits, place in the low 33
+    stored = materialize(ordered.withColumn("_ident", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_ident", 33)
+    return stored.withColumns(
+        {"_part": part, "_place": F.col("_ident") - F.shiftleft(part, 33)}
+    ).drop("_ident")
+
+
+def _by_part() -> Window:
+    """Window over the table of ranges, which has one row per range."""
+    return Window.orderBy("_part")
+
+
+def _offsets(ordered: DataFrame, amount: Column) -> DataFrame:
+    """(_part, _offset): the sum of ``amount`` over all earlier ranges."""
+    sums = ordered.groupBy("_part").agg(amount.alias("_sum"))
+    earlier = _by_part().rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+
+
+# --- trailing counts ---------------------------------------------------------------------
+
+
 def trailing_count(
     df: DataFrame,
     keys: DataFrame,
@@ -42,12 +77,10 @@ def trailing_count(
     (all of the cell before) minus what has left so far plus what has arrived so far. That is one
     running sum per (key, cell): one shuffle, linear work, no sliding frame.
 
-    Cells with more than ``dense_cell_rows`` rows are cut again into time slices whose sums are
-    added up first. The pass that finds them is made only for inputs large enough to have any.
+    For inputs large enough to have cells of more than ``dense_cell_rows`` rows, a narrow pass
+    looks for them; if there are any, the running sum is taken over sorted ranges instead.
     """
     span = seconds * MICROS
-    if dense_cell_rows is None and input_bytes(keys) > DENSE_CHECK_BYTES:
-        dense_cell_rows = DENSE_CELL_ROWS
 
     def cell(t: Column) -> Column:
         return F.call_function("div", t - F.pmod(t, F.lit(span)), F.lit(span))
@@ -61,177 +94,144 @@ def trailing_count(
         ts,
         tiebreak,
         arriving.alias("_t"),
-        cell(arriving).alias("_cell"),
-        F.lit(1).alias("_step"),
+        F.when(F.col(ts).isNull(), 0).otherwise(1).alias("_step"),
         packed.alias("_others"),
     )
-    leaving = micros(F.col(ts)) + F.lit(span)
     leaves = keys.where(F.col(ts).isNotNull()).select(
-        key,
-        leaving.alias("_t"),
-        cell(leaving).alias("_cell"),
-        F.lit(-1).alias("_step"),
+        key, (micros(F.col(ts)) + F.lit(span)).alias("_t"), F.lit(-1).alias("_step")
     )
     steps = arrivals.unionByName(leaves, allowMissingColumns=True)
-    group = [key, "_cell"]
-    if dense_cell_rows is not None:
-        steps = _with_slices(steps, keys, key, ts, span, cell, dense_cell_rows)
-        group = [key, "_cell", "_slice"]
 
-    steps = steps.repartition(*group)
-    ordered = Window.partitionBy(*group).orderBy("_t", "_step", tiebreak)
+    if dense_cell_rows is None and input_bytes(keys) > DENSE_CHECK_BYTES:
+        dense_cell_rows = DENSE_CELL_ROWS
+    if dense_cell_rows is not None and _has_dense_cell(keys.select(key, cell(micros(F.col(ts))).alias("_c")), dense_cell_rows):
+        counted = _running_over_ranges(steps, [key, "_t", "_step", tiebreak])
+    else:
+        counted = _running_over_cells(steps, key, cell, tiebreak)
+
+    count = F.when(F.col(ts).isNull(), F.lit(0)).otherwise(F.col("_count")).alias(out)
+    back = [F.col(c) if c in (key, ts, tiebreak) else F.col("_others")[c].alias(c) for c in df.columns]
+    return counted.where("_step >= 0").select(*back, count)
+
+
+def _running_over_cells(steps: DataFrame, key: str, cell, tiebreak: str) -> DataFrame:
+    # rows without a time count nothing; they are only spread
+    spread = -1 - F.pmod(F.xxhash64(tiebreak), F.lit(1024))
+    celled = steps.withColumn("_cell", F.coalesce(cell(F.col("_t")), spread))
+    celled = celled.repartition(key, "_cell")
+    ordered = Window.partitionBy(key, "_cell").orderBy("_t", "_step", tiebreak)
     so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     base = F.count_if(F.col("_step") == -1).over(whole)
-    if dense_cell_rows is not None:
-        base = F.coalesce(F.col("_base"), base)
-    counted = steps.withColumn("_count", F.sum("_step").over(so_far) + base).where("_step = 1")
-    count = F.when(F.col(ts).isNull(), F.lit(0)).otherwise(F.col("_count")).alias(out)
-    back = [F.col(c) if c in (key, ts, tiebreak) else F.col("_others")[c].alias(c) for c in df.columns]
-    return counted.select(*back, count)
-
-
-def _with_slices(steps, keys, key, ts, span, cell, limit) -> DataFrame:
-    """Add ``_slice`` and, for rows of dense cells, ``_base``: the sum before their slice."""
-    here = keys.select(key, cell(micros(F.col(ts))).alias("_cell"))
-    per_cell = here.groupBy(key, "_cell").agg(F.count("*").alias("_n"))
-    both = per_cell.unionByName(per_cell.withColumn("_cell", F.col("_cell") + 1))
-    # At most 2 * rows / limit cells qualify, which bounds what is broadcast.
-    dense = both.groupBy(key, "_cell").agg(F.sum("_n").alias("_n")).where(F.col("_n") > limit)
-    dense = dense.select(F.col(key).alias("_dk"), F.col("_cell").alias("_dc"))
-    hit = F.col(key).eqNullSafe(F.col("_dk")) & (F.col("_cell") == F.col("_dc"))
-
-    width = max(span // SLICES_PER_CELL, 1)
-    slot = F.floor((F.col("_t") - F.col("_cell") * span) / width).cast("int")
-
-    def mark(df: DataFrame) -> DataFrame:
-        sliced = F.when(F.col("_dc").isNotNull(), slot).otherwise(F.lit(-1))
-        return df.join(F.broadcast(dense), hit, "left").withColumn("_slice", sliced).drop("_dk", "_dc")
-
-    marked = mark(steps)
-    arriving, leaving = micros(F.col(ts)), micros(F.col(ts)) + F.lit(span)
-    times = keys.where(F.col(ts).isNotNull()).select(
-        key, F.inline(F.array(F.struct(arriving.alias("_t"), F.lit(1).alias("_step")),
-                              F.struct(leaving.alias("_t"), F.lit(-1).alias("_step"))))
-    )
-    times = mark(times.withColumn("_cell", cell(F.col("_t")))).where("_slice >= 0")
-    sums = times.groupBy(key, "_cell", "_slice").agg(
-        F.sum("_step").alias("_sum"), F.count_if(F.col("_step") == -1).alias("_left")
-    )
-    cell_rows = Window.partitionBy(key, "_cell")  # at most SLICES_PER_CELL rows
-    before = cell_rows.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    base = F.coalesce(F.sum("_sum").over(before), F.lit(0)) + F.sum("_left").over(cell_rows)
-    bases = sums.select(
-        F.col(key).alias("_bk"), F.col("_cell").alias("_bc"), F.col("_slice").alias("_bs"),
-        base.alias("_base"),
-    )
-    same = (
-        F.col(key).eqNullSafe(F.col("_bk"))
-        & (F.col("_cell") == F.col("_bc"))
-        & (F.col("_slice") == F.col("_bs"))
-    )
-    return marked.join(bases, same, "left").drop("_bk", "_bc", "_bs")
+    return celled.withColumn("_count", F.sum("_step").over(so_far) + base)
 
 
-def sequence_by_time(
-    df: DataFrame,
-    ts: str,
-    tiebreak: list[str],
-    out: str = "seq",
-    restart: str | None = None,
-) -> DataFrame:
-    """Positions 0..n-1 in time order; ``restart`` ("day", "month", ...) begins anew per period.
+def _has_dense_cell(cells: DataFrame, limit: int) -> bool:
+    """Whether any (key, cell) has more than ``limit`` rows; counted map-side first."""
+    counts = cells.groupBy(*cells.columns).agg(F.count("*").alias("_n"))
+    return not counts.where(F.col("_n") > limit).isEmpty()
+
 
-    A distributed sort cuts the rows into ranges of about equal size, whatever the times look
-    like. The sorted rows are stored once with their range and place in it, so that a repeated
-    task cannot number them differently; the sizes of the earlier ranges give the offset. Only one
-    small row per range (and per period) is ever collected in a window or joined.
+def _running_over_ranges(steps: DataFrame, order: list[str]) -> DataFrame:
+    """The running sum over all rows sorted by key and time.
+
+    All rows of a key that arrive also leave, so the sum is zero between keys and needs no restart.
     """
-    ranges = df.repartitionByRange(F.col(ts).asc_nulls_first(), *tiebreak)
-    placed = ranges.sortWithinPartitions(F.col(ts).asc_nulls_first(), *tiebreak)
-    ident = F.monotonically_increasing_id()  # range number in the high bits, place in the low 33
-    stored = materialize(placed.withColumn("_ident", ident), "sequence")
-    part = F.shiftright("_ident", 33)
-    stored = stored.withColumns({"_part": part, "_place": F.col("_ident") - F.shiftleft(part, 33)})
+    ordered = in_order(steps, order)
+    offsets = _offsets(ordered, F.sum("_step"))
+    so_far = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    joined = ordered.join(F.broadcast(offsets), "_part")
+    return joined.withColumn("_count", F.sum("_step").over(so_far) + F.col("_offset"))
+
 
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = stored.groupBy("_part").agg(F.count("*").alias("_n"))
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    numbered = stored.join(F.broadcast(offsets), "_part")
+# --- positions and look-back -------------------------------------------------------------
+
+
+def sequence_by_time(
+    df: DataFrame, ts: str, tiebreak: list[str], out: str = "seq", restart: str | None = None
+) -> DataFrame:
+    """Positions 0..n-1 in time order; ``restart`` ("day", "month", ...) begins anew per period."""
+    ordered = in_order(df, [ts, *tiebreak])
+    numbered = ordered.join(F.broadcast(_offsets(ordered, F.count("*"))), "_part")
     seq = F.col("_place") + F.col("_offset")
     if restart:
         period = F.date_trunc(restart, F.col(ts).cast("timestamp"))
         numbered = numbered.withColumns({"_period": period, "_seq": seq})
         starts = numbered.groupBy(F.col("_period").alias("_p")).agg(F.min("_seq").alias("_start"))
         same = F.col("_period").eqNullSafe(F.col("_p"))
-        numbered = numbered.join(F.broadcast(starts), same).drop("_p")
+        numbered = numbered.join(F.broadcast(starts), same)  # one row per period of the calendar
         seq = F.col("_seq") - F.col("_start")
     return numbered.select(*df.columns, seq.alias(out))
 
 
 def previous_values(
-    df: DataFrame, key: str, ts: str, tiebreak: str, value: str, depth: int, cell: str = "hour"
+    df: DataFrame, key: str, ts: str, tiebreak: str, value: str, depth: int
 ) -> DataFrame:
-    """Add ``prev_1`` .. ``prev_depth``: the value of the user's rows before this one.
+    """Add ``prev_1`` .. ``prev_depth``: the value of the key's rows before this one.
 
-    Within a cell this is ``lag``. A cell's first rows continue with the last ``depth`` values of
-    the cells before, carried as one short array per non-empty cell.
+    Within a range this is ``lag``. The first rows of a range continue with the last ``depth``
+    rows of the ranges before it. A row of another key ends the look-back.
     """
-    cells = df.withColumn("_cell", F.date_trunc(cell, F.col(ts).cast("timestamp")))
-    in_cell = Window.partitionBy(key, "_cell")
-    forward = in_cell.orderBy(ts, tiebreak)
-    backward = in_cell.orderBy(F.desc(ts), F.desc(tiebreak))
-
+    ordered = in_order(df, [key, ts, tiebreak])
+    item = F.struct(F.col(key).alias("k"), F.col(value).alias("v"))
+    sizes = ordered.groupBy("_part").agg(F.max("_place").alias("_last"))
     tails = (
-        cells.select(key, "_cell", ts, tiebreak, value)
-        .withColumn("_back", F.row_number().over(backward))
-        .where(F.col("_back") <= depth)
-        .groupBy(key, "_cell")
-        .agg(F.sort_array(F.collect_list(F.struct("_back", value))).alias("_tail"))
+        ordered.join(F.broadcast(sizes), "_part")
+        .where(F.col("_place") > F.col("_last") - depth)
+        .groupBy("_part")
+        .agg(F.sort_array(F.collect_list(F.struct((-F.col("_place")).alias("o"), item.alias("e")))).alias("_tail"))
     )
-    # Newest first; ``depth`` non-empty cells always hold ``depth`` values between them.
-    per_key = Window.partitionBy(key).orderBy("_cell")
-    older = [
-        F.coalesce(F.lag("_tail", i).over(per_key), F.array().cast(tails.schema["_tail"].dataType))
-        for i in range(1, depth + 1)
-    ]
-    carried = tails.select(key, "_cell", F.slice(F.concat(*older), 1, depth).alias("_carry"))
-
-    ranked = cells.withColumn("_rank", F.row_number().over(forward))
-    for i in range(1, depth + 1):
-        ranked = ranked.withColumn(f"_lag{i}", F.lag(value, i).over(forward))
-    joined = ranked.join(carried, [key, "_cell"], "left")
-    for i in range(1, depth + 1):
-        from_carry = F.get(F.col("_carry"), F.lit(i) - F.col("_rank")).getField(value)
-        here = F.when(F.col("_rank") > i, F.col(f"_lag{i}")).otherwise(from_carry)
-        joined = joined.withColumn(f"prev_{i}", here)
-    return joined.drop("_cell", "_rank", "_carry", *[f"_lag{i}" for i in range(1, depth + 1)])
-
-
-def last_before(
-    df: DataFrame, marks: DataFrame, key: str, ts: str, out: str, cell: str = "hour"
-) -> DataFrame:
+    # newest first; any ``depth`` ranges hold at least ``depth`` rows between them
+    none = F.array().cast(tails.schema["_tail"].dataType)
+    older = [F.coalesce(F.lag("_tail", i).over(_by_part()), none) for i in range(1, depth + 1)]
+    carried = tails.select("_part", F.slice(F.concat(*older), 1, depth).alias("_carry"))
+
+    here = Window.partitionBy("_part").orderBy("_place")
+    looked = ordered.withColumns({f"_lag{i}": F.lag(item, i).over(here) for i in range(1, depth + 1)})
+    looked = looked.join(F.broadcast(carried), "_part", "left")
+
+    def back(i: int) -> Column:
+        before = F.get(F.col("_carry"), F.lit(i - 1) - F.col("_place"))["e"]
+        found = F.when(F.col("_place") >= i, F.col(f"_lag{i}")).otherwise(before)
+        return F.when(found["k"].eqNullSafe(F.col(key)), found["v"]).alias(f"prev_{i}")
+
+    return looked.select(*df.columns, *[back(i) for i in range(1, depth + 1)])
+
+
+def last_before(df: DataFrame, marks: DataFrame, key: str, ts: str, out: str) -> DataFrame:
     """Add ``out``: the time of the latest mark of the same key at or before each row.
 
-    ``marks`` holds (key, ts). Rows and marks are merged in time order inside cells; the latest
-    mark of the cells before is carried. No pair of row and mark is ever formed.
+    ``marks`` holds (key, ts). Rows and marks are merged in time order; a range whose first key
+    began in an earlier range starts with that key's latest mark. No pair of row and mark is formed.
     """
     at = F.col(ts).cast("timestamp")
     rows = df.withColumns({"_at": at, "_mark": F.lit(None).cast("timestamp"), "_row": F.lit(1)})
     seen = marks.select(key, at.alias("_at"), at.alias("_mark"), F.lit(0).alias("_row"))
-    merged = rows.unionByName(seen, allowMissingColumns=True)
-    merged = merged.withColumn("_cell", F.date_trunc(cell, "_at"))
-
-    per_cell = merged.groupBy(key, "_cell").agg(F.max("_mark").alias("_last"))
-    before = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_cell.select(key, "_cell", F.max("_last").over(before).alias("_carry"))
-
-    so_far = Window.partitionBy(key, "_cell").orderBy("_at", "_row")
-    running = merged.withColumn("_in_cell", F.max("_mark").over(so_far)).where("_row = 1")
-    joined = running.join(carried, [key, "_cell"], "left")
-    return joined.withColumn(out, F.coalesce("_in_cell", "_carry")).drop(
-        "_at", "_mark", "_row", "_cell", "_in_cell", "_carry"
+    ordered = in_order(rows.unionByName(seen, allowMissingColumns=True), [key, "_at", "_row"])
+
+    per_key = ordered.groupBy("_part", key).agg(
+        F.min("_place").alias("_from"), F.max("_mark").alias("_latest")
+    )
+    ends = per_key.groupBy("_part").agg(
+        F.min_by(key, "_from").alias("_first"),
+        F.max_by(key, "_from").alias("_last"),
+        F.max_by("_latest", "_from").alias("_latest"),
     )
+    # one row per range; ranges that end in the same key follow one another
+    same_end = Window.partitionBy("_last").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.withColumn("_upto", F.max("_latest").over(same_end))
+    prior_key, prior = F.lag("_last").over(_by_part()), F.lag("_upto").over(_by_part())
+    continues = prior_key.eqNullSafe(F.col("_first")) & prior.isNotNull()
+    carried = ends.select("_part", "_first", F.when(continues, prior).alias("_carry"))
+
+    so_far = Window.partitionBy("_part", key).orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    running = ordered.withColumn("_here", F.max("_mark").over(so_far)).where("_row = 1")
+    joined = running.join(F.broadcast(carried), "_part")
+    carry = F.when(F.col(key).eqNullSafe(F.col("_first")), F.col("_carry"))
+    return joined.select(*df.columns, F.coalesce("_here", carry).alias(out))
+
+
+# --- sessions ----------------------------------------------------------------------------
 
 
 def sessions(df: DataFrame, key: str, ts: str, gap_minutes: int = 30) -> DataFrame:
