@@ -27,15 +27,26 @@ def test_nulls_and_ties(spark):
     check(spark, [None, 2.0, 2.0, None, 2.0, 7.0])
 
 
-def test_bracket_is_refined(spark, monkeypatch):
+@pytest.mark.parametrize("limit", [20_000_000, 100])
+def test_bracket_is_refined(spark, monkeypatch, limit):
     """A coarse sketch leaves many values inside the brackets; the result stays exact."""
-    monkeypatch.setattr(quantiles, "ACCURACY", 20)
-    monkeypatch.setattr(quantiles, "SLACK", 0.2)
+    monkeypatch.setattr(quantiles, "ACCURACY", 40)
+    monkeypatch.setattr(quantiles, "INSIDE_ROWS", limit)
     rng = np.random.default_rng(0)
     values = np.concatenate([rng.lognormal(3, 2, 4000), np.zeros(2000)])
     check(spark, [float(v) for v in values])
 
 
+def test_coarse_sketch_per_group(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "GROUP_ACCURACY", 40)
+    rng = np.random.default_rng(4)
+    rows = [(str(i % 2), float(v)) for i, v in enumerate(rng.normal(size=4000))]
+    df = spark.createDataFrame(rows, "k string, x double")
+    for r in exact_quantiles_by(df, ["k"], ["x"], [0.43]).collect():
+        want = np.percentile([x for k, x in rows if k == r["k"]], 43)
+        assert r["value"] == pytest.approx(want, rel=1e-12)
+
+
 @pytest.mark.parametrize("salt", [None, 50])
 def test_grouped(spark, salt):
     rng = np.random.default_rng(1)

@@ -222,8 +222,8 @@ def evidence(q: Inputs):
 
 @query("t4_plain_narrative", f"""{TOP_JOINED}
 SELECT r.access_id, CASE WHEN r.access_id % 3 = 0
-  THEN 'Anomalous event with raw score ' || printf('%.4f', anomaly_score) || '. No factors are known.'
-  ELSE 'Anomalous event with raw score ' || printf('%.4f', anomaly_score) || '. Main factor: ' || n1 || ', ' || d1 || '.' END AS narrative,
+  THEN 'Anomalous event with raw score ' || printf('%.4f', round_even(anomaly_score, 4)) || '. No factors are known.'
+  ELSE 'Anomalous event with raw score ' || printf('%.4f', round_even(anomaly_score, 4)) || '. Main factor: ' || n1 || ', ' || d1 || '.' END AS narrative,
   {ACTION} AS action
 FROM rp r JOIN tj ON r.access_id = tj.access_id""")
 def plain_narrative(q: Inputs):

@@ -13,5 +13,5 @@ def round_to(c: Column | str, digits: int) -> Column:
 
 
 def fixed(c: Column, digits: int) -> Column:
-    """Text with a fixed number of decimals, rounded on the exact binary value."""
-    return F.call_function("format_number", c.cast("double"), F.lit("0." + "0" * digits))
+    """Text with a fixed number of decimals of the rounded value."""
+    return F.call_function("format_number", round_to(c, digits), F.lit("0." + "0" * digits))

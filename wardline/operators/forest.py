@@ -57,17 +57,12 @@ def average_path(n: float) -> float:
 
 def fit_scaler(df: DataFrame, features: list[str]) -> DataFrame:
     """Mean and population deviation per feature, as rows (position, feature, mean, std, n)."""
-    packed = [
-        F.struct(
-            F.lit(i).alias("position"),
-            F.lit(f).alias("feature"),
-            F.avg(f).alias("mean"),
-            F.stddev_pop(f).alias("std"),
-            F.count("*").alias("n"),
-        )
-        for i, f in enumerate(features)
-    ]
-    return df.agg(F.array(*packed).alias("_rows")).select(F.inline("_rows"))
+    values = df.select(F.posexplode(F.array(*features)).alias("position", "v"))
+    totals = values.groupBy("position").agg(
+        F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.count("*").alias("n")
+    )
+    name = F.get(F.array(*map(F.lit, features)), F.col("position"))
+    return totals.select("position", name.alias("feature"), "mean", "std", "n")
 
 
 def standardise(df: DataFrame, scaler: list, features: list[str]) -> DataFrame:
@@ -260,10 +255,10 @@ def fit_forest(
     is scored once.
     """
     spark = df.sparkSession
-    scaler = fit_scaler(df, features).collect()  # one row per feature
-    total = scaler[0]["n"]
-    if total == 0:
+    scaler = sorted(fit_scaler(df, features).collect())  # one row per feature
+    if not scaler:
         raise ValueError("cannot fit a forest on an empty table")
+    total = scaler[0]["n"]
     size = min(subsample, total)
     z = standardise(df.select(id_col, *features), scaler, features)
     samples = tree_samples(z, id_col, total, trees, size, seed)

@@ -13,13 +13,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardline.operators.joins import join_statistics
 
-ACCURACY = 20_000
-SLACK = 4 / ACCURACY
+ACCURACY = 2_000  # of the sketch over a whole column: brackets hold about 0.4 % of the rows
+GROUP_ACCURACY = 20_000  # of the sketches per key, whose brackets are not narrowed again
+INSIDE_ROWS = 20_000_000  # a slot with more rows is bracketed again
 
 
-def _edge_probs(probs: list[float]) -> list[float]:
+def _edge_probs(probs: list[float], accuracy: int) -> list[float]:
     """Two sketch probabilities per quantile, a little below and above it."""
-    return [e for p in probs for e in (max(p - SLACK, 0.0), min(p + SLACK, 1.0))]
+    slack = 4 / accuracy
+    return [e for p in probs for e in (max(p - slack, 0.0), min(p + slack, 1.0))]
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
@@ -34,62 +36,13 @@ def exact_quantile(df: DataFrame, column: str, prob: float) -> float | None:
 
 
 def whole_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> list[tuple]:
-    """(column, probability, value) triples.
-
-    Three passes, each with a result of a few numbers per column: the sketch's edges; counts,
-    minima and maxima of the slots that the edges cut each column into; and, where a wanted place
-    lies strictly inside a slot, the running counts of that slot's values.
-    """
+    """(column, probability, value) triples."""
     src = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    wanted = _edge_probs(probs)
-    found = src.agg(
-        *[F.percentile_approx(c, wanted, ACCURACY).alias(f"_edges_{i}") for i, c in enumerate(columns)]
-    ).head()
-    edges = [sorted(set(found[i] or [])) for i in range(len(columns))]
-
-    # Slot 2k + 1 is the k-th edge, 2k lies below it, 2k + 2 above. The edges are looked up after
-    # the columns are turned into rows, which keeps the generated code small enough to compile.
-    cells = [F.struct(F.lit(i).alias("c"), F.col(c).alias("v")) for i, c in enumerate(columns)]
-    spread = src.select(F.inline(F.array(*cells))).where("v IS NOT NULL")
-    lists = F.array(*[F.array(*map(F.lit, e)).cast("array<double>") for e in edges])
-    own = F.get(lists, F.col("c"))
-    passed = F.size(F.filter(own, lambda e: e < F.col("v"))) * 2
-    slot = passed + F.array_contains(own, F.col("v")).cast("int")
-    tally = (
-        spread.withColumn("s", slot)
-        .groupBy("c", "s")
-        .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    )
-    slots: dict[int, list] = {}
-    for row in sorted(tally.collect()):  # at most 4 x len(probs) + 1 rows per column
-        slots.setdefault(row["c"], []).append(row)
 
-    totals = {i: sum(r["n"] for r in rows) for i, rows in slots.items()}
-    places = {
-        (i, place)
-        for i, n in totals.items()
-        for p in probs
-        for place in (floor(p * (n - 1)), ceil(p * (n - 1)))
-    }
-    values: dict[tuple[int, int], float] = {}
-    inside: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for i, place in places:
-        before = 0
-        for row in slots[i]:
-            if place < before + row["n"]:
-                break
-            before += row["n"]
-        if place == before or row["lo"] == row["hi"]:
-            values[i, place] = row["lo"]
-        elif place == before + row["n"] - 1:
-            values[i, place] = row["hi"]
-        elif not 0 < row["s"] < 2 * len(edges[i]):
-            raise RuntimeError("a quantile lies outside its bracket")
-        else:
-            inside.setdefault((i, row["s"]), []).append((place, place - before))
-    if inside:
-        values.update(_places_inside(src, columns, edges, inside))
+    def neighbours(n: int) -> set[int]:
+        return {f(p * (n - 1)) for p in probs for f in (floor, ceil)}
 
+    totals, values = _values_at(src, columns, probs, neighbours)
     rows = []
     for i, c in enumerate(columns):
         for p in probs:
@@ -102,15 +55,89 @@ def whole_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> li
     return rows
 
 
-def _places_inside(src: DataFrame, columns: list[str], edges: list, inside: dict) -> dict:
-    """Values at given places within slots; only rows of these slots are counted."""
+def _values_at(src: DataFrame, columns: list[str], probs: list[float], places_for) -> tuple[dict, dict]:
+    """Rows per column, and the value at each place (0-based rank) that ``places_for(rows)`` names.
+
+    Each pass ends in a few numbers per column: the sketch's edges near ``probs``; counts, minima
+    and maxima of the slots that the edges cut a column into; and, for a place strictly inside a
+    slot, the running counts of that slot's values, or the same again if the slot is still large.
+    """
+    edges = _sketch_edges(src, columns, probs)
+    slots = _slot_counts(src, columns, edges)
+    totals = {i: sum(r["n"] for r in rows) for i, rows in slots.items()}
+    values: dict[tuple[int, int], float] = {}
+    small: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for i, rows in slots.items():
+        before = 0
+        for row in rows:
+            asked = [p for p in places_for(totals[i]) if before <= p < before + row["n"]]
+            inside = []
+            for place in asked:
+                if place == before or row["lo"] == row["hi"]:
+                    values[i, place] = row["lo"]
+                elif place == before + row["n"] - 1:
+                    values[i, place] = row["hi"]
+                else:
+                    inside.append(place - before)
+            if inside and not 0 < row["s"] < 2 * len(edges[i]):
+                raise RuntimeError("a quantile lies outside its bracket")
+            if inside and row["n"] > INSIDE_ROWS:
+                v, (low, high) = F.col(columns[i]), _bounds(edges[i], row["s"])
+                part = src.select(columns[i]).where((v > low) & (v < high))
+                near = [offset / (row["n"] - 1) for offset in inside]
+                _, found = _values_at(part, [columns[i]], near, lambda n, at=inside: at)
+                values.update({(i, before + offset): x for (_, offset), x in found.items()})
+            elif inside:
+                small[i, row["s"]] = [(before + offset, offset) for offset in inside]
+            before += row["n"]
+    if small:
+        values.update(_places_inside(src, columns, edges, small))
+    return totals, values
+
+
+def _bounds(edges: list[float], slot: int) -> tuple[float, float]:
+    """The two edges around an inner slot."""
+    return edges[slot // 2 - 1], edges[slot // 2]
+
 
-    def member(i: int, s: int) -> Column:
-        v = F.col(columns[i])
-        cell = F.struct(F.lit(i).alias("c"), F.lit(s).alias("s"), v.alias("v"))
-        return F.when((v > edges[i][s // 2 - 1]) & (v < edges[i][s // 2]), cell)
+def _sketch_edges(src: DataFrame, columns: list[str], probs: list[float]) -> list[list[float]]:
+    wanted = _edge_probs(probs, ACCURACY)
+    sketches = [F.percentile_approx(c, wanted, ACCURACY).alias(f"_{i}") for i, c in enumerate(columns)]
+    return [sorted(set(found or [])) for found in src.agg(*sketches).head()]
 
-    kept = src.select(F.inline(F.array_compact(F.array(*[member(i, s) for i, s in inside]))))
+
+def _slot_counts(src: DataFrame, columns: list[str], edges: list[list[float]]) -> dict[int, list]:
+    """Per column its non-empty slots in order. Slot 2k + 1 is the k-th edge, 2k lies below it.
+
+    Columns become rows first and their edges are joined to them (one row per column), so the
+    generated code stays small enough to be compiled.
+    """
+    width = max(map(len, edges))
+    names = [f"e{j}" for j in range(width)]
+    padded = [(i, *e, *[None] * (width - len(e))) for i, e in enumerate(edges)]
+    table = src.sparkSession.createDataFrame(padded, "c int" + "".join(f", {n} double" for n in names))
+    v = F.col("v")
+    steps = [F.coalesce((v > F.col(n)).cast("int") + (v >= F.col(n)).cast("int"), F.lit(0)) for n in names]
+    spread = src.select(F.posexplode(F.array(*columns)).alias("c", "v")).where("v IS NOT NULL")
+    tally = (
+        spread.join(F.broadcast(table), "c")
+        .withColumn("s", sum(steps, F.lit(0)))
+        .groupBy("c", "s")
+        .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    )
+    slots: dict[int, list] = {}
+    for row in sorted(tally.collect()):  # at most 4 x len(probs) + 1 rows per column
+        slots.setdefault(row["c"], []).append(row)
+    return slots
+
+
+def _places_inside(src: DataFrame, columns: list[str], edges: list, inside: dict) -> dict:
+    """Values at given places within slots; only rows of these slots are counted."""
+    used = sorted({i for i, _ in inside})
+    bounds = [(used.index(i), i, s, *_bounds(edges[i], s)) for i, s in inside]
+    table = src.sparkSession.createDataFrame(bounds, "u int, c int, s int, low double, high double")
+    spread = src.select(F.posexplode(F.array(*[columns[i] for i in used])).alias("u", "v"))
+    kept = spread.join(F.broadcast(table), "u").where("v > low AND v < high")
     in_slot = lambda i, s: (F.col("c") == i) & (F.col("s") == s)
     counted = kept.groupBy("c", "s", "v").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("c", "s").orderBy("v"))
@@ -137,10 +164,10 @@ def exact_quantiles_by(
     The brackets are per-key statistics joined to the rows; nothing is run on the way.
     """
     src = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
-    wanted = _edge_probs(probs)
+    wanted = _edge_probs(probs, GROUP_ACCURACY)
     brackets = src.groupBy(*keys).agg(
         F.count("*").alias("_rows"),
-        *[F.percentile_approx(c, wanted, ACCURACY).alias(f"_edges_{i}") for i, c in enumerate(columns)],
+        *[F.percentile_approx(c, wanted, GROUP_ACCURACY).alias(f"_edges_{i}") for i, c in enumerate(columns)],
     )
     rows = join_statistics(src, brackets, keys, "_rows", columns, rows_per_salt)
     edge = lambda i, j: F.get(F.col(f"_edges_{i}"), F.lit(j))
