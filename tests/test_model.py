@@ -159,7 +159,7 @@ def test_planted_patterns_score_below_ordinary_events(spark):
     """Events with the signature of the typed rules stand out from a user's ordinary ones."""
     import datetime as dt
 
-    from test_features import LOG, PROFILE, REF, frames
+    from test_features import REF, frames
     from wardline.plans.train import train
 
     rng = np.random.default_rng(8)

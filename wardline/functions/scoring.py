@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from wardline.functions.numeric import round_to
 
 # Thresholds on the 0-100 risk score and on the raw score.
 BAND_FLOORS = [(80, "critical"), (60, "high"), (40, "elevated")]

@@ -62,7 +62,8 @@ def score_stream(
             placed = done.withColumns(
                 {"event_date": F.to_date("timestamp"), "batch_id": F.lit(batch_id)}
             )
-            writer = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            spread = placed.hint("rebalance", "event_date")
+            writer = spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             writer.partitionBy("event_date", "batch_id").parquet(out)
         finally:
             batch.unpersist()
@@ -82,7 +83,7 @@ def _days_touched(batch: DataFrame) -> list[str]:
 def _written_on(spark, out: str, days: list[str], batch_id: int) -> DataFrame | None:
     """Ids of the stored events of these days, without those of the batch itself."""
     found = None
-    for day in days:
+    for day in days if batch_id else []:
         try:
             stored = spark.read.option("basePath", out).parquet(f"{out}/event_date={day}")
         except AnalysisException:  # nothing was written on that day
