@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from wardline.llm import chat, html_text, quality_rules
+from wardline.llm import bpe, chat, html_text, licence, quality_rules
 from wardline.llm.common import table
 
 
+def op1_licence_scan(spark, sf_dir):
+    return licence.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_html_text(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -15,6 +19,10 @@ def op4_chat_format(spark, sf_dir):
     return chat.read_back(chat.format_chats(turns))
 
 
+def op5_bpe_round_trip(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -22,8 +30,10 @@ def op8_quality_rules(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_licence_scan,
         op2_html_text,
         op4_chat_format,
+        op5_bpe_round_trip,
         op8_quality_rules,
     )
 }
