@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardline.llm import bpe, chat, html_text, licence, quality_rules
+from wardline.llm import bpe, chat, html_text, licence, quality_rules, toxicity
 from wardline.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op8_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark, sf_dir):
+    return toxicity.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -35,6 +39,7 @@ QUERIES = {
         op4_chat_format,
         op5_bpe_round_trip,
         op8_quality_rules,
+        op10_toxicity,
     )
 }
 ORACLES = {"op8_quality_rules": quality_rules.ORACLE}
