@@ -120,3 +120,11 @@ def windows_of(hashes: np.ndarray, width: int, seed: int = 3) -> np.ndarray:
     for k, m in enumerate(odd_numbers(seed, width)):
         out += hashes[k : k + n] * m
     return mix(out)
+
+
+def free(name: str, taken) -> str:
+    """``name``, with underscores before it until no column of ``taken`` has it."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name

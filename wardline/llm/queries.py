@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardline.llm import bpe, chat, html_text, licence, quality_rules, toxicity
+from wardline.llm import bpe, chat, html_text, licence, quality_crf, quality_rules, toxicity
 from wardline.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op5_bpe_round_trip(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark, sf_dir):
+    return quality_crf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ QUERIES = {
         op2_html_text,
         op4_chat_format,
         op5_bpe_round_trip,
+        op6_quality_classifier,
         op8_quality_rules,
         op10_toxicity,
     )
