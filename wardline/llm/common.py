@@ -67,8 +67,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def odd_numbers(seed: int, n: int) -> np.ndarray:
     """``n`` odd 64-bit numbers that depend on ``seed`` alone."""
-    start = np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15 % 2**63)
-    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start) | np.uint64(1)
+    count = np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 32)
+    return mix(count * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 _LOWER = np.arange(256, dtype=np.uint8)

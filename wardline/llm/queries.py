@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardline.llm import bpe, chat, html_text, licence, quality_crf, quality_rules, toxicity
+from wardline.llm import bpe, chat, decontaminate, html_text, licence, quality_crf, quality_rules, toxicity
 from wardline.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_html_text(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_decontamination(spark, sf_dir):
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_chat_format(spark, sf_dir):
     turns = chat.with_probe(spark, table(spark, sf_dir, "conversations"))
     return chat.read_back(chat.format_chats(turns))
@@ -40,6 +44,7 @@ QUERIES = {
     for f in (
         op1_licence_scan,
         op2_html_text,
+        op3_decontamination,
         op4_chat_format,
         op5_bpe_round_trip,
         op6_quality_classifier,
