@@ -128,3 +128,48 @@ def free(name: str, taken) -> str:
     while name.lower() in lower:
         name = "_" + name
     return name
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str = "g") -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by ``key``, cut between groups: tables with the bounds of the groups in them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy()
+        heads = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        begins = not held or held[-1].column(key)[-1].as_py() != keys[0]
+        if held and (begins or len(heads)):
+            cut = 0 if begins else int(heads[0])
+            yield _bounded(held + [batch.slice(0, cut)] if cut else held, key)
+            held, batch = [], batch.slice(cut)
+            heads = heads[heads > cut] - cut
+        if not held and len(heads):
+            yield _bounded([batch.slice(0, int(heads[-1]))], key)
+            batch = batch.slice(int(heads[-1]))
+        held.append(batch)
+    if held:
+        yield _bounded(held, key)
+
+
+def _bounded(batches: list[pa.RecordBatch], key: str) -> tuple[pa.Table, np.ndarray]:
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    keys = rows.column(key).to_numpy()
+    return rows, np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+
+
+def forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (smallest, other) that connect 0..n-1 as ``pairs`` do."""
+    root = list(range(n))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs.tolist():
+        a, b = top(a), top(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    return [(r, x) for x in range(n) if (r := top(x)) != x]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardline.llm import bpe, chat, decontaminate, html_text, licence, quality_crf, quality_rules, toxicity
+from wardline.llm import bpe, chat, decontaminate, html_text, jaccard, licence, quality_crf, quality_rules, toxicity
 from wardline.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op6_quality_classifier(spark, sf_dir):
     return quality_crf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_ngram_jaccard(spark, sf_dir):
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES = {
         op4_chat_format,
         op5_bpe_round_trip,
         op6_quality_classifier,
+        op7_ngram_jaccard,
         op8_quality_rules,
         op10_toxicity,
     )
