@@ -28,15 +28,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from wardline.llm.common import hashed_words, odd_numbers, slices, windows_of
 from wardline.session import materialize
 
 TRAIN_ROWS = 10_000  # labelled rows that the model is fitted on, by hash of the id
 TERMS = 500
 CANDIDATES = 20_000
 STEMS = (4, 5, 6, 7)
-LEAST = 4  # toxic texts with a term
+LEAST, SHARE = 4, 0.01  # toxic texts with a term: at least so many, and at least this part of them
 RATIO = 8.0  # of its rates in toxic and other texts
 G2 = 15.0  # log-likelihood ratio of the two rates
+SKETCH = 4  # MinHash values by which near copies in the sample are known
+_SKETCHED = [f"sketch{k}" for k in range(SKETCH)]
 WINDOW = 6  # words of context on either side
 FUZZY_ODDS, FUZZY_NOISE = 1.0, 0.0005  # misspellings count if their log odds and share of other texts allow it
 MEMO, STATES = 200_000, 20_000
@@ -65,15 +68,19 @@ class Hit(NamedTuple):
 
 
 class Product:
-    """Trie of terms and the deterministic product with their automata; ``hit`` reads one word."""
+    """Trie of terms and the deterministic product with their automata; ``hit`` reads one word.
 
-    def __init__(self, terms: list[tuple[str, bool]]):
+    Terms numbered in ``exact`` are met without edits only.
+    """
+
+    def __init__(self, terms: list[tuple[str, bool]], exact: frozenset[int] = frozenset()):
+        self.allowed = [0 if s or t in exact else edits_for(w) for t, (w, s) in enumerate(terms)]
         self.next: list[dict[str, int]] = [{}]
         self.whole: dict[int, int] = {}
         self.stem: dict[int, int] = {}
         self.most = [0]  # edits allowed below a node
         for t, (term, is_stem) in enumerate(terms):
-            node, allowed = 0, 0 if is_stem else edits_for(term)
+            node, allowed = 0, self.allowed[t]
             self.most[0] = max(self.most[0], allowed)
             for c in term:
                 if c not in self.next[node]:
@@ -83,7 +90,6 @@ class Product:
                 node = self.next[node][c]
                 self.most[node] = max(self.most[node], allowed)
             (self.stem if is_stem else self.whole)[node] = t
-        self.allowed = [0 if s else edits_for(t) for t, s in terms]
         self._reset()
 
     def _reset(self) -> None:
@@ -192,6 +198,10 @@ class Model(NamedTuple):
     fuzzy: list[float]
     weights: np.ndarray
 
+    def product(self) -> Product:
+        """Misspellings that are worth nothing are not looked for."""
+        return Product(self.terms, frozenset(t for t, v in enumerate(self.fuzzy) if not v))
+
     def hits(self, verdicts: Verdicts, text: str) -> list[tuple[Hit, float]]:
         tokens = text.lower().split()
         found = {t: h for t in set(tokens) if (h := verdicts[t])}
@@ -252,7 +262,7 @@ def choose_terms(toxic: dict, clean: dict, n_toxic: int, n_clean: int) -> list[t
         for o, n in ((n_toxic - a, n_toxic), (n_clean - b, n_clean)):
             if o > 0:
                 g += o * math.log(o / (n * (1 - p)))
-        if a >= LEAST and 2 * g >= G2 and a / n_toxic >= RATIO * b / n_clean:
+        if a >= max(LEAST, SHARE * n_toxic) and 2 * g >= G2 and a / n_toxic >= RATIO * b / n_clean:
             scored.append((-round(2 * g, 6), -len(term[0]), term, a))
     kept: list[tuple[str, bool, int]] = []
     for _, _, (term, stem), a in sorted(scored):
@@ -272,7 +282,7 @@ def _occurrences(model: Model):
     """Per text: label, and its hits as term, edits, context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        verdicts = Verdicts(Product(model.terms))
+        verdicts = Verdicts(model.product())
         for batch in batches:
             label, term, edits, weight = [], [], [], []
             for text, toxic in zip(batch.column(0), batch.column(1)):
@@ -305,7 +315,34 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropna()
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    return thinned(rows.groupBy("text").agg(F.max("toxic").alias("toxic")))
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    factors = odd_numbers(31, SKETCH)
+    for batch in batches:
+        for t in slices(batch.column(0)):
+            w = hashed_words(t)
+            every = windows_of(w.hash, 5)
+            mins = np.zeros((t.hi - t.lo, SKETCH), np.uint64)
+            for i, (a, b) in enumerate(zip(w.first[:-1], w.first[1:])):
+                own = every[a : b - 4] if b - a >= 5 else w.hash[a:b]
+                if len(own):
+                    mins[i] = (own[:, None] * factors).min(axis=0)
+            part = batch.slice(t.lo, t.hi - t.lo)
+            values = [pa.array(mins[:, k].astype(np.int64)) for k in range(SKETCH)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *values], ["text", "toxic", *_SKETCHED])
+
+
+def thinned(rows: DataFrame) -> DataFrame:
+    """One text of those that share a MinHash value of their five-word shingles: near copies are one observation."""
+    fields = "text string, toxic int, " + ", ".join(f"{k} long" for k in _SKETCHED)
+    rows = rows.mapInArrow(_sketched, fields)
+    for k in _SKETCHED:
+        whole = F.struct(F.xxhash64("text").alias("h"), "text", "toxic", *_SKETCHED)
+        rows = rows.groupBy(k).agg(F.min(whole).alias("x")).select("x.text", "x.toxic", *(f"x.{c}" for c in _SKETCHED))
+    return rows.select("text", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -342,7 +379,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, n_hits and n_misspelled of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        verdicts = Verdicts(Product(model.terms))
+        verdicts = Verdicts(model.product())
         for batch in batches:
             hits = [model.hits(verdicts, x.as_py() or "") for x in batch.column(1)]
             columns = [
