@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardline.llm import bpe, chat, decontaminate, html_text, jaccard, licence, quality_crf, quality_rules, toxicity
+from wardline.llm import bpe, chat, decontaminate, html_text, jaccard, licence, quality_crf, quality_rules, suffix_dedup, toxicity
 from wardline.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op8_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.removed(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark, sf_dir):
     return toxicity.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,6 +58,7 @@ QUERIES = {
         op6_quality_classifier,
         op7_ngram_jaccard,
         op8_quality_rules,
+        op9_suffix_dedup,
         op10_toxicity,
     )
 }
