@@ -146,3 +146,17 @@ def test_sessions(spark):
     assert {tuple(r) for r in got.collect()} == {
         ("a", at(0), at(1799), 2), ("a", at(3599), at(3599), 1), ("b", at(10), at(10), 1),
     }
+
+
+def test_repeated_rows_of_one_user_stay_their_own(spark):
+    """Rows stored twice count twice for their user and for nobody else, on either path."""
+    rows = [(1, 0, 10), (1, 0, 10), (1, 60, 11), (1, 60, 11), (2, 30, 12), (2, 90, 13), (3, None, 14)]
+    df = spark.createDataFrame(rows, "u int, s int, id int").select("u", "id", F.timestamp_seconds("s").alias("t"))
+
+    def counted(**kw):
+        out = windows.trailing_count(df, df.select("u", "t").distinct(), "u", "t", "id", "n", **kw)
+        return sorted((r.u, r.id, r.n) for r in out.collect())
+
+    want = [(1, 10, 1), (1, 10, 2), (1, 11, 3), (1, 11, 4), (2, 12, 1), (2, 13, 2), (3, 14, 0)]
+    assert counted() == want
+    assert counted(dense_cell_rows=1) == want

@@ -10,13 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wardline.session import input_bytes, materialize
+from wardline.session import materialize
 
 MICROS = 1_000_000
 
-# Inputs with fewer bytes cannot hold a cell that one task would not sort with ease.
-DENSE_CHECK_BYTES = 8 << 30
-DENSE_CELL_ROWS = 2_000_000
+DENSE_CELL_ROWS = 2_000_000  # rows of a cell that one task sorts with ease
 
 
 def micros(ts: Column) -> Column:
@@ -66,19 +64,20 @@ def trailing_count(
     tiebreak: str,
     out: str,
     seconds: int = 3600,
-    dense_cell_rows: int | None = None,
+    dense_cell_rows: int = DENSE_CELL_ROWS,
 ) -> DataFrame:
     """Rows of the same key in (ts - seconds, ts], rows at the same instant counting up one by one.
 
-    ``keys`` holds the (key, ts) pairs that are counted: the same rows as ``df``, read narrowly.
+    ``keys`` are the (key, ts) pairs of ``df``, read narrowly; only the size of the cells is taken from them.
 
     Each row arrives at its time and leaves ``seconds`` later. Time is cut into cells as long as
     the window, so what is still counted at a row is: everything that leaves in the row's cell
     (all of the cell before) minus what has left so far plus what has arrived so far. That is one
     running sum per (key, cell): one shuffle, linear work, no sliding frame.
 
-    For inputs large enough to have cells of more than ``dense_cell_rows`` rows, a narrow pass
-    looks for them; if there are any, the running sum is taken over sorted ranges instead.
+    A narrow pass with partial counts looks for cells of more than ``dense_cell_rows`` rows; if there are any,
+    the running sum is taken over sorted ranges instead, with the same result. Arrivals and departures are made
+    from the same row, so they always cancel.
     """
     span = seconds * MICROS
 
@@ -89,22 +88,25 @@ def trailing_count(
     others = [c for c in df.columns if c not in (key, ts, tiebreak)]
     packed = F.struct(*others) if others else F.lit(None).cast("int")
     arriving = micros(F.col(ts))
-    arrivals = df.select(
-        key,
-        ts,
-        tiebreak,
+    nothing = F.when(F.lit(False), packed)
+    arrives = F.struct(
+        F.col(ts).alias(ts),
+        F.col(tiebreak).alias(tiebreak),
         arriving.alias("_t"),
         F.when(F.col(ts).isNull(), 0).otherwise(1).alias("_step"),
         packed.alias("_others"),
     )
-    leaves = keys.where(F.col(ts).isNotNull()).select(
-        key, (micros(F.col(ts)) + F.lit(span)).alias("_t"), F.lit(-1).alias("_step")
+    leaves = F.struct(
+        F.when(F.lit(False), F.col(ts)).alias(ts),
+        F.when(F.lit(False), F.col(tiebreak)).alias(tiebreak),
+        (arriving + F.lit(span)).alias("_t"),
+        F.lit(-1).alias("_step"),
+        nothing.alias("_others"),
     )
-    steps = arrivals.unionByName(leaves, allowMissingColumns=True)
+    both = F.when(F.col(ts).isNull(), F.array(arrives)).otherwise(F.array(arrives, leaves))
+    steps = df.select(key, F.inline(both))
 
-    if dense_cell_rows is None and input_bytes(keys) > DENSE_CHECK_BYTES:
-        dense_cell_rows = DENSE_CELL_ROWS
-    if dense_cell_rows is not None and _has_dense_cell(keys.select(key, cell(micros(F.col(ts))).alias("_c")), dense_cell_rows):
+    if _has_dense_cell(keys.select(key, cell(micros(F.col(ts))).alias("_c")), dense_cell_rows):
         counted = _running_over_ranges(steps, [key, "_t", "_step", tiebreak])
     else:
         counted = _running_over_cells(steps, key, cell, tiebreak)

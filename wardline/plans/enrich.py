@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from wardline.functions import features as fx
-from wardline.operators.joins import attach_profiles, derive_profile_features
+from wardline.operators.joins import attach_profiles, derive_profile_features, require_unique
 from wardline.operators.windows import trailing_count
 from wardline.schemas import FEATURES, IDS
 from wardline.sources.readers import require_columns
@@ -49,8 +49,10 @@ def enrich(
     """The feature table: one profile join, one shuffle for the trailing count.
 
     Only ids and numbers (and ``extra`` columns, if asked for) travel through that shuffle.
+    ``profiles`` must have one row per user, as a second one would repeat events; that is checked first.
     """
     require_columns(logs, LOG_INPUTS, "access logs")
+    require_unique(profiles, ["user_id"], "profiles")
     featured = event_features(merge(logs, profiles, reference_date))
     keep = [f for f in FEATURES if f != VELOCITY]
     slim = featured.select(*IDS, *(extra or []), *keep)
