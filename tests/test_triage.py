@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardline.functions import responses, scoring
-from wardline.operators import baselines, evaluate, feedback, rules
+from wardline.operators import baselines, evaluate, feedback, joins, rules
 
 
 def one(spark, column):
@@ -109,3 +109,37 @@ def test_calendar_phase(spark):
     df = spark.createDataFrame([(d,) for d in days], "d string")
     got = df.select("d", baselines.calendar_phase(F.to_date("d")).alias("p")).collect()
     assert {r["d"]: r["p"] for r in got} == days
+
+
+def test_no_score_no_risk(spark):
+    df = spark.createDataFrame([(None,), (float("nan"),), (0.6,), (-0.6,)], "raw double")
+    risk = scoring.risk_score(F.col("raw"))
+    got = df.select(risk, scoring.risk_band(risk), scoring.recommended_action(F.col("raw"))).collect()
+    assert [tuple(r) for r in got] == [(None,) * 3, (None,) * 3, (0, "low", "Monitor"), (100, "critical", "Quarantine")]
+
+
+def test_repeated_labels_and_logs_keep_one_alert(spark):
+    alerts = spark.createDataFrame([(1,), (2,)], "access_id long")
+    labels = spark.createDataFrame(
+        [(1, True, "B", "HIGH", "x"), (1, True, "A", "HIGH", "x"), (1, True, "A", "HIGH", "x")],
+        "access_id long, is_anomaly boolean, anomaly_type string, severity string, explanation string",
+    )
+    got = joins.with_labels(alerts, labels).orderBy("access_id").collect()
+    assert [(r.access_id, r.anomaly_type) for r in got] == [(1, "A"), (2, "UNKNOWN")]
+    logs = spark.createDataFrame([(1, *"abcdef"), (1, *"abcdeg")], ", ".join(["access_id long"] + [f"{c} string" for c in joins.CONTEXT]))
+    got = joins.with_context(alerts, logs).orderBy("access_id").collect()
+    assert [(r.access_id, r.destination) for r in got] == [(1, "f"), (2, "unknown")]
+
+
+def test_nested_object_in_text(spark):
+    texts = [
+        'Here: {"recommended_action":"Quarantine","x":{"y":{"recommended_action":"Monitor"}}} end }',
+        'a "brace {" in quotes: {"t":"} \\" {","n":{"m":1}} {"second":2}',
+        "never {closed {a}", "none", "", None,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(responses.embedded_object(F.col("t"))).collect()]
+    assert got[0] == texts[0][6:-6]
+    assert got[2:5] == ["", "", ""] and not got[5]
+    answer = responses.salvage(df.withColumn("raw", F.lit(0.2)).where("i = 0"), "t", "raw").first()
+    assert answer.is_json and answer.recommended_action == "Quarantine"

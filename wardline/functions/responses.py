@@ -6,19 +6,47 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline.functions.scoring import ACTIONS, recommended_action
 
-# An object with at most one level of nested objects. Possessive loops: braces are excluded
-# from the inner class, so nothing is lost and long texts cannot overflow the matcher's stack.
-EMBEDDED_OBJECT = r"\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}"
+BLANKS = " \n\r\t"
 
 
 def strip_fences(text: Column) -> Column:
-    opened = F.regexp_replace(text, r"^```(?:json)?\s*", "")
-    return F.regexp_replace(opened, r"\s*```$", "")
+    """The text inside a leading and a trailing code fence, with or without the language's name."""
+    body = F.substring(text, F.lit(4), F.char_length(text))
+    named = F.substring(text, F.lit(8), F.char_length(text))
+    inner = F.when(text.startswith("```json"), named).when(text.startswith("```"), body).otherwise(text)
+    ended = F.rtrim(inner, F.lit(BLANKS))
+    shorter = F.substring(ended, F.lit(1), F.char_length(ended) - 3)
+    return F.trim(F.when(ended.endswith("```"), shorter).otherwise(ended), F.lit(BLANKS))
 
 
 def embedded_object(text: Column) -> Column:
-    """The first balanced object in the text, or an empty string."""
-    return F.regexp_extract(text, EMBEDDED_OBJECT, 0)
+    """The first balanced object in the text, or an empty string; braces in quotes do not count.
+
+    One pass over the characters from the first brace on, however deep the nesting.
+    """
+    start = F.instr(text, "{")
+    rest = F.when(start > 0, F.substring(text, start, F.char_length(text))).otherwise("")
+    zero = F.struct(
+        F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"),
+        F.lit(0).alias("n"), F.lit(False).alias("closed"),
+    )
+
+    def step(s: Column, c: Column) -> Column:
+        opens, closes = ~s["quoted"] & (c == "{"), ~s["quoted"] & (c == "}")
+        depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        read = F.struct(
+            depth.alias("depth"),
+            F.when((c == '"') & ~s["escaped"], ~s["quoted"]).otherwise(s["quoted"]).alias("quoted"),
+            (s["quoted"] & ~s["escaped"] & (c == "\\")).alias("escaped"),
+            (s["n"] + 1).alias("n"),
+            (closes & (depth == 0)).alias("closed"),
+        )
+        return F.when(s["closed"], s).otherwise(read)
+
+    def found(s: Column) -> Column:
+        return F.when(s["closed"], F.substring(rest, F.lit(1), s["n"])).otherwise("")
+
+    return F.aggregate(F.split(rest, ""), zero, step, found)
 
 
 def parse_object(text: Column) -> Column:

@@ -11,24 +11,31 @@ ACTION_CEILINGS = [(-0.3, "Quarantine"), (-0.1, "Investigate")]
 ACTIONS = ["Quarantine", "Investigate", "Monitor"]
 
 
+def has_score(raw: Column) -> Column:
+    return raw.isNotNull() & ~F.isnan(raw.cast("double"))
+
+
 def risk_score(raw: Column) -> Column:
-    """Clamp to +-0.5 and map to 0..100, lower raw scores being riskier; half-even rounding."""
+    """Clamp to +-0.5 and map to 0..100, lower raw scores being riskier; half-even rounding.
+
+    Without a score (null or NaN) there is no risk score.
+    """
     clamped = F.greatest(F.lit(-0.5), F.least(F.lit(0.5), raw.cast("double")))
-    return F.rint((F.lit(0.5) - clamped) * 100).cast("int")
+    return F.when(has_score(raw), F.rint((F.lit(0.5) - clamped) * 100).cast("int"))
 
 
 def risk_band(score: Column) -> Column:
     chain = F
     for floor, name in BAND_FLOORS:
         chain = chain.when(score >= floor, name)
-    return chain.otherwise("low")
+    return chain.when(score.isNotNull(), "low")
 
 
 def recommended_action(raw: Column) -> Column:
     chain = F
     for ceiling, name in ACTION_CEILINGS:
         chain = chain.when(raw < ceiling, name)
-    return chain.otherwise("Monitor")
+    return chain.when(has_score(raw), "Monitor")
 
 
 def display_user(name: Column) -> Column:

@@ -94,8 +94,17 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("copies")).where("copies > 1")
 
 
+def require_unique(df: DataFrame, keys: list[str], what: str) -> None:
+    """Fail if a key has several rows; one aggregation over the keys."""
+    if not duplicate_keys(df, keys).isEmpty():
+        raise ValueError(f"{what} have several rows for one {', '.join(keys)}")
+
+
 def with_labels(alerts: DataFrame, labels: DataFrame) -> DataFrame:
-    """Alerts with their ground truth; missing labels become an unknown, normal one."""
+    """Alerts with their ground truth; missing labels become an unknown, normal one.
+
+    Of several labels of an event the first by value counts, so no alert is repeated.
+    """
     lab = labels.select(
         "access_id",
         F.col("is_anomaly").alias("_is"),
@@ -103,7 +112,8 @@ def with_labels(alerts: DataFrame, labels: DataFrame) -> DataFrame:
         F.col("severity").alias("_sev"),
         F.col("explanation").alias("_why"),
     )
-    joined = alerts.join(lab, "access_id", "left")
+    first = first_per_key(lab, ["access_id"], ["_is", "_type", "_sev", "_why"])
+    joined = alerts.join(first, "access_id", "left")
     return joined.withColumns(
         {
             "is_anomaly": F.coalesce("_is", F.lit(False)),
@@ -120,21 +130,26 @@ CONTEXT = [
 
 
 def with_context(alerts: DataFrame, logs: DataFrame) -> DataFrame:
-    """Alerts with the log columns an analyst reads; missing ones become "unknown"."""
-    joined = alerts.drop(*CONTEXT).join(logs.select("access_id", *CONTEXT), "access_id", "left")
+    """Alerts with the log columns an analyst reads; missing ones become "unknown".
+
+    Of several log rows of an event the first by value counts, so no alert is repeated.
+    """
+    first = first_per_key(logs.select("access_id", *CONTEXT), ["access_id"], CONTEXT)
+    joined = alerts.drop(*CONTEXT).join(first, "access_id", "left")
     return joined.withColumns({c: F.coalesce(c, F.lit("unknown")) for c in CONTEXT})
 
 
 def with_asset_dimension(df: DataFrame, assets: DataFrame) -> DataFrame:
-    """Sensitivity and category of ``data_asset`` from the catalogue."""
-    return df.join(assets, "data_asset", "left")
+    """Sensitivity and category of ``data_asset`` from the catalogue, which is broadcast if its files are small."""
+    return df.join(broadcast_if_small(assets), "data_asset", "left")
 
 
 def with_feature_text(df: DataFrame, feature_col: str = "feature") -> DataFrame:
     """Title and explanation of a feature; unknown features get a title made from their name."""
     dim = dims.feature_dimension(df.sparkSession).withColumnRenamed("feature", feature_col)
     words = F.replace(F.col(feature_col), F.lit("_"), F.lit(" "))
-    return df.join(dim, feature_col, "left").withColumns(
+    # a row for each of the fixed features
+    return df.join(F.broadcast(dim), feature_col, "left").withColumns(
         {
             "display_name": F.coalesce("display_name", F.initcap(words)),
             "description": F.coalesce(

@@ -39,14 +39,14 @@ def normalise_labels(labels: DataFrame) -> DataFrame:
 
 
 def feature_matrix(enriched: DataFrame, features: list[str] | None = None) -> DataFrame:
-    """The model's columns as doubles: booleans and "True"/"False" to 1/0, nulls to 0."""
+    """The model's columns as doubles: booleans and "True"/"False" to 1/0, nulls and NaN to 0."""
     features = features or schemas.FEATURES
     kinds = dict(enriched.dtypes)
 
     def number(c: str):
         if kinds[c] in ("boolean", "string"):
             return truthy(F.col(c)).cast("double").alias(c)
-        return F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+        return F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c)
 
     return enriched.select(
         *[c for c in schemas.IDS if c in enriched.columns], *[number(f) for f in features]
