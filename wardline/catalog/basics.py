@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from wardline.functions.numeric import round_to
 from wardline import dims, schemas
@@ -84,7 +86,8 @@ def enriched_round_trip(q: Inputs):
 @query("s7_write_raw", """
 SELECT 'event_labels' AS table_name, count(*) AS n, count(DISTINCT anomaly_type) AS kinds FROM fx_labels
 UNION ALL SELECT 'logs', count(*), count(DISTINCT data_asset) FROM fx_logs
-UNION ALL SELECT 'profiles', count(*), count(DISTINCT access_tier) FROM fx_profiles""")
+UNION ALL SELECT 'profiles', count(*), count(DISTINCT access_tier) FROM fx_profiles
+UNION ALL SELECT 'user_labels', count(*), 2 FROM fx_profiles""")
 def raw_round_trip(q: Inputs):
     def stored(df, schema, name, kind):
         path = fresh_path(q.spark, name)
@@ -97,6 +100,7 @@ def raw_round_trip(q: Inputs):
         stored(q.logs, schemas.LOGS, "logs", "data_asset")
         .unionByName(stored(q.profiles, schemas.PROFILES, "profiles", "access_tier"))
         .unionByName(stored(q.labels, schemas.EVENT_LABELS, "event_labels", "anomaly_type"))
+        .unionByName(stored(views.user_labels(q.profiles), schemas.USER_LABELS, "user_labels", "risk_type"))
     )
 
 
@@ -132,14 +136,14 @@ def predicted(q: Inputs):
 
 @query("p5_severity_filter", """
 SELECT 'ALL' AS wanted, access_id, severity FROM fx_labels
-UNION ALL SELECT 'HIGH', access_id, severity FROM fx_labels WHERE severity = 'HIGH'""")
+UNION ALL SELECT severity, access_id, severity FROM fx_labels WHERE severity IN ('CRITICAL', 'HIGH', 'MEDIUM')""")
 def severity_filter(q: Inputs):
     def kept(wanted):
         return filters.by_severity(q.labels, wanted).select(
             F.lit(wanted).alias("wanted"), "access_id", "severity"
         )
 
-    return kept("ALL").unionByName(kept("HIGH"))
+    return reduce(DataFrame.unionByName, map(kept, ["ALL", "CRITICAL", "HIGH", "MEDIUM"]))
 
 
 @query("p6_cohorts", """
@@ -249,15 +253,11 @@ def dimension_lookups(q: Inputs):
     )
 
 
-ASSET_NAMES = [line.split()[0] for line in dims.ASSETS.strip().splitlines()]
-
-
-@query("j7_asset_dimension", f"""
-SELECT access_id, a.data_asset, a.sensitivity, a.category FROM fx_logs
-JOIN asset_dim a ON a.data_asset = {ASSET_NAMES}[CAST(access_id % 50 AS INTEGER) + 1]""")
+@query("j7_asset_dimension", """
+SELECT access_id, data_asset, ['low', 'medium', 'high', 'restricted'][p_size % 4 + 1] AS sensitivity, p_type AS category
+FROM fx_logs LEFT JOIN part ON data_asset = 'ASSET_' || p_partkey""")
 def asset_dimension(q: Inputs):
-    named = q.logs.select("access_id", views.pick(ASSET_NAMES, col("access_id") % 50).alias("data_asset"))
-    return joins.with_asset_dimension(named, dims.asset_dimension(q.spark))
+    return joins.with_asset_dimension(q.logs.select("access_id", "data_asset"), views.assets(q.spark, q.sf_dir))
 
 
 @query("j8_feature_text", """
@@ -588,8 +588,14 @@ def json_salvage(q: Inputs):
     )
 
 
-@query("n5_embedded_object", r"""
-SELECT page_id, regexp_extract(html, '\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}') AS found FROM pages""", prelude=False)
+@query("n5_embedded_object", """
+WITH p AS (SELECT page_id, substr(html, instr(html, '{')) AS t FROM pages WHERE instr(html, '{') > 0),
+c AS (SELECT page_id, i, substr(t, i, 1) AS c FROM (SELECT page_id, t, unnest(range(1, length(t) + 1)) AS i FROM p)),
+s AS (SELECT *, sum((c = '"')::INT) OVER (PARTITION BY page_id ORDER BY i) % 2 = 1 AS quoted FROM c),
+d AS (SELECT *, sum(CASE WHEN quoted THEN 0 WHEN c = '{' THEN 1 WHEN c = '}' THEN -1 ELSE 0 END)
+        OVER (PARTITION BY page_id ORDER BY i) AS depth FROM s),
+e AS (SELECT page_id, min(i) AS n FROM d WHERE depth = 0 GROUP BY page_id)
+SELECT page_id, coalesce(substr(t, 1, n), '') AS found FROM pages LEFT JOIN p USING (page_id) LEFT JOIN e USING (page_id)""", prelude=False)
 def embedded_object(q: Inputs):
     return q.table("pages").select("page_id", responses.embedded_object(col("html")).alias("found"))
 

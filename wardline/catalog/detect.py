@@ -65,7 +65,7 @@ def model_threshold(q: Inputs):
 @query("m5_retrain")
 def retrain(q: Inputs):
     return train_plan.retrain(
-        q.spark, q.logs, q.profiles, q.labels, views.REFERENCE_DATE, fresh_path(q.spark, "model"), trees=50
+        q.spark, q.logs, q.profiles, q.labels, views.REFERENCE_DATE, fresh_path(q.spark, "model")
     )
 
 
@@ -78,7 +78,7 @@ def model_metrics(q: Inputs):
 def version_agreement(q: Inputs):
     """A second version with another seed against the first."""
     table = q.trained.enriched
-    other, _ = forest.fit_forest(table, "access_id", FEATURES, trees=50, seed=7)
+    other, _ = forest.fit_forest(table, "access_id", FEATURES, seed=7)
     return forest.version_agreement(table, q.trained.model, other)
 
 

@@ -97,18 +97,20 @@ def severity_counts(q: Inputs):
 
 @query("a8_cross_tab", """
 SELECT query_type, count(CASE WHEN data_sensitivity = 'low' THEN 1 END) AS low,
-  count(CASE WHEN data_sensitivity = 'medium' THEN 1 END) AS medium, count(CASE WHEN data_sensitivity = 'high' THEN 1 END) AS high
+  count(CASE WHEN data_sensitivity = 'medium' THEN 1 END) AS medium, count(CASE WHEN data_sensitivity = 'high' THEN 1 END) AS high,
+  count(CASE WHEN data_sensitivity = 'restricted' THEN 1 END) AS restricted
 FROM fx_logs GROUP BY 1""")
 def cross_tab(q: Inputs):
-    return profile.cross_tab(q.logs, "query_type", "data_sensitivity", ["low", "medium", "high"])
+    return profile.cross_tab(q.logs, "query_type", "data_sensitivity", ["low", "medium", "high", "restricted"])
 
 
 @query("a9_hour_histogram", """
 SELECT t AS time_classification, CAST(h AS INTEGER) AS hour, count(access_id) AS n
-FROM (SELECT unnest(['business_hours', 'after_hours']) AS t) CROSS JOIN (SELECT unnest(range(24)) AS h)
+FROM (SELECT unnest(['business_hours', 'after_hours', 'night', 'weekend', 'early_morning']) AS t) CROSS JOIN (SELECT unnest(range(24)) AS h)
 LEFT JOIN fx_logs ON time_classification = t AND hour(timestamp) = h GROUP BY 1, 2""")
 def hour_histogram(q: Inputs):
-    return profile.hour_histogram(q.logs, ["business_hours", "after_hours"])
+    classes = ["business_hours", "after_hours", "night", "weekend", "early_morning"]
+    return profile.hour_histogram(q.logs, classes)
 
 
 def _histogram_sql(source: str, c: str, bins: int, by: str = "") -> str:

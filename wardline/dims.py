@@ -76,60 +76,6 @@ ANOMALY_SEVERITY = {
     "FAILED_AUTH_BURST": "MEDIUM",
 }
 
-# Name, sensitivity and category of the catalogued data assets.
-ASSETS = """
-GL_Ledger            high        Financial
-AR_System            high        Financial
-AP_System            high        Financial
-Financial_Reports    high        Financial
-Budget_DB            medium      Financial
-Admin_Console        medium      Technical
-Network_Logs         medium      Technical
-SIEM_Dashboard       medium      Technical
-Infrastructure_DB    high        Technical
-Backup_System        high        Technical
-HR_Database          high        HR
-Payroll_System       restricted  PII
-Employee_Records     restricted  PII
-Benefits_DB          high        HR
-Recruitment_Portal   medium      HR
-Code_Repository      medium      Technical
-PROD_DB              high        Technical
-Dev_DB               low         Technical
-CI_CD_Pipeline       medium      Technical
-Test_Environment     low         Technical
-CRM_Database         high        PII
-Customer_Reports     medium      Operational
-Sales_Pipeline       medium      Operational
-Lead_Database        medium      PII
-Revenue_Dashboard    medium      Financial
-Marketing_Analytics  low         Operational
-Campaign_DB          low         Operational
-Customer_Segments    medium      PII
-Social_Media_DB      low         Operational
-Market_Research      low         Operational
-Legal_Documents      high        Legal
-Compliance_DB        high        Legal
-Contract_Repository  high        Legal
-Litigation_DB        restricted  Legal
-Regulatory_Filings   medium      Legal
-Executive_Dashboard  high        Financial
-Board_Materials      restricted  Financial
-Strategic_Plans      restricted  Operational
-All_Financial        restricted  Financial
-Merger_Documents     restricted  Financial
-Ops_Dashboard        low         Operational
-Inventory_DB         medium      Operational
-Logistics_System     medium      Operational
-Supply_Chain_DB      medium      Operational
-Vendor_Portal        low         Operational
-Ticketing_System     low         Operational
-Knowledge_Base       low         Operational
-Customer_Vault       high        PII
-FAQ_Database         low         Operational
-SLA_Reports          medium      Operational
-"""
-
 # Reader-facing wording of each feature: (title, explanation).
 FEATURE_TEXT = {
     "tenure_months": ("Time in Company", "how long the person has worked here"),
@@ -172,12 +118,6 @@ def score_of(key: Column, scores: dict[str, int], default: int) -> Column:
     return chain.otherwise(default)
 
 
-def asset_dimension(spark: SparkSession) -> DataFrame:
-    """The asset catalogue as a table (data_asset, sensitivity, category)."""
-    rows = [tuple(line.split()) for line in ASSETS.strip().splitlines()]
-    return spark.createDataFrame(rows, "data_asset string, sensitivity string, category string")
-
-
 def feature_dimension(spark: SparkSession) -> DataFrame:
     """Feature wording as a table (feature, display_name, description)."""
     rows = [(f, name, text) for f, (name, text) in FEATURE_TEXT.items()]
