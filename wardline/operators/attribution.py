@@ -22,6 +22,7 @@ from wardline.operators.forest import Forest, seeded_sample
 
 TOP = 3
 BACKGROUND = 50
+ROWS_AT_ONCE = 64  # rows whose leaves are looked up together
 
 
 def leaf_table(model: dict) -> dict:
@@ -79,27 +80,70 @@ def shapley_weights(width: int) -> np.ndarray:
     )
 
 
+class LeafValues:
+    """What each leaf adds to the features on its path, by the mask of a row; worked out once per leaf and mask.
+
+    Memory is bounded by the model: at most 2^height masks for each leaf.
+    """
+
+    def __init__(self, background: tuple, leaves: dict):
+        self.leaves, (self.leaf_of, self.mask_of, self.share_of) = leaves, background
+        width, n = leaves["width"], len(leaves["value"])
+        self.weights = shapley_weights(width)
+        self.set_bits = np.array([bin(m).count("1") for m in range(1 << width)], dtype=np.int64)
+        self.first = np.searchsorted(self.leaf_of, np.arange(n + 1))  # background masks lie by leaf
+        self.place = np.full(n << width, -1, np.int32)  # row of ``values`` by leaf and mask; row 0 is all zero
+        self.values, self.known = np.zeros((1 << 12, width)), 1
+
+    def learn(self, codes: np.ndarray) -> None:
+        """Values of distinct codes (leaf << width | mask): the sum over the background masks of the leaf."""
+        width = self.leaves["width"]
+        leaf, mask = codes >> width, (codes & ((1 << width) - 1)).astype(self.mask_of.dtype)
+        n = self.first[leaf + 1] - self.first[leaf]
+        one = np.repeat(np.arange(len(codes)), n)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[leaf], n)
+        x, b = mask[one], self.mask_of[at]
+        covered = (x | b) == (1 << width) - 1
+        one, at, x, b = one[covered], at[covered], x[covered], b[covered]
+        only_x, only_b = x & ~b, b & ~x
+        n_x, n_b = self.set_bits[only_x], self.set_bits[only_b]
+        value = self.leaves["value"][leaf[one]] * self.share_of[at]
+        gain, loss = self.weights[n_x, n_b] * value, self.weights[n_b, n_x] * value
+        found = np.stack(
+            [np.bincount(one, gain * (only_x >> j & 1) - loss * (only_b >> j & 1), len(codes)) for j in range(width)],
+            axis=1,
+        )
+        some = found.any(axis=1)
+        self.place[codes] = 0
+        after = self.known + int(some.sum())
+        self.place[codes[some]] = np.arange(self.known, after)
+        if after > len(self.values):
+            grown = np.zeros((2 * after, width))
+            grown[: self.known] = self.values[: self.known]
+            self.values = grown
+        self.values[self.known : after] = found[some]
+        self.known = after
+
+    def sums(self, z: np.ndarray) -> np.ndarray:
+        width, n_features = self.leaves["width"], z.shape[1]
+        base = np.arange(len(self.leaves["value"]), dtype=np.int64) << width
+        out = np.zeros((len(z), n_features))
+        for lo in range(0, len(z), ROWS_AT_ONCE):
+            codes = base | met_bits(z[lo : lo + ROWS_AT_ONCE], self.leaves)
+            new = codes[self.place[codes] < 0]
+            if len(new):
+                self.learn(np.unique(new))
+            place = self.place[codes]
+            row, leaf = np.nonzero(place)
+            target = row[:, None] * n_features + self.leaves["feature"][leaf]
+            total = np.bincount(target.ravel(), self.values[place[row, leaf]].ravel(), len(codes) * n_features)
+            out[lo : lo + len(codes)] = total.reshape(len(codes), n_features)
+        return out
+
+
 def attribute_rows(z: np.ndarray, background: tuple, leaves: dict) -> np.ndarray:
     """Attributions of standardised rows against the distinct leaf masks of the background."""
-    leaf_of, mask_of, share_of = background
-    width, n_features = leaves["width"], z.shape[1]
-    kind = mask_of.dtype.type
-    full, bits = kind((1 << width) - 1), np.arange(width, dtype=kind)
-    weights = shapley_weights(width)
-    set_bits = np.array([bin(m).count("1") for m in range(1 << width)], dtype=np.int64)
-    out = np.zeros((len(z), n_features))
-    for i in range(len(z)):
-        mine = met_bits(z[i : i + 1], leaves)[0].take(leaf_of)
-        covered = np.flatnonzero((mine | mask_of) == full)
-        leaf, x, b = leaf_of[covered], mine[covered], mask_of[covered]
-        only_x, only_b = x & ~b, b & ~x
-        n_x, n_b = set_bits[only_x], set_bits[only_b]
-        value = leaves["value"][leaf] * share_of[covered]
-        gain, loss = weights[n_x, n_b] * value, weights[n_b, n_x] * value
-        for j in range(width):
-            step = gain * ((only_x >> bits[j]) & 1) - loss * ((only_b >> bits[j]) & 1)
-            out[i] += np.bincount(leaves["feature"][leaf, j], step, n_features)
-    return out
+    return LeafValues(background, leaves).sums(z)
 
 
 def background_rows(df: DataFrame, forest: Forest, id_col: str, n: int) -> np.ndarray:
@@ -118,9 +162,10 @@ def attribution(forest: Forest, background: np.ndarray) -> Column:
     @F.pandas_udf("array<double>")
     def attribute(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         mean, std, table, masks = shared.value
+        values = LeafValues(masks, table)
         for cols in batches:
             x = np.column_stack([c.to_numpy(float) for c in cols])
-            yield pd.Series(list(attribute_rows((x - mean) / std, masks, table)))
+            yield pd.Series(list(values.sums((x - mean) / std)))
 
     return attribute(*[F.col(f) for f in forest.features])
 
