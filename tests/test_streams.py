@@ -42,6 +42,20 @@ def test_stream_equals_batch(spark, small, parts, tmp_path):
     assert batch.exceptAll(stored.select(columns)).count() == 0
 
 
+def test_batches_without_times_are_kept(spark, small, parts, tmp_path):
+    """A micro-batch whose rows all lack a time is written like any other."""
+    folder, logs = str(tmp_path / "in"), parts[1]
+    for i, rows in enumerate([logs.where("access_id < 20"), logs.where("access_id BETWEEN 20 AND 24").withColumn("timestamp", F.lit(None).cast("timestamp")), logs.where("access_id BETWEEN 25 AND 40")]):
+        rows.coalesce(1).write.mode("append").parquet(folder)
+    profiles = views.profiles(spark, small)
+    stream = ingest.log_files(spark, folder, logs.schema, maxFilesPerTrigger=1)
+    out = str(tmp_path / "out")
+    jobs.score_stream(stream, profiles, views.REFERENCE_DATE, out, str(tmp_path / "cp"), available_now=True).awaitTermination()
+    stored = spark.read.option("basePath", out).parquet(out).select(*IDS, *FEATURES)
+    batch = enrich(spark.read.parquet(folder), profiles, views.REFERENCE_DATE).select(*IDS, *FEATURES)
+    assert stored.count() == 41 and batch.exceptAll(stored).count() == 0
+
+
 def test_repeats_within_an_hour_are_dropped(spark, tmp_path):
     folder = str(tmp_path / "in")
     schema = "access_id int, user_id string, timestamp timestamp"

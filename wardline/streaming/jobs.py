@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wardline.functions.numeric import round_to
@@ -35,7 +34,7 @@ def score_stream(
     """Enrich (and score) micro-batches into ``out``, partitioned by day and batch.
 
     The trailing count needs the hour before the batch. It is read back from what earlier batches
-    wrote, and only from the days the batch touches, so neither state nor file listings grow with
+    wrote, for its users and the time it covers, and only from the days it touches, so neither state nor file listings grow with
     the age of the stream. A batch that is run again replaces its own partitions, which makes the
     sink exactly-once. An event that arrives late counts the events known by then; events already
     written are not revised.
@@ -45,11 +44,10 @@ def score_stream(
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            days = _days_touched(batch)
-            if not days:
+            if batch.isEmpty():
                 return
             seen = batch.withColumn("_new", F.lit(True))
-            earlier = _written_on(batch.sparkSession, out, days, batch_id)
+            earlier = _written_before(batch, out, batch_id)
             if earlier is not None:
                 seen = seen.unionByName(earlier.withColumn("_new", F.lit(False)), allowMissingColumns=True)
             counted = trailing_count(
@@ -80,17 +78,26 @@ def _days_touched(batch: DataFrame) -> list[str]:
     return sorted(str(r["d"]) for r in days.collect())
 
 
-def _written_on(spark, out: str, days: list[str], batch_id: int) -> DataFrame | None:
-    """Ids of the stored events of these days, without those of the batch itself."""
-    found = None
-    for day in days if batch_id else []:
-        try:
-            stored = spark.read.option("basePath", out).parquet(f"{out}/event_date={day}")
-        except AnalysisException:  # nothing was written on that day
-            continue
-        part = stored.where(F.col("batch_id") < batch_id).select(*IDS)
-        found = part if found is None else found.unionByName(part)
-    return found
+def _written_before(batch: DataFrame, out: str, batch_id: int) -> DataFrame | None:
+    """Ids of the events that earlier batches stored for this batch's users, from the hour before it on.
+
+    Only folders of days that the batch touches are listed, and of them the time range is pushed to the files.
+    """
+    spark = batch.sparkSession
+    paths = [f"{out}/event_date={day}" for day in _days_touched(batch)]
+    paths = [p for p in paths if _exists(spark, p)] if batch_id else []
+    if not paths:
+        return None
+    first, last = batch.agg(F.min("timestamp"), F.max("timestamp")).first()
+    since = F.lit(first) - F.make_interval(secs=F.lit(VELOCITY_SECONDS))
+    stored = spark.read.option("basePath", out).parquet(*paths)
+    near = stored.where((F.col("batch_id") < batch_id) & (F.col("timestamp") > since) & (F.col("timestamp") <= F.lit(last)))
+    return near.select(*IDS).join(batch.select("user_id").distinct(), "user_id", "left_semi").select(*IDS)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
 
 
 def event_rates(
