@@ -44,7 +44,8 @@ WINDOW = 6  # words of context on either side
 FUZZY_ODDS, FUZZY_NOISE = 1.0, 0.0005  # misspellings count if their log odds and share of other texts allow it
 MEMO, STATES = 200_000, 20_000
 THRESHOLD = 0.3
-PRIOR = np.array([-3.0, 4.0, 3.0])  # intercept, exact hits, misspelled hits
+PRIOR = np.array([-3.0, 4.0, 3.5])  # intercept, exact hits, misspelled hits
+FLOOR = -4.0  # of the intercept, so that two misspelled terms reach the threshold however clean most texts are
 PULL = np.array([0.1, 0.5, 0.5])  # weight of the prior
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -211,8 +212,11 @@ class Model(NamedTuple):
 
     def features(self, hits: list[tuple[Hit, float]]) -> tuple[float, float]:
         exact = sum(self.exact[h.term] * c for h, c in hits if not h.edits)
-        fuzzy = sum(self.fuzzy[h.term] * c for h, c in hits if h.edits)
-        return min(exact, 4.0), min(fuzzy, 4.0)
+        near: dict[int, float] = {}  # a word may resemble a term by chance and be repeated: each term counts once
+        for h, c in hits:
+            if h.edits:
+                near[h.term] = max(near.get(h.term, 0.0), self.fuzzy[h.term] * c)
+        return min(exact, 4.0), min(sum(near.values()), 4.0)
 
     def score(self, hits: list[tuple[Hit, float]]) -> float:
         z = float(self.weights @ np.array([1.0, *self.features(hits)]))
@@ -307,7 +311,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         w = w + np.clip(step, -1, 1)
         if np.abs(step).max() < 1e-6:
             break
-    return np.array([w[0], max(w[1], 0.0), max(w[2], 0.0)])
+    return np.array([max(w[0], FLOOR), max(w[1], 0.0), max(w[2], 0.0)])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -367,7 +371,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             (a if toxic else b).update({h.term for h, _ in found if (h.edits == 0) == exact})
         values = [log_odds(a[t], n_toxic, b[t], n_clean) for t in range(len(terms))]
         if not exact:
-            values = [v if v >= FUZZY_ODDS and b[t] <= FUZZY_NOISE * n_clean else 0.0 for t, v in enumerate(values)]
+            rare = [v >= FUZZY_ODDS and b[t] <= FUZZY_NOISE * n_clean for t, v in enumerate(values)]
+            values = [max(v, 2.0) if r else 0.0 for v, r in zip(values, rare)]
         return [min(max(v, 0.0), 4.0) / 4 for v in values]
 
     model = Model(terms, worth(True), worth(False), PRIOR)
