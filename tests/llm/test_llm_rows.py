@@ -160,7 +160,7 @@ def test_lexicon():
 
 
 def test_rules(spark, odd_docs, tmp_path):
-    prose = "".join(f"Sentence {i} has a few more words than that, {w} and {w}x.\n" for i, w in enumerate(string.ascii_lowercase))
+    prose = "".join(f"Line {w}a of {w}b has {w}c words {w}d, {w}e and {w}f.\n" for w in string.ascii_lowercase)
     menu = "Home | About | News | Shop\n" * 9
     more = [(50, prose), (51, menu + menu), (52, prose + menu[:50]), (53, "same words here " * 40), (54, "###&& " * 80)]
     docs = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
