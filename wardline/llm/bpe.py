@@ -13,11 +13,14 @@ kept by name; an empty table gives no rows and an empty lexicon.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+import itertools
 import json
 import mmap
 import re
 import struct
+import sys
 import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -26,8 +29,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-LEXICON_WORDS = 1 << 16  # most frequent words that are compiled
-MEMO = 100_000  # distinct pieces a task remembers at once
+LEXICON_WORDS = 1 << 17  # most frequent words that are compiled
+MEMO = 400_000  # distinct pieces after a space, and as many others, a Python worker remembers at once
+SHORT = 32  # bytes of words whose pairs are simply searched for each merge
+NEW, NEVER = (1 << 24) - 1, 1 << 62  # a merge is its rank and, in the low bits, the id it makes
 COUNTED = 200_000  # distinct pieces a task counts before it hands them on
 LEAST = 4  # counts below this within one such hand-over can't make a word frequent
 
@@ -122,16 +127,23 @@ class Lexicon:
             at += 4 * n
         self.first, self.targets, self.adds, self.starts, self.flat = numbers
         self.final = memoryview(self.file)[at : at + n_states]
-        self.labels = at + n_states
+        self.labels = memoryview(self.file)[at + n_states :]
+        self.met: list[dict[int, tuple[int, int]] | None] = [None] * n_states
+
+    def edges(self, state: int) -> dict[int, tuple[int, int]]:
+        """Byte: target and number of a state's edges, read from the file when first met."""
+        span = range(self.first[state], self.first[state + 1])
+        found = self.met[state] = {self.labels[e]: (self.targets[e], self.adds[e]) for e in span}
+        return found
 
     def find(self, word: bytes) -> int:
-        state, row, find, base = self.root, 0, self.file.find, self.labels
-        for i in range(len(word)):
-            e = find(word[i : i + 1], base + self.first[state], base + self.first[state + 1]) - base
-            if e < 0:
+        state, row, met = self.root, 0, self.met
+        for b in word:
+            edge = (met[state] or self.edges(state)).get(b)
+            if edge is None:
                 return -1
-            row += self.adds[e]
-            state = self.targets[e]
+            state = edge[0]
+            row += edge[1]
         return row if self.final[state] else -1
 
     def ids(self, row: int) -> list[int]:
@@ -146,10 +158,10 @@ class Codec:
         vocab = spec["model"]["vocab"]
         letters = byte_letters()
         self.byte_id = [vocab[c] for c in letters]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[tuple[int, int], int] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.merges[vocab[a], vocab[b]] = rank + 1 << 24 | vocab[a + b]
         code = {c: i for i, c in enumerate(letters)}
         self.bytes_of = {str(i): bytes(code[c] for c in t) for t, i in vocab.items()}
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
@@ -157,35 +169,50 @@ class Codec:
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.pattern = regex.compile(PATTERN)
         self.lexicon = Lexicon(lexicon) if lexicon else None
+        self.names = {i: str(i) for i in vocab.values()}
         self.first, self.later = Memo(self, ""), Memo(self, " ")
 
     def merge(self, word: bytes) -> list[int]:
         """Ids by joining the pair of lowest rank, leftmost first, until none is left."""
         ids = [self.byte_id[b] for b in word]
         n, merges = len(ids), self.merges
+        if n <= SHORT:
+            codes = [merges.get(pair, NEVER) for pair in zip(ids, ids[1:])]
+            while codes:
+                best = min(codes)
+                if best == NEVER:
+                    break
+                at = codes.index(best)
+                ids[at : at + 2] = (best & NEW,)
+                del codes[at]
+                if at < len(codes):
+                    codes[at] = merges.get((ids[at], ids[at + 1]), NEVER)
+                if at:
+                    codes[at - 1] = merges.get((ids[at - 1], ids[at]), NEVER)
+            return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*m, i) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
-        heap = [(rank, i, new) for rank, new, i in heap]
+        heap = [(m, i) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
         heapq.heapify(heap)
         while heap:
-            rank, i, new = heapq.heappop(heap)
+            code, i = heapq.heappop(heap)
             j = after[i]
-            if ids[i] < 0 or j >= n or merges.get((ids[i], ids[j]), (-1, 0))[0] != rank:
+            if ids[i] < 0 or j >= n or merges.get((ids[i], ids[j])) != code:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = code & NEW, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if m := merges.get((new, ids[k])):
-                    heapq.heappush(heap, (m[0], i, m[1]))
-            if (h := before[i]) >= 0 and (m := merges.get((ids[h], new))):
-                heapq.heappush(heap, (m[0], h, m[1]))
+                if m := merges.get((ids[i], ids[k])):
+                    heapq.heappush(heap, (m, i))
+            if (h := before[i]) >= 0 and (m := merges.get((ids[h], ids[i]))):
+                heapq.heappush(heap, (m, h))
         return [x for x in ids if x >= 0]
 
-    def word_ids(self, word: str) -> list[int]:
+    def word_ids(self, word: str) -> str:
+        """Ids of one word in decimal, joined by commas."""
         raw = word.encode()
         row = self.lexicon.find(raw) if self.lexicon else -1
-        return self.merge(raw) if row < 0 else self.lexicon.ids(row)
+        return ",".join(map(self.names.__getitem__, self.merge(raw) if row < 0 else self.lexicon.ids(row)))
 
     def encode(self, text: str) -> str:
         """Ids in decimal, joined by commas."""
@@ -207,17 +234,30 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else ""
 
 
+def halve(memo: dict) -> None:
+    """Forgets the older half of a full memo."""
+    if len(memo) >= MEMO:
+        for key in list(itertools.islice(memo, MEMO // 2)):
+            del memo[key]
+
+
 class Memo(dict):
-    """Ids of pieces met lately, as text; a piece is a word or several without white space between them."""
+    """Ids of pieces met lately, as text; a piece is a word or several with nothing between them.
+
+    ``lead`` is the space, if any, that comes before the piece.
+    """
 
     def __init__(self, codec: Codec, lead: str):
         self.codec, self.lead = codec, lead
 
     def __missing__(self, piece: str) -> str:
-        if len(self) >= MEMO:
-            self.clear()
+        halve(self)
         words = self.codec.pattern.findall(self.lead + piece)
-        ids = ",".join(str(i) for w in words for i in self.codec.word_ids(w))
+        if len(words) == 1:
+            ids = self.codec.word_ids(words[0])
+        else:
+            # the first word is a piece with the same lead, the others are pieces without one
+            ids = ",".join([self[words[0][len(self.lead) :]], *map(self.codec.first.__getitem__, words[1:])])
         if len(piece) < 100:
             self[piece] = ids
         return ids
@@ -272,6 +312,15 @@ def vocabulary_of(path: str | None) -> bytes:
         return f.read()
 
 
+def codec_of(vocabulary: bytes, lexicon: bytes | None) -> Codec:
+    """The codec of these tables; a Python worker keeps the one made last from task to task."""
+    last = sys.__dict__.setdefault("_wardline_codec", [])  # this module's own names come anew with each task
+    name = hashlib.sha256(vocabulary + (lexicon or b"")).digest()
+    if not last or last[0] != name:
+        last[:] = [name, Codec(vocabulary, lexicon)]
+    return last[1]
+
+
 def _with_codec(docs: DataFrame, path: str | None, fields: str, names: list[str], row) -> DataFrame:
     """Rows of ``row(codec, texts)`` beside doc_id. Vocabulary and lexicon are broadcast; both have a fixed bound."""
     vocabulary = vocabulary_of(path)
@@ -279,7 +328,7 @@ def _with_codec(docs: DataFrame, path: str | None, fields: str, names: list[str]
     shared = context.broadcast((vocabulary, lexicon_of(docs, vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(*shared.value)
+        codec = codec_of(*shared.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
@@ -317,8 +366,6 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def _digests(codec: Codec, texts: list[str]) -> list[pa.Array]:
-    import hashlib
-
     ids = [codec.encode(t) for t in texts]
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     return [
