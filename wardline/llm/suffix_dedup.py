@@ -12,8 +12,9 @@
 * Spans go back to the texts that hold the contexts and are merged for each text.
 
 An anchor with many contexts (a common passage between ever different neighbours) is split by the content of
-ever shorter ranges of windows until each part is small; a range of one window is only a count. So no group is
-held whole, and no bucket is capped. Joins by a hot anchor or context are ones that adaptive execution splits.
+ever shorter ranges of windows until each part is small. Contexts that agree in all bytes of a range are covered
+there as a whole and go on as one, and a range of one window leaves only such. So no group is held whole, and no
+bucket is capped. Joins by a hot anchor or context are ones that adaptive execution splits.
 
 Anchors are compared by a 64-bit hash together with up to 160 exact bytes around them, contexts by a 64-bit
 hash within their anchor, rows by a 64-bit hash of id and text.
@@ -89,8 +90,8 @@ def _stretch_anchors(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, n
     return at, grams[at]
 
 
-def anchors(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, position, hash and context hash of every anchor of a slice, a stretch of windows at a time."""
+def anchors(t: Texts, contexts: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, position, hash and context hash (if asked for) of every anchor of a slice, a stretch of windows at a time."""
     out: list[tuple] = []
     n = len(t.data)
     for lo in range(0, max(n - LENGTH + 1, 0), STRETCH):
@@ -103,7 +104,8 @@ def anchors(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         keep = (at >= lo) & (final | (at < lo + STRETCH))
         at, h = at[keep], h[keep]
         row = np.searchsorted(t.off, at, side="right") - 1
-        out.append((row, at - t.off[row], h, _context_hashes(t, row, at, max(0, lo - BEFORE), min(n, hi + LENGTH))))
+        c = _context_hashes(t, row, at, max(0, lo - BEFORE), min(n, hi + LENGTH)) if contexts else h
+        out.append((row, at - t.off[row], h, c))
     if not out:
         return EMPTY, EMPTY, EMPTY.astype(np.uint64), EMPTY.astype(np.uint64)
     return tuple(np.concatenate(x) for x in zip(*out))
@@ -112,17 +114,17 @@ def anchors(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 def _context_hashes(t: Texts, row: np.ndarray, at: np.ndarray, begin: int, end: int) -> np.ndarray:
     """Hashes of the contexts of anchors, which all lie between two positions."""
     lo, hi = np.maximum(at - BEFORE, t.off[row]), np.minimum(at + LENGTH, t.off[row + 1])
-    out = np.zeros(len(at), np.uint64)
-    data = t.data[begin:end].astype(np.uint64)
-    words = np.zeros(len(data) + 8, np.uint64)  # the eight bytes from each place
-    for k in range(8):
-        words[: len(data) - k] |= data[k:] << np.uint64(8 * k)
-    for step, m in enumerate(odd_numbers(42, (BEFORE + LENGTH) // 8)):
-        place = lo + 8 * step
-        value = words[np.minimum(place - begin, len(data))]
-        part = np.clip(hi - place, 0, 8).astype(np.uint64) * np.uint64(8)
-        mask = np.where(part >= 64, ~np.uint64(0), (np.uint64(1) << np.minimum(part, np.uint64(63))) - np.uint64(1))
-        out += mix((value & mask) * m + np.uint64(step))
+    width = BEFORE + LENGTH
+    data = np.concatenate([t.data[begin:end], np.zeros(width, np.uint8)])
+    every = np.lib.stride_tricks.sliding_window_view(data, width)
+    out = np.empty(len(at), np.uint64)
+    factors = odd_numbers(42, width // 8)
+    steps = np.arange(width // 8, dtype=np.uint64)
+    for k in range(0, len(at), 1024):
+        part = slice(k, k + 1024)
+        found = every[lo[part] - begin]
+        found = found * (np.arange(width) < (hi - lo)[part][:, None])  # nothing beyond the context
+        out[part] = mix(found.view("<u8") * factors + steps).sum(axis=1)
     return mix(out + (at - lo).astype(np.uint64) * _BASE + (hi - at).astype(np.uint64))
 
 
@@ -132,6 +134,13 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(F.isnull("doc_id"), "doc_id", text).alias("_key"), text.alias("text"))
 
 
+def _anchor_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for t in slices(batch.column(0)):
+            h = anchors(t, contexts=False)[2]
+            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64))], ["h"])
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for t in slices(batch.column(1)):
@@ -253,12 +262,19 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*columns, ranges], ["h", "c", "ranges"])
 
 
+def _name(x: int, y: int, z: int, data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b"%d %d %d " % (x, y, z) + data, digest_size=8).digest(), "little", signed=True)
+
+
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each context once for each part of its windows, keyed by what all windows of the part have in common."""
-    names = ["h", "g", "c", "first", "last", "before", "around"]
+    """Each context once for each part of its windows, keyed by what all windows of the part have in common.
+
+    ``r`` names all the bytes of the part's windows.
+    """
+    names = ["h", "g", "c", "first", "last", "before", "around", "r"]
     for batch in batches:
         out: list[list] = [[] for _ in names]
-        for h, g, c, first, last, before, around in zip(*(batch.column(n).to_pylist() for n in names)):
+        for h, g, c, first, last, before, around in zip(*(batch.column(n).to_pylist() for n in names[:-1])):
             step = -(-(last - first + 1) // SPLIT)
             for a in range(first, last + 1, step):
                 b = min(a + step - 1, last)
@@ -266,12 +282,12 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 core = around[max(0, before - a) : before + LENGTH - b]
                 if before < a or len(around) - before < LENGTH - b:
                     continue  # no window of this part lies in the text
-                name = hashlib.blake2b(b"%d %d %d " % (g, a, b) + core, digest_size=8).digest()
                 lo, hi = max(0, before - b), before + LENGTH - a
-                values = (h, int.from_bytes(name, "little", signed=True), c, a, b, before - lo, around[lo:hi])
+                around_part = around[lo:hi]
+                values = (h, _name(g, a, b, core), c, a, b, before - lo, around_part, _name(before - lo, 0, 0, around_part))
                 for column, value in zip(out, values):
                     column.append(value)
-        kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.binary()]
+        kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.binary(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names)
 
 
@@ -290,13 +306,15 @@ def _sort_buckets(contexts: DataFrame) -> DataFrame:
         if not some:
             break
         split = left.join(large, "g").select(*columns)
-        left = materialize(split.mapInArrow(_parts, fields), "parts")
-        # single windows: the bucket is the window itself
-        alone = left.where("first = last")
-        twice = alone.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
-        ends = F.array(F.struct((-F.col("first")).alias("lo"), (LENGTH - F.col("first")).alias("hi")))
-        found.append(alone.join(twice, "g").select("h", "c", ends.cast(ROW).alias("ranges")))
-        left = left.where("first < last")
+        parts = materialize(split.mapInArrow(_parts, f"{fields}, r long"), "parts")
+        # windows whose bytes are all alike repeat as a whole; one context stands for them in what follows
+        alike = parts.groupBy("g", "r").agg(F.count("*").alias("n"), F.min(F.struct("h", "c")).alias("one"))
+        alike = materialize(alike, "alike")
+        ends = F.array(F.struct((-F.col("last")).alias("lo"), (LENGTH - F.col("first")).alias("hi")))
+        twice = alike.where("n > 1").select("g", "r")
+        found.append(parts.join(twice, ["g", "r"]).select("h", "c", ends.cast(ROW).alias("ranges")))
+        one = alike.select("g", "r", "one.h", "one.c")
+        left = materialize(parts.join(one, ["g", "r", "h", "c"]).select(*columns), "left")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -307,7 +325,7 @@ def spans(docs: DataFrame) -> DataFrame:
     """_key and the sorted, disjoint byte ranges to remove, of the texts that have any."""
     texts = keyed(docs)
     every = texts.mapInArrow(_anchor_rows, "_key long, at long, h long, c long")
-    often = every.select("h").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    often = texts.select("text").mapInArrow(_anchor_hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     shared = materialize(every.join(often, "h"), "anchors")
     holder = F.struct("_key", F.col("at").cast("int").alias("at"))
     contexts = shared.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(holder).alias("one"))
