@@ -130,3 +130,23 @@ def test_misspelled_document(spark):
     labels = labels_of(spark, [(i, 1, y) for i, _, y in rows])
     got = {r.doc_id: r.predicted for r in tox.classify(spark, docs, labels).collect()}
     assert got[9000] == 1 and got[9001] == 0
+
+
+def test_misspelled_stems_and_short_terms():
+    product = tox.Product([("vermin", True), ("scum", False)])
+    found = [product.hit(w) for w in ("verminous", "vermniously", "vremin", "scmu", "scu", "sxxm", "verxxx")]
+    assert [h and tuple(h) for h in found] == [(0, 0), (0, 1), (0, 1), (1, 1), (1, 1), None, None]
+
+
+def test_chance_words_leave_the_term(spark):
+    """One chance word in few clean texts does not end the search for a term's misspellings, a frequent word is no hit."""
+    rnd = random.Random(7)
+    words = ["w%s%s" % (a, b) for a in "abcdefgh" for b in "klmnopq"]
+    text = lambda more: " ".join(rnd.choice(words) for _ in range(60)) + more
+    end = lambda i: " horrible vermin" if i % 5 == 0 else " horible vermim" if i in (1, 6) else " venmin" if i % 5 == 2 else ""
+    rows = [(i, text(end(i))) for i in range(400)]
+    docs = spark.createDataFrame(rows + [(9000, text(" horrble vermln")), (9001, text(" venmin")), (9002, text(""))], "doc_id long, text string")
+    labels = labels_of(spark, [(i, 1, int(i % 5 == 0)) for i, _ in rows])
+    got = {r.doc_id: r for r in tox.classify(spark, docs, labels).collect()}
+    assert got[9000].predicted == 1 and got[9000].n_misspelled == 2
+    assert got[9001].predicted == got[9001].n_misspelled == got[9002].predicted == 0

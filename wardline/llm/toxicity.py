@@ -41,7 +41,9 @@ G2 = 15.0  # log-likelihood ratio of the two rates
 SKETCH = 4  # MinHash values by which near copies in the sample are known
 _SKETCHED = [f"sketch{k}" for k in range(SKETCH)]
 WINDOW = 6  # words of context on either side
-FUZZY_ODDS, FUZZY_NOISE = 1.0, 0.0005  # misspellings count if their log odds and share of other texts allow it
+FUZZY_ODDS, FUZZY_NOISE = 1.0, 0.0005  # misspellings clearly above this share of other texts need these log odds
+FUZZY_WORTH, FUZZY_ROWS = 2.0, 4  # log odds of misspellings before any is seen, and the texts that this is worth
+COMMON = 0.0001  # a word in so many of the texts without a term is a word of its own and no misspelling
 MEMO, STATES = 200_000, 20_000
 THRESHOLD = 0.3
 PRIOR = np.array([-3.0, 4.0, 3.5])  # intercept, exact hits, misspelled hits
@@ -60,7 +62,7 @@ def strip(token: str) -> str:
 
 
 def edits_for(term: str) -> int:
-    return 0 if len(term) < 5 else 1 if len(term) < 8 else 2
+    return 0 if len(term) < 4 else 1 if len(term) < 8 else 2
 
 
 class Hit(NamedTuple):
@@ -71,11 +73,12 @@ class Hit(NamedTuple):
 class Product:
     """Trie of terms and the deterministic product with their automata; ``hit`` reads one word.
 
-    Terms numbered in ``exact`` are met without edits only.
+    Terms numbered in ``exact`` are met without edits only. A stem is met by what begins a word, with the edits of
+    its own length; of a stem and a longer term at as many edits the stem is the hit.
     """
 
     def __init__(self, terms: list[tuple[str, bool]], exact: frozenset[int] = frozenset()):
-        self.allowed = [0 if s or t in exact else edits_for(w) for t, (w, s) in enumerate(terms)]
+        self.allowed = [0 if t in exact else edits_for(w) for t, (w, _) in enumerate(terms)]
         self.next: list[dict[str, int]] = [{}]
         self.whole: dict[int, int] = {}
         self.stem: dict[int, int] = {}
@@ -120,8 +123,8 @@ class Product:
                 if c == due:
                     out.add((node, e, "", c))
                 continue
-            if e == 0 and node in self.stem:
-                out.add((node, 0, "", ""))
+            if self._begun(node, e):
+                out.add((node, e, "", ""))
                 continue
             if c == last:
                 out.add((node, e, "", last))  # drawn out
@@ -139,8 +142,14 @@ class Product:
         for node, e, due, last in self._skips(out):
             if best.get((node, due, last), 9) > e:
                 best[node, due, last] = e
+        met = min(((e, self.stem[n], n) for (n, d, _), e in best.items() if not d and self._begun(n, e)), default=None)
+        if met:  # whatever follows, this stem is met; only fewer edits are better
+            return frozenset([(met[2], met[0], "", ""), *((n, e, d, x) for (n, d, x), e in best.items() if e < met[0])])
         return frozenset((n, e, d, x) for (n, d, x), e in best.items())
 
+    def _begun(self, node: int, e: int) -> bool:
+        return node in self.stem and e <= self.allowed[self.stem[node]]
+
     def hit(self, word: str) -> Hit | None:
         state = self.start
         for c in word:
@@ -155,7 +164,7 @@ class Product:
             state = following
             if not state:
                 return None
-        found = [Hit(self.stem[n], 0) for n, e, due, _ in state if not e and not due and n in self.stem]
+        found = [Hit(self.stem[n], e) for n, e, due, _ in state if not due and self._begun(n, e)]
         for n, e, due, _ in state:
             if not due and n in self.whole and e <= self.allowed[self.whole[n]]:
                 found.append(Hit(self.whole[n], e))
@@ -163,10 +172,10 @@ class Product:
 
 
 class Verdicts(dict):
-    """Hits of tokens met lately."""
+    """Hits of tokens met lately; words of ``common`` are no misspellings."""
 
-    def __init__(self, product: Product):
-        self.product = product
+    def __init__(self, product: Product, common: frozenset[str] = frozenset()):
+        self.product, self.common = product, common
 
     def __missing__(self, token: str) -> Hit | None:
         if len(self) >= MEMO:
@@ -174,6 +183,8 @@ class Verdicts(dict):
         word = strip(token)
         # marks inside a word may stand for a letter; those around it are punctuation
         found = self.product.hit(word) if 2 < len(word) < 60 else None
+        if found and found.edits and word in self.common:
+            found = None
         if len(token) < 60:
             self[token] = found
         return found
@@ -198,9 +209,10 @@ class Model(NamedTuple):
     exact: list[float]  # worth of a hit by term
     fuzzy: list[float]
     weights: np.ndarray
+    common: frozenset[str] = frozenset()  # words of their own that resemble a term
 
     def product(self) -> Product:
-        """Misspellings that are worth nothing are not looked for."""
+        """Misspellings that speak for nothing are not looked for."""
         return Product(self.terms, frozenset(t for t, v in enumerate(self.fuzzy) if not v))
 
     def hits(self, verdicts: Verdicts, text: str) -> list[tuple[Hit, float]]:
@@ -286,7 +298,7 @@ def _occurrences(model: Model):
     """Per text: label, and its hits as term, edits, context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        verdicts = Verdicts(model.product())
+        verdicts = Verdicts(model.product(), model.common)
         for batch in batches:
             label, term, edits, weight = [], [], [], []
             for text, toxic in zip(batch.column(0), batch.column(1)):
@@ -301,6 +313,56 @@ def _occurrences(model: Model):
     return run
 
 
+def common_words(docs: DataFrame, model: Model) -> frozenset[str]:
+    """Words that resemble a term and are words of their own, counted over all documents.
+
+    They are in at least ``LEAST`` texts without any term and in a share ``COMMON`` of them, and less than ``RATIO``
+    times as frequent beside a term; the share bounds their number whatever the size of the table.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        verdicts, counts = Verdicts(model.product()), (Counter(), Counter())
+
+        def handed() -> pa.RecordBatch:
+            words = list(counts[0].keys() | counts[1].keys())
+            out = [pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in counts)]
+            for c in counts:
+                c.clear()
+            return pa.RecordBatch.from_arrays(out, ["word", "without", "beside"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                found = [(t, h) for t in set((text.as_py() or "").lower().split()) if (h := verdicts[t])]
+                beside = any(not h.edits for _, h in found)
+                counts[beside].update({"", *(strip(t) for t, h in found if h.edits)})  # "" counts the texts
+                if len(counts[0]) + len(counts[1]) > MEMO:
+                    yield handed()
+        yield handed()
+
+    counted = docs.select("text").mapInArrow(run, "word string, without long, beside long")
+    counted = materialize(counted.groupBy("word").agg(F.sum("without").alias("without"), F.sum("beside").alias("beside")), "toxicity_words")
+    whole = counted.where("word = ''").first()
+    if not whole or not whole.without:
+        return frozenset()
+    often = F.col("without") >= max(LEAST, COMMON * whole.without)
+    own = F.col("beside") * whole.without < RATIO * F.col("without") * whole.beside if whole.beside else F.lit(True)
+    return frozenset(r.word for r in counted.where(F.col("word") != "").where(often & own).select("word").collect())
+
+
+def fuzzy_log_odds(a: int, n_a: int, b: int, n_b: int) -> float:
+    """Of a term's misspellings, in ``a`` of the toxic and ``b`` of the other texts of the sample.
+
+    A few chance words do not count against a term: up to what ``FUZZY_NOISE`` allows, and three standard
+    deviations, it keeps the worth of one not seen yet. Above, it must make up for them or is worth nothing.
+    """
+    share = n_a * math.exp(FUZZY_WORTH) / (n_a * math.exp(FUZZY_WORTH) + n_b)
+    value = math.log((a + FUZZY_ROWS * share) / n_a * n_b / (b + FUZZY_ROWS * (1 - share)))
+    usual = FUZZY_NOISE * n_b
+    if b <= max(LEAST, usual + 3 * math.sqrt(usual)):
+        return max(value, FUZZY_WORTH)
+    return value if value >= FUZZY_ODDS else 0.0
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Newton's method with a normal prior; hits never speak against toxicity."""
     x, w = np.column_stack([np.ones(len(x)), x]), PRIOR.copy()
@@ -362,6 +424,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = choose_terms(toxic, clean, n_toxic, n_clean)
     terms = [(t, s) for t, s, _ in chosen]
     flat = Model(terms, [1.0] * len(terms), [1.0] * len(terms), PRIOR)
+    flat = flat._replace(common=common_words(docs, flat))
     hits = rows.mapInArrow(_occurrences(flat), "toxic int, term array<int>, edits array<int>, weight array<double>")
     hits = [(r.toxic, [(Hit(t, e), w) for t, e, w in zip(r.term, r.edits, r.weight)]) for r in hits.collect()]
 
@@ -369,13 +432,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         a, b = Counter(), Counter()
         for toxic, found in hits:
             (a if toxic else b).update({h.term for h, _ in found if (h.edits == 0) == exact})
-        values = [log_odds(a[t], n_toxic, b[t], n_clean) for t in range(len(terms))]
-        if not exact:
-            rare = [v >= FUZZY_ODDS and b[t] <= FUZZY_NOISE * n_clean for t, v in enumerate(values)]
-            values = [max(v, 2.0) if r else 0.0 for v, r in zip(values, rare)]
+        odds = log_odds if exact else fuzzy_log_odds
+        values = [odds(a[t], n_toxic, b[t], n_clean) for t in range(len(terms))]
         return [min(max(v, 0.0), 4.0) / 4 for v in values]
 
-    model = Model(terms, worth(True), worth(False), PRIOR)
+    model = Model(terms, worth(True), worth(False), PRIOR, flat.common)
     x = np.array([model.features(found) for _, found in hits])
     return model._replace(weights=fit_logistic(x, np.array([t for t, _ in hits], float)))
 
@@ -384,7 +445,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, n_hits and n_misspelled of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        verdicts = Verdicts(model.product())
+        verdicts = Verdicts(model.product(), model.common)
         for batch in batches:
             hits = [model.hits(verdicts, x.as_py() or "") for x in batch.column(1)]
             columns = [
