@@ -150,3 +150,16 @@ def test_chance_words_leave_the_term(spark):
     got = {r.doc_id: r for r in tox.classify(spark, docs, labels).collect()}
     assert got[9000].predicted == 1 and got[9000].n_misspelled == 2
     assert got[9001].predicted == got[9001].n_misspelled == got[9002].predicted == 0
+
+
+def test_words_inside_tokens():
+    terms = [("idiot", False), ("clown", False), ("马鹿", False)]
+    model = tox.Model(terms, [1.0] * 3, [1.0] * 3, tox.PRIOR)
+    found = lambda text: [terms[h.term][0] for h, _ in model.hits(tox.Verdicts(model.product()), text)]
+    assert found("idiot/clown") == found("x=idiot;y('clown')") == found("an idiot!clown") == ["idiot", "clown"]
+    assert found("idiot,you") == found("idiot\u2014everyone") == found("Word.Idiot") == found("idi" + "o" * 70 + "t") == found("1d!ot") == ["idiot"]
+    assert found("あの马鹿野郎です") == ["马鹿"] and found("idiots-folly bestidiotever") == ["idiot"]
+    assert len(found("a=" + ";".join(["idiot", "fine"] * 20_000))) == 20_000
+    assert found("." * 100_000 + "a" + "." * 100_000 + "idiot") == ["idiot"]
+    learned = tox.terms_of("all/idiot:clown あの马鹿野郎")
+    assert {("idiot", False), ("clown", False), ("马鹿", False), ("idio", True)} <= learned

@@ -4,6 +4,10 @@ Terms (whole words, and stems that begin words) are learned from a bounded sampl
 much more often they occur in toxic ones. All terms form one trie; reading a word's letters moves a set of
 (trie node, edits so far), which is the product of the trie with every term's Levenshtein automaton, made
 deterministic as it is used. Swapped neighbours are one edit; look-alike digits and drawn-out letters are free.
+White space divides a text into tokens. A token is read as one word of any length, then, if that is no term, as
+the words between its marks; in scripts without spaces runs of two and three characters are the words. A whole
+word inside a longer run of letters is no hit, as it would be in many innocent words. Whole words of 40 letters
+or more are not learned, their stems are.
 A hit inside quotation marks or next to words of reporting counts less, one next to a form of address more.
 The hits of a text give a logistic score.
 
@@ -19,13 +23,13 @@ other columns are dropped; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardline.llm.common import hashed_words, odd_numbers, slices, windows_of
@@ -50,7 +54,11 @@ PRIOR = np.array([-3.0, 4.0, 3.5])  # intercept, exact hits, misspelled hits
 FLOOR = -4.0  # of the intercept, so that two misspelled terms reach the threshold however clean most texts are
 PULL = np.array([0.1, 0.5, 0.5])  # weight of the prior
 
-_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+#: where a token is cut, first at marks that stand for no letter, then at those too
+_CUTS = (regex.compile(r"(?V1)[[\p{P}\p{S}\p{Z}\p{Cc}]--[@$!*]]+"), regex.compile(r"[@$!*]+"))
+#: scripts written without spaces; their words are runs of so many characters
+_UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]{2,}")
+GRAMS = (2, 3)
 QUOTES = frozenset("\"“”„«»‘’")
 REPORTING = frozenset("said says called quote quoted word term wrote sagte wort dit mot dijo palabra".split())
 ADDRESS = frozenset("you your you're youre du dich ihr tu toi vous usted eres".split())
@@ -58,7 +66,23 @@ LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a",
 
 
 def strip(token: str) -> str:
-    return token if token.isalpha() else _EDGE.sub("", token)
+    if token.isalpha():
+        return token
+    lo, hi = 0, len(token)
+    while lo < hi and not token[lo].isalnum():
+        lo += 1
+    while lo < hi and not token[hi - 1].isalnum():
+        hi -= 1
+    return token[lo:hi]
+
+
+def grams(word: str) -> Iterator[str]:
+    """Runs of two and three characters of scripts without spaces."""
+    if not word.isascii():
+        for run in _UNSPACED.findall(word):
+            for k in GRAMS:
+                for i in range(len(run) - k + 1):
+                    yield run[i : i + k]
 
 
 def edits_for(term: str) -> int:
@@ -177,18 +201,34 @@ class Verdicts(dict):
     def __init__(self, product: Product, common: frozenset[str] = frozenset()):
         self.product, self.common = product, common
 
-    def __missing__(self, token: str) -> Hit | None:
+    def __missing__(self, token: str) -> tuple[tuple[str, Hit], ...]:
         if len(self) >= MEMO:
             self.clear()
-        word = strip(token)
-        # marks inside a word may stand for a letter; those around it are punctuation
-        found = self.product.hit(word) if 2 < len(word) < 60 else None
-        if found and found.edits and word in self.common:
-            found = None
+        found = tuple(self.read(token))
         if len(token) < 60:
             self[token] = found
         return found
 
+    def read(self, token: str, cuts: tuple = _CUTS) -> list[tuple[str, Hit]]:
+        """The token as one word, as marks inside may stand for letters; else the words between the marks."""
+        word = strip(token)  # marks around it are punctuation
+        whole = self.product.hit(word) if len(word) > 1 else None
+        if whole and whole.edits and word in self.common:
+            whole = None
+        inner = []
+        if not (whole and not whole.edits) and not (word.isascii() and word.isalpha()):
+            inner = self._inside(word, cuts)
+        if inner and (not whole or any(not h.edits for _, h in inner)):
+            return inner
+        return [(word, whole)] if whole else []
+
+    def _inside(self, word: str, cuts: tuple) -> list[tuple[str, Hit]]:
+        for k, cut in enumerate(cuts):
+            parts = cut.split(word)
+            if len(parts) > 1:
+                return [x for p in parts if p for x in self.read(p, cuts[k + 1 :])]
+        return [(g, h) for g in grams(word) if (h := self.product.hit(g)) and not h.edits]
+
 
 def context(tokens: list[str], at: int) -> float:
     """How much a hit counts, by the words around it."""
@@ -220,7 +260,8 @@ class Model(NamedTuple):
         found = {t: h for t in set(tokens) if (h := verdicts[t])}
         if not found:
             return []
-        return [(found[t], context(tokens, i)) for i, t in enumerate(tokens) if t in found]
+        at = [(found[t], context(tokens, i)) for i, t in enumerate(tokens) if t in found]
+        return [(h, c) for hits, c in at for _, h in hits]
 
     def features(self, hits: list[tuple[Hit, float]]) -> tuple[float, float]:
         exact = sum(self.exact[h.term] * c for h, c in hits if not h.edits)
@@ -235,9 +276,21 @@ class Model(NamedTuple):
         return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, z))))
 
 
+def words_of(token: str) -> Iterator[str]:
+    """The token without the marks around it, and what ``Verdicts`` may find inside."""
+    word = strip(token)
+    yield word
+    if not (word.isascii() and word.isalpha()):
+        for p in _CUTS[0].split(word):
+            yield strip(p)
+            yield from map(strip, _CUTS[1].split(p))
+
+
 def terms_of(text: str) -> set[tuple[str, bool]]:
-    words = {w for t in set(text.lower().split()) if 4 <= len(w := strip(t)) < 40}
-    return {(w, False) for w in words} | {(w[:k], True) for w in words for k in STEMS if len(w) > k}
+    tokens = set(text.lower().split())
+    words = {w for t in tokens for w in words_of(t) if len(w) >= 4}
+    runs = {(g, False) for t in tokens for g in grams(t)}
+    return runs | {(w, False) for w in words if len(w) < 40} | {(w[:k], True) for w in words for k in STEMS if len(w) > k}
 
 
 def _counted(wanted: set | None):
@@ -332,9 +385,9 @@ def common_words(docs: DataFrame, model: Model) -> frozenset[str]:
 
         for batch in batches:
             for text in batch.column(0):
-                found = [(t, h) for t in set((text.as_py() or "").lower().split()) if (h := verdicts[t])]
+                found = [x for t in set((text.as_py() or "").lower().split()) for x in verdicts[t]]
                 beside = any(not h.edits for _, h in found)
-                counts[beside].update({"", *(strip(t) for t, h in found if h.edits)})  # "" counts the texts
+                counts[beside].update({"", *(w for w, h in found if h.edits)})  # "" counts the texts
                 if len(counts[0]) + len(counts[1]) > MEMO:
                     yield handed()
         yield handed()
