@@ -95,6 +95,20 @@ def test_page_parts():
     assert html_text.main_text("<div>" * 20_000 + "deep text") == "deep text"
 
 
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "no-sidebar", "has-banner", "menuOpen", "search-results", "sidebar", "notice"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_page_names(name, tag):
+    """A name on a wrapper does not take the article away, nor does one on a block that only sounds alike."""
+    own = "The first paragraph of the article has quite some words. A notice of the author. Work that is related to this one."
+    inner = own.replace(". A", ".</p><p class='notice-text'>A").replace(". W", ".</p><p class=related-work>W")
+    page = f"""<body><ul class=nav><li><a href=x>Home</a></ul><div class="page {name}"><{tag}><p>{inner}</p></{tag}>
+    <div class="sidebar"><p>Some more to read</div></div><div id=cookie-banner><p>We use cookies.</div>"""
+    assert html_text.main_text(page) == own
+    assert html_text.main_text("<div class=menu><p>one two three</div><div class=sidebar><p>four five six</div>") == "one two three four five six"
+    comments = f"<main><p>{own}</main><div id=comments><article><p>A reader.</article></div>"
+    assert html_text.main_text(comments) == own
+
+
 def test_pages_odd(spark):
     rows = [(1, "u", None, 5), (1, "u", "", 5), (None, None, "<p>t</p>", 5), (None, None, "<p>t</p>", 5)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")

@@ -1,7 +1,9 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree without its menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and comments. Every node gets its characters per tag, adjusted by the characters and tags inside links; a
+and comments. Where only a class, id or role says so, the last piece of one of its names must ("cookie-notice", but not
+"notice-text" or "has-banner"), and the element must not hold the article or most of the text; if nothing is left
+the names are not heeded. Every node gets its characters per tag, adjusted by the characters and tags inside links; a
 node's density sum is that of its children. The node with the largest sum is found; the least density between
 it and the body is the threshold, and in every node above it the largest sum marks content. The text is that
 of the smallest subtree that holds all marks, or of the article or main element around it.
@@ -28,6 +30,9 @@ _TAG = re.compile(
 )
 _NAMED = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PIECES = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: first pieces of names that speak of something else on the page
+ABOUT = frozenset("has no with without not is show hide open".split())
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noframes noembed".split())
@@ -66,21 +71,23 @@ ENDS = {
 
 
 class Node:
-    __slots__ = ("tag", "up", "parts", "out", "chars", "tags", "link_chars", "links", "density", "sum")
+    __slots__ = ("tag", "up", "parts", "never", "named", "out", "plain", "chars", "tags", "link_chars", "links", "density", "sum")
 
-    def __init__(self, tag: str, up: Node | None, out: bool):
-        self.tag, self.up, self.out = tag, up, out
+    def __init__(self, tag: str, up: Node | None, never: bool, named: bool = False):
+        self.tag, self.up, self.never, self.named, self.out = tag, up, never, named, never
         self.parts: list[str | Node] = []
 
 
 def _outside(tag: str, attributes: str) -> bool:
-    if tag in OUTSIDE:
-        return True
+    """Do class, id or role say that it is no part of the article? The last piece of each name tells."""
     if not attributes or tag in WHOLE:
         return False
-    return any(
-        p in OUTSIDE_NAMES for m in _NAMED.finditer(attributes) for p in _PIECES.findall((m[2] or m[3] or m[4] or "").lower())
-    )
+    for m in _NAMED.finditer(attributes):
+        for name in (m[2] or m[3] or m[4] or "").split():
+            pieces = _PIECES.findall(_CAMEL.sub("-", name).lower())
+            if pieces and pieces[-1] in OUTSIDE_NAMES and pieces[0] not in ABOUT:
+                return True
+    return False
 
 
 def tree(page: str) -> Node:
@@ -110,12 +117,12 @@ def tree(page: str) -> Node:
                 node = node.up
             if node.tag in closed:
                 now = node.up
-        child = Node(tag, now, now.out or _outside(tag, m[3]))
+        child = Node(tag, now, now.never or tag in OUTSIDE, _outside(tag, m[3]))
         now.parts.append(child)
         if tag in RAW:  # not markup inside
             stop = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
             at = stop.start() if stop else end
-            child.out = True
+            child.never = child.out = True
         elif tag not in VOID and not m[3].endswith("/"):
             now = child
         elif tag not in VOID:
@@ -123,6 +130,29 @@ def tree(page: str) -> Node:
     return root
 
 
+def judge(root: Node, by_name: bool) -> None:
+    """Marks what is left out: ``OUTSIDE`` elements and, with ``by_name``, what is named so.
+
+    Never a node with the largest article or main element of the page in it, nor, on a page without such an element
+    elsewhere, one with more than half of the text outside links.
+    """
+    nodes, i = [root], 0
+    while i < len(nodes):
+        nodes += [c for c in nodes[i].parts if type(c) is Node and not c.never]
+        i += 1
+    for n in reversed(nodes):
+        n.plain = 0 if n.tag == "a" else sum(len(p.strip()) if type(p) is str else 0 if p.never else p.plain for p in n.parts)
+    wholes = [n for n in nodes if n.tag in ("article", "main") and n.plain]
+    n = max(wholes, key=lambda n: n.plain, default=None)
+    held = set()
+    while n is not None:
+        held.add(id(n))
+        n = n.up
+    for n in nodes[1:]:
+        most = not wholes and 2 * n.plain > root.plain
+        n.out = n.up.out or (by_name and n.named and id(n) not in held and not most)
+
+
 def _order(root: Node) -> list[Node]:
     """Nodes inside the article candidates, parents first."""
     nodes, i = [root], 0
@@ -212,8 +242,14 @@ def text_of(node: Node) -> str:
 
 
 def main_text(page: str | None) -> str:
-    found = article(tree(page or ""))
-    return "" if found is None else text_of(found)
+    root = tree(page or "")
+    for by_name in (True, False):  # names do not empty a page
+        judge(root, by_name)
+        found = article(root)
+        text = "" if found is None else text_of(found)
+        if text:
+            return text
+    return ""
 
 
 def extract(pages: DataFrame, html_column: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
