@@ -87,3 +87,23 @@ def test_partial_json_events_get_defaults(spark):
     first, second = ingest.parse_events(df, "value").collect()
     assert (first["query_type"], first["status"], first["time_classification"]) == ("SELECT", "success", "weekend")
     assert second["access_id"] is None and second["rowcount"] == 0
+
+
+@pytest.mark.parametrize("name", ["r2_event_rates", "r5_stream_sessions"])
+def test_open_windows_and_sessions_are_added(spark, small, name):
+    """The SQL without its cut at an hour before the last event."""
+    import __spark_entry__ as entry
+    from check_oracles import compare, connect
+
+    cut, sql = {"r2_event_rates": ("WHERE s +", " GROUP BY 1, 2"), "r5_stream_sessions": ("HAVING max", "")}[name], entry.oracle_sql()[name]
+    whole = sql[: sql.rindex(cut[0])] + cut[1]
+    assert compare(entry.queries()[name](spark, small), connect(small), whole) == ""
+
+
+def test_open_windows_after_several_batches(spark, parts, tmp_path):
+    folder, logs = parts
+    slim, paths = ["timestamp", "status", "user_id"], lambda x: (str(tmp_path / x), str(tmp_path / f"{x}_cp"))
+    rates = jobs.whole_rates(log_stream(spark, parts).select(slim), logs, ["status"], *paths("rates"))
+    sessions = jobs.whole_sessions(log_stream(spark, parts).select(slim), logs, *paths("sessions"))
+    for got, want in ((rates, jobs.event_rates(logs, ["status"])), (sessions, jobs.session_stream(logs))):
+        assert got.count() == want.count() and got.exceptAll(want).count() == 0

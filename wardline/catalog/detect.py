@@ -177,9 +177,9 @@ def stream_features(q: Inputs):
 SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, status, count(*) AS n FROM w
 WHERE s + INTERVAL 1 HOUR <= (SELECT max(timestamp) - INTERVAL 1 HOUR FROM fx_logs) GROUP BY 1, 2""")
 def stream_rates(q: Inputs):
-    """Sliding hourly rates; windows the watermark has not closed yet are not in the table."""
+    """Sliding hourly rates: closed windows from the stream, open ones added. The SQL has the closed ones only."""
     slim = _log_stream(q).select("timestamp", "status")
-    out = jobs.run_to_table(jobs.event_rates(slim, ["status"]), *_paths(q, "rates"))
+    out = jobs.whole_rates(slim, q.logs.select("timestamp", "status"), ["status"], *_paths(q, "rates"))
     return out.select(time_text("window_start"), "status", "n")
 
 
@@ -209,8 +209,9 @@ s AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY timestamp, access_id
 SELECT user_id, strftime(min(timestamp), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS events FROM s GROUP BY user_id, sid
 HAVING max(timestamp) + INTERVAL 30 MINUTE <= (SELECT max(timestamp) - INTERVAL 1 HOUR FROM fx_logs)""")
 def stream_sessions(q: Inputs):
+    """Sessions: closed ones from the stream, open ones added. The SQL has the closed ones only."""
     slim = _log_stream(q).select("user_id", "timestamp")
-    out = jobs.run_to_table(jobs.session_stream(slim), *_paths(q, "sessions"))
+    out = jobs.whole_sessions(slim, q.logs.select("user_id", "timestamp"), *_paths(q, "sessions"))
     return out.select("user_id", time_text("session_start"), "events")
 
 

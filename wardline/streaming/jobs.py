@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wardline.functions.numeric import round_to
@@ -154,8 +154,44 @@ def evaluated(scored: DataFrame) -> DataFrame:
     )
 
 
+def whole_rates(
+    stream: DataFrame, rows: DataFrame, keys: list[str], out: str, checkpoint: str,
+    size: str = "1 hour", slide: str = "5 minutes", delay: str = "1 hour",
+) -> DataFrame:
+    """The closed windows of the stream, and those still open from the same ``rows`` in batch form."""
+    closed, mark = run_to_watermark(event_rates(stream, keys, size, slide, delay), out, checkpoint)
+    recent = rows.where(F.col("timestamp") > mark - F.expr(f"INTERVAL {size}"))
+    still = event_rates(recent, keys, size, slide, delay).where(F.col("window_end") > mark)
+    return closed.unionByName(still)
+
+
+def whole_sessions(
+    stream: DataFrame, rows: DataFrame, out: str, checkpoint: str, gap: str = "30 minutes", delay: str = "1 hour"
+) -> DataFrame:
+    """The closed sessions of the stream, and those still open from all ``rows`` of their users in batch form."""
+    closed, mark = run_to_watermark(session_stream(stream, gap, delay), out, checkpoint)
+    recent = rows.where(F.col("timestamp") > mark - F.expr(f"INTERVAL {gap}"))
+    users = recent.select(F.col("user_id").alias("_user")).distinct()
+    theirs = rows.join(users, F.col("user_id").eqNullSafe(F.col("_user")), "left_semi")
+    still = session_stream(theirs, gap, delay).where(F.col("session_end") > mark)
+    return closed.unionByName(still)
+
+
+def run_to_watermark(stream: DataFrame, out: str, checkpoint: str) -> tuple[DataFrame, Column]:
+    """The table of a stream that has run to its end, and the watermark up to which it is closed."""
+    query = _run(stream, out, checkpoint)
+    marks = [m for p in query.recentProgress if (m := p.eventTime.get("watermark"))]
+    mark = F.to_timestamp(F.lit(max(marks, default="1970-01-01T00:00:00.000Z")))
+    return stream.sparkSession.read.schema(stream.schema).parquet(out), mark
+
+
 def run_to_table(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     """Process everything that is available now into a Parquet table and return it."""
+    _run(stream, out, checkpoint)
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
+def _run(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     query = (
         stream.writeStream.format("parquet")
         .outputMode("append")
@@ -164,4 +200,4 @@ def run_to_table(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
         .start(out)
     )
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+    return query
