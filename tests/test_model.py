@@ -183,3 +183,31 @@ def test_planted_patterns_score_below_ordinary_events(spark):
     assert worst < medians[False]
     hits = scored.where("planted AND prediction = -1").count()
     assert hits >= 28
+
+
+def test_evaluated_events(spark, small):
+    """Requests are evaluated, not looked up: absent features are 0, hits are explained, the time is told."""
+    from pyspark.sql import functions as F
+    from wardline.catalog.registry import Inputs
+    from wardline.schemas import FEATURES
+    from wardline.streaming import jobs
+
+    q = Inputs(spark, small)
+    full = {r.access_id: r for r in jobs.evaluated(q.enriched, q.trained).collect()}
+    stored = {r.access_id: r for r in q.trained.scored().collect()}
+    assert {k: r.prediction for k, r in full.items()} == {k: r.prediction for k, r in stored.items()}
+    assert all(len(r.top_features) == (3 if r.is_anomaly else 0) and r.analyzed_at for r in full.values())
+    assert {r.is_anomaly for r in full.values()} == {True, False}
+    absent, null = FEATURES[0], FEATURES[-1]
+    part = q.enriched.drop(absent).withColumn(null, F.lit(None).cast("double"))
+    zero = q.enriched.withColumns({absent: F.lit(0.0), null: F.lit(0.0)})
+    got, want = ({r.access_id: (r.anomaly_score, r.top_features) for r in jobs.evaluated(x, q.trained).collect()} for x in (part, zero))
+    assert got == want and got != {k: (r.anomaly_score, r.top_features) for k, r in full.items()}
+    answer = entry_row(spark, small, "t6_response")
+    assert answer.analyzed_at and answer.is_anomaly is not None
+
+
+def entry_row(spark, folder, name):
+    import __spark_entry__ as entry
+
+    return entry.queries()[name](spark, folder).first()

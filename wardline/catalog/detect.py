@@ -110,8 +110,8 @@ def global_importance(q: Inputs):
 
 @query("m9_evaluate_events")
 def evaluate_events(q: Inputs):
-    """Every event as a request: score, flag and time of analysis."""
-    return jobs.evaluated(q.trained.scored()).drop("analyzed_at")
+    """Every event as a request, evaluated anew: flag, score, explanation of hits and time of analysis."""
+    return jobs.evaluated(q.enriched, q.trained)
 
 
 @query("m10_seeded_sample")
@@ -235,4 +235,5 @@ def responses(q: Inputs):
         (col("prediction") == -1).alias("is_anomaly"),
         round_to("anomaly_score", 6).alias("anomaly_score"),
         (col("access_id") != col("evaluated_as")).alias("reused"),
+        F.current_timestamp().alias("analyzed_at"),
     )

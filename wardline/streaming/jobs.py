@@ -7,13 +7,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wardline.functions.numeric import round_to
 from wardline.functions.text import content_hash, time_cell
+from wardline.operators.attribution import BACKGROUND, background_rows, explain, top_features
 from wardline.operators.forest import Forest
 from wardline.operators.triage import TTL_SECONDS
 from wardline.operators.windows import trailing_count
 from wardline.plans.enrich import (
     VELOCITY, VELOCITY_SECONDS, event_features, finish, merge,
 )
+from wardline.plans.train import Trained
 from wardline.schemas import FEATURES, IDS
+from wardline.session import materialize
+from wardline.sources.readers import feature_matrix
 
 
 def stateless_features(stream: DataFrame, profiles: DataFrame, reference_date: str) -> DataFrame:
@@ -142,14 +146,27 @@ def session_stream(stream: DataFrame, gap: str = "30 minutes", delay: str = "1 h
     )
 
 
-def evaluated(scored: DataFrame) -> DataFrame:
-    """Response columns of scored events: flag, rounded score, time of analysis."""
-    return scored.select(
+def evaluated(events: DataFrame, trained: Trained) -> DataFrame:
+    """Response to each event: flag, rounded score, what speaks for it if it is flagged, time of analysis.
+
+    Features that an event lacks, as a column or a value, count as 0. Only flagged events are explained, the others
+    have an empty list. The scored events are stored, as both parts read them.
+    """
+    given = {f: F.lit(0.0) for f in FEATURES if f not in events.columns}
+    model = trained.model
+    scored = materialize(model.score(feature_matrix(events.withColumns(given))), "evaluated")
+    reference = background_rows(trained.enriched, model, "access_id", BACKGROUND)
+    hits = explain(scored.where("prediction = -1"), model, reference)
+    hits = hits.withColumn("top_features", top_features(F.col("attribution"))).drop("attribution")
+    none = F.array().cast(hits.schema["top_features"].dataType)
+    others = scored.where("prediction <> -1 OR prediction IS NULL").withColumn("top_features", none)
+    return hits.unionByName(others).select(
         "access_id",
         "user_id",
         (F.col("prediction") == -1).alias("is_anomaly"),
         round_to("anomaly_score", 6).alias("anomaly_score"),
         "prediction",
+        "top_features",
         F.current_timestamp().alias("analyzed_at"),
     )
 
