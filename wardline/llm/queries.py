@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from wardline.llm import bpe, chat, decontaminate, html_text, jaccard, licence, quality_crf, quality_rules, suffix_dedup, toxicity
+from wardline.llm import bpe, chat, decontaminate, divergence, html_text, jaccard, licence, merkle
+from wardline.llm import piece_bpe, quality_crf, quality_rules, suffix_dedup, toxicity
 from wardline.llm.common import table
 
 
@@ -47,6 +48,18 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_piece_round_trip(spark, sf_dir):
+    return piece_bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.audit(table(spark, sf_dir, "documents"), merkle.without_newlines())
+
+
+def op13_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -60,6 +73,13 @@ QUERIES = {
         op8_quality_rules,
         op9_suffix_dedup,
         op10_toxicity,
+        op11_piece_round_trip,
+        op12_merkle_manifest,
+        op13_source_divergence,
     )
 }
-ORACLES = {"op8_quality_rules": quality_rules.ORACLE}
+ORACLES = {
+    "op8_quality_rules": quality_rules.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
+}
