@@ -33,6 +33,7 @@ from wardline.session import materialize
 
 MIN_DOCS = 30
 FIRST = 3  # bytes of the first level's prefixes; each level doubles them
+SLICE_BYTES = 4 << 20  # text counted at once inside a task
 BITS = 26  # log2 of the bitmap's bits: 8 MB
 TOP = 50  # terms listed for a group
 SCALE = 1_000_000_000
@@ -60,8 +61,8 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def _terms(data: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """All terms of a slice in order, and the row of each."""
+def _terms(data: np.ndarray, off: np.ndarray, above: int) -> tuple[pa.Array, np.ndarray]:
+    """The terms of more than ``above`` bytes of a slice in order, and the row of each."""
     inside = _IS_TERM[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -71,7 +72,13 @@ def _terms(data: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     start = np.flatnonzero(begins)
     kept = np.flatnonzero(inside)
     heads = np.append(np.searchsorted(kept, start), len(kept))
-    return _strings(_LOWER[data[kept]], heads), np.searchsorted(off, start, side="right") - 1
+    row = np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(start, off)))
+    letters = _LOWER[data[kept]]
+    if above:
+        long = np.flatnonzero(np.diff(heads) > above)
+        letters, heads = _rows(letters, heads, long)
+        row = row[long]
+    return _strings(letters, heads), row
 
 
 def _cut(data: np.ndarray, off: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,8 +123,8 @@ def _level(length: int, before: int, alive):
             langs = list(dict.fromkeys(g[0] for g in names))
             lang_of = np.array([langs.index(g[0]) for g in names])
             hashed = np.array([_lang_hash(x) for x in langs], np.uint64)
-            for t in slices(batch.column(2)):
-                terms, row = _terms(t.data, t.off)
+            for t in slices(batch.column(2), SLICE_BYTES):
+                terms, row = _terms(t.data, t.off, before)
                 if not len(terms):
                     continue
                 coded = terms.dictionary_encode()
@@ -129,12 +136,12 @@ def _level(length: int, before: int, alive):
                 row, code = pair // n_terms + t.lo, pair % n_terms
                 lang = lang_of[group[row]]
                 if bitmap is not None:
-                    # terms that were complete before are done, as are those whose prefix was discarded
+                    # terms whose prefix was discarded are done, like those that were complete before
                     both, back = np.unique(lang * n_terms + code, return_inverse=True)
                     cut, head = _cut(*_rows(data, off, both % n_terms), before)
                     bit = _bits(_hashes(hashed[both // n_terms], cut, head))
                     on = (bitmap[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) != 0
-                    on = (on & (np.diff(off)[both % n_terms] > before))[back]
+                    on = on[back]
                     row, code, times, lang = row[on], code[on], times[on], lang[on]
                 ended = np.diff(off)[code] <= length
                 yield _complete(names, group[row[ended]], code[ended], times[ended], coded.dictionary)
@@ -171,9 +178,10 @@ def _open(langs: list[str], hashed: np.ndarray, lang: np.ndarray, row: np.ndarra
     coded = _strings(cut, head).dictionary_encode()
     n = max(1, len(coded.dictionary))
     prefix = coded.indices.to_numpy()[code]
-    # a document has one language, so (document, prefix) tells all
-    once = np.unique(np.column_stack([row * n + prefix, lang]), axis=0) if len(row) else np.zeros((0, 2), np.int64)
-    key, docs = np.unique(once[:, 1] * n + once[:, 0] % n, return_counts=True)
+    lang_of = np.zeros(int(row.max(initial=-1)) + 1, np.int64)
+    lang_of[row] = lang
+    once = np.unique(row * n + prefix)
+    key, docs = np.unique(lang_of[once // n] * n + once % n, return_counts=True)
     data, off = _rows(*_bytes_of(coded.dictionary), key % n)
     hashes = _hashes(hashed[key // n], data, off)
     of = pa.array(langs, pa.string()).take(pa.array(key // n))
