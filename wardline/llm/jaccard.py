@@ -39,7 +39,8 @@ VALUES = 64  # MinHash values of a node; the first BANDS * ROWS make the bands
 STEP = 16  # values compared at a time
 TOLERANCE = 1e-8
 BLOCK_NODES = 512  # of a bucket that are compared at once
-BLOCK_SHINGLES = 250_000  # of a group that are compared at once
+BLOCK_SHINGLES = 250_000  # of a group that are compared at once, in at most
+BLOCK_TEXTS = 1024  # distinct texts
 
 _FACTORS = odd_numbers(21, VALUES)
 
@@ -238,7 +239,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _same(a: Column, b: Column) -> Column:
     """Equality that holds for nulls, as two keys a join can be partitioned by."""
-    return (F.coalesce(a, F.lit(0)) == F.coalesce(b, F.lit(0))) & (F.isnull(a) == F.isnull(b))
+    return (_known(a) == _known(b)) & (F.isnull(a) == F.isnull(b))
+
+
+def _known(a: Column) -> Column:
+    """An id of any type as text, a null as an empty one."""
+    return F.coalesce(a.cast("string"), F.lit(""))
 
 
 def node_table(signed: DataFrame) -> DataFrame:
@@ -258,13 +264,14 @@ def links_and_classes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, label and links of the nodes that are linked to another."""
     groups = candidate_groups(nodes)
     grouped = groups.join(nodes.select("node", "copies", "least", "size", "signature"), "node")
-    weight = groups.join(nodes.select("node", "size"), "node").groupBy("label").agg(F.sum("size").alias("mass"))
+    blocks = F.ceil(F.greatest(F.sum("size") / BLOCK_SHINGLES, F.count("*") / BLOCK_TEXTS)).alias("parts")
+    weight = groups.join(nodes.select("node", "size"), "node").groupBy("label").agg(blocks)
     grouped = grouped.join(weight, "label")
     texts = _keyed(docs)
     chosen = _same(texts["doc_id"], grouped["least.doc_id"]) & (texts["text_hash"] == grouped["least.text_hash"])
-    found = grouped.join(texts, chosen).select("label", "mass", "node", "copies", "signature", "text")
-    sets = found.mapInArrow(_sets, "label long, mass long, node long, copies long, signature binary, shingles binary")
-    pairs = _in_blocks(sets, ["label"], F.ceil(F.col("mass") / BLOCK_SHINGLES), "node")
+    found = grouped.join(texts, chosen).select("label", "parts", "node", "copies", "signature", "text")
+    sets = found.mapInArrow(_sets, "label long, parts long, node long, copies long, signature binary, shingles binary")
+    pairs = _in_blocks(sets, ["label"], F.col("parts"), "node")
     pairs = pairs.select("g", "mine", "cross", "node", "copies", "signature", "shingles")
     results = pairs.repartition("g").sortWithinPartitions("g").mapInArrow(_verified, "u long, v long, links long")
     results = materialize(results, "links")
@@ -300,11 +307,11 @@ def keep_first(docs: DataFrame) -> DataFrame:
     h = free("_text_hash", docs.columns)
     keyed = docs.withColumn(h, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     none, known = free("_none", keyed.columns), free("_known", keyed.columns)
-    keyed = keyed.withColumns({none: F.isnull("doc_id"), known: F.coalesce("doc_id", F.lit(0))})
+    keyed = keyed.withColumns({none: F.isnull("doc_id"), known: _known(F.col("doc_id"))})
     wanted = first.select(
         F.col("first.text_hash").alias(h),
         F.isnull("first.doc_id").alias(none),
-        F.coalesce("first.doc_id", F.lit(0)).alias(known),
+        _known(F.col("first.doc_id")).alias(known),
     )
     kept = keyed.join(wanted, [h, none, known], "left_semi")
     return kept.dropDuplicates([h, none, known]).select(*docs.columns)
