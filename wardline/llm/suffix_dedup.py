@@ -308,13 +308,13 @@ def _sort_buckets(contexts: DataFrame) -> DataFrame:
         split = left.join(large, "g").select(*columns)
         parts = materialize(split.mapInArrow(_parts, f"{fields}, r long"), "parts")
         # windows whose bytes are all alike repeat as a whole; one context stands for them in what follows
-        alike = parts.groupBy("g", "r").agg(F.count("*").alias("n"), F.min(F.struct("h", "c")).alias("one"))
+        one = F.min(F.struct("h", "c", "first", "last", "before", "around")).alias("one")
+        alike = parts.groupBy("g", "r").agg(F.count("*").alias("n"), one)
         alike = materialize(alike, "alike")
         ends = F.array(F.struct((-F.col("last")).alias("lo"), (LENGTH - F.col("first")).alias("hi")))
         twice = alike.where("n > 1").select("g", "r")
         found.append(parts.join(twice, ["g", "r"]).select("h", "c", ends.cast(ROW).alias("ranges")))
-        one = alike.select("g", "r", "one.h", "one.c")
-        left = materialize(parts.join(one, ["g", "r", "h", "c"]).select(*columns), "left")
+        left = alike.select("g", "one.*").select(*columns)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
