@@ -1,6 +1,8 @@
 """Streams in several micro-batches must equal the batch job."""
 
 import datetime as dt
+import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,8 @@ from wardline.catalog.registry import Inputs
 from wardline.plans.enrich import enrich
 from wardline.schemas import FEATURES, IDS
 from wardline.sources import sample_views as views
-from wardline.streaming import ingest, jobs
+from wardline.operators.windows import trailing_count
+from wardline.streaming import ingest, jobs, trailing
 
 
 @pytest.fixture(scope="module")
@@ -89,15 +92,60 @@ def test_partial_json_events_get_defaults(spark):
     assert second["access_id"] is None and second["rowcount"] == 0
 
 
-@pytest.mark.parametrize("name", ["r2_event_rates", "r5_stream_sessions"])
-def test_open_windows_and_sessions_are_added(spark, small, name):
-    """The SQL without its cut at an hour before the last event."""
-    import __spark_entry__ as entry
-    from check_oracles import compare, connect
+def test_a_second_run_adds_nothing(spark, parts, tmp_path):
+    """Without new data the mark is the one before: no window or session comes twice."""
+    logs = parts[1]
+    slim, paths = ["timestamp", "status", "user_id"], lambda x: (str(tmp_path / x), str(tmp_path / f"{x}_cp"))
+    for _ in range(2):
+        rates = jobs.whole_rates(log_stream(spark, parts).select(slim), logs, ["status"], *paths("rates"))
+        sessions = jobs.whole_sessions(log_stream(spark, parts).select(slim), logs, *paths("sessions"))
+        for got, want in ((rates, jobs.event_rates(logs, ["status"])), (sessions, jobs.session_stream(logs))):
+            assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_repeated_profiles_are_refused(spark, small, parts, tmp_path):
+    profiles = views.profiles(spark, small)
+    for start in (jobs.score_stream, jobs.score_stream_revised):
+        with pytest.raises(ValueError, match="profiles"):
+            start(log_stream(spark, parts), profiles.unionByName(profiles), views.REFERENCE_DATE, str(tmp_path / "o"), str(tmp_path / "c"))
+
+
+def run_revised(spark, batches, tmp_path, delay):
+    """Batches of (id, user, time) as micro-batches; all versions and the last progress."""
+    folder, schema = str(tmp_path / "in"), "access_id long, user_id string, timestamp timestamp"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = ingest.log_files(spark, folder, spark.read.parquet(folder).schema, maxFilesPerTrigger=1)
+    counted = trailing.trailing_stream(stream, "user_id", "timestamp", "access_id", "n", delay)
+    out = str(tmp_path / "out")
+    run = trailing.versions(counted, "timestamp", out, str(tmp_path / "cp"), available_now=True)
+    run.awaitTermination()
+    return spark.read.option("basePath", out).parquet(out), trailing.current(spark, out, "access_id"), run
 
-    cut, sql = {"r2_event_rates": ("WHERE s +", " GROUP BY 1, 2"), "r5_stream_sessions": ("HAVING max", "")}[name], entry.oracle_sql()[name]
-    whole = sql[: sql.rindex(cut[0])] + cut[1]
-    assert compare(entry.queries()[name](spark, small), connect(small), whole) == ""
+
+def test_late_events_revise(spark, tmp_path):
+    """Any order of arrival, repeated instants, null users and times: the latest versions are the batch result."""
+    rnd = random.Random(3)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, rnd.choice(["a", "b", None]), start + dt.timedelta(minutes=10 * rnd.randrange(60))) for i in range(240)]
+    rows += [(900 + i, "a", None) for i in range(4)]
+    rnd.shuffle(rows)
+    every, latest, _ = run_revised(spark, [rows[:80], rows[80:160], rows[160:]], tmp_path, "30 days")
+    logs = spark.createDataFrame(rows, "access_id long, user_id string, timestamp timestamp")
+    want = trailing_count(logs, logs.select("user_id", "timestamp"), "user_id", "timestamp", "access_id", "n")
+    order = ["access_id", "user_id", "timestamp", "n"]
+    assert latest.count() == 244 and latest.select(order).exceptAll(want.select(order)).count() == 0
+    assert every.count() > 244
+
+
+def test_state_falls_after_the_hour(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    batches = [[(10 * k + i, "u", start + dt.timedelta(hours=3 * k, minutes=i)) for i in range(5)] for k in range(4)]
+    batches.append([(99, "u", start)])  # later than the delay: dropped
+    _, latest, run = run_revised(spark, batches, tmp_path, "10 minutes")
+    assert sorted((r.access_id, r.n) for r in latest.collect()) == [(10 * k + i, i + 1) for k in range(4) for i in range(5)]
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in (json.loads(x.json) for x in run.recentProgress) if p["stateOperators"]]
+    assert max(held) <= 3 * min(h for h in held if h)
 
 
 def test_open_windows_after_several_batches(spark, parts, tmp_path):

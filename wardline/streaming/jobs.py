@@ -9,6 +9,7 @@ from wardline.functions.numeric import round_to
 from wardline.functions.text import content_hash, time_cell
 from wardline.operators.attribution import BACKGROUND, background_rows, explain, top_features
 from wardline.operators.forest import Forest
+from wardline.operators.joins import require_unique
 from wardline.operators.triage import TTL_SECONDS
 from wardline.operators.windows import trailing_count
 from wardline.plans.enrich import (
@@ -18,6 +19,7 @@ from wardline.plans.train import Trained
 from wardline.schemas import FEATURES, IDS
 from wardline.session import materialize
 from wardline.sources.readers import feature_matrix
+from wardline.streaming.trailing import trailing_stream, versions
 
 
 def stateless_features(stream: DataFrame, profiles: DataFrame, reference_date: str) -> DataFrame:
@@ -41,8 +43,9 @@ def score_stream(
     wrote, for its users and the time it covers, and only from the days it touches, so neither state nor file listings grow with
     the age of the stream. A batch that is run again replaces its own partitions, which makes the
     sink exactly-once. An event that arrives late counts the events known by then; events already
-    written are not revised.
+    written are not revised; ``score_stream_revised`` does that. Profiles must have one row per user.
     """
+    require_unique(profiles, ["user_id"], "profiles")
     features = stateless_features(stream, profiles, reference_date)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -74,6 +77,32 @@ def score_stream(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def score_stream_revised(
+    stream: DataFrame,
+    profiles: DataFrame,
+    reference_date: str,
+    out: str,
+    checkpoint: str,
+    model: Forest | None = None,
+    delay: str = "1 day",
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Enrich (and score) micro-batches into versions; an event that arrives late revises those it changes.
+
+    The trailing count is exact state (``trailing.trailing_stream``), so events may come in any order within
+    ``delay``. ``trailing.current`` reads the latest version of each event.
+    """
+    require_unique(profiles, ["user_id"], "profiles")
+    features = stateless_features(stream, profiles, reference_date)
+    counted = trailing_stream(features, "user_id", "timestamp", "access_id", VELOCITY, delay, VELOCITY_SECONDS)
+
+    def whole(batch: DataFrame) -> DataFrame:
+        done = finish(batch)
+        return done if model is None else model.score(done)
+
+    return versions(counted, "timestamp", out, checkpoint, available_now, whole)
+
+
 def _days_touched(batch: DataFrame) -> list[str]:
     """Days of the batch's events and of the hour before them."""
     start = F.col("timestamp") - F.make_interval(secs=F.lit(VELOCITY_SECONDS))
@@ -195,11 +224,19 @@ def whole_sessions(
 
 
 def run_to_watermark(stream: DataFrame, out: str, checkpoint: str) -> tuple[DataFrame, Column]:
-    """The table of a stream that has run to its end, and the watermark up to which it is closed."""
-    query = _run(stream, out, checkpoint)
-    marks = [m for p in query.recentProgress if (m := p.eventTime.get("watermark"))]
-    mark = F.to_timestamp(F.lit(max(marks, default="1970-01-01T00:00:00.000Z")))
-    return stream.sparkSession.read.schema(stream.schema).parquet(out), mark
+    """The table of a stream that has run to its end, and the watermark up to which it is closed.
+
+    The mark is that of the batches which the checkpoint has as committed, so a run without new data finds the
+    same one as the run before it.
+    """
+    _run(stream, out, checkpoint)
+    spark = stream.sparkSession
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"/(\d+)$", 1)
+    planned = spark.read.text(f"{checkpoint}/offsets").select(number.alias("batch"), "value")
+    done = spark.read.text(f"{checkpoint}/commits").select(number.alias("batch")).distinct()
+    marks = planned.join(done, "batch").select(F.get_json_object("value", "$.batchWatermarkMs").cast("long").alias("ms"))
+    mark = F.timestamp_millis(F.lit(marks.agg(F.max("ms")).first()[0] or 0).cast("long"))
+    return spark.read.schema(stream.schema).parquet(out), mark
 
 
 def run_to_table(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
