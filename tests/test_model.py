@@ -42,17 +42,28 @@ def test_scaler_uses_population_deviation(table):
 
 def test_samples_do_not_depend_on_partitioning(table):
     def drawn(df):
-        out = fo.tree_samples(df.select("access_id"), "access_id", 3030, 10, 256, 42)
+        out = fo.tree_samples(df.select("access_id"), "access_id", 10, 256, 42)
         return sorted((r["tree"], r["access_id"]) for r in out.collect())
 
     one, seven = drawn(table.coalesce(1)), drawn(table.repartition(7))
     assert one == seven and len(one) == 10 * 256
 
 
-def test_pool_path_draws_full_samples(spark, monkeypatch):
-    monkeypatch.setattr(fo, "POOL_ROWS", 2000)
-    out = fo.tree_samples(spark.range(20_000).toDF("access_id"), "access_id", 20_000, 20, 64, 1)
-    assert {r["n"] for r in out.groupBy("tree").agg(F.count("*").alias("n")).collect()} == {64}
+def test_samples_are_the_lowest_of_all_rows(spark):
+    """At every size, under any partitioning, and with ids of any type."""
+    for n, parts in ((20_000, 9), (300_000, 5), (40, 3)):
+        out = fo.tree_samples(spark.range(n).toDF("access_id").repartition(parts), "access_id", 20, 64, 1)
+        got = {}
+        for r in out.collect():
+            got.setdefault(r["tree"], set()).add(r["access_id"])
+        for t in range(20):
+            shift = np.array([t + 1 + (1 << 20)], np.uint64) * fo.GOLDEN
+            picks = fo.tree_picks(np.arange(n, dtype=np.uint64), shift[0])
+            assert got[t] == set(np.argsort(picks, kind="stable")[:64].tolist())
+    names = spark.range(500).selectExpr("concat('e', id) AS access_id", "id AS pick_me")
+    out = fo.tree_samples(names, "access_id", 3, 64, 1)
+    assert {r["n"] for r in out.groupBy("tree").agg(F.countDistinct("access_id").alias("n")).collect()} == {64}
+    assert fo.tree_samples(names.limit(0), "access_id", 3, 64, 1).collect() == []
 
 
 def test_forest_does_not_depend_on_partitioning(table, model):

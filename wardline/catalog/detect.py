@@ -13,7 +13,7 @@ from wardline.plans import alerts as alert_plan, train as train_plan
 from wardline.schemas import FEATURES
 from wardline.session import fresh_path
 from wardline.sources import model_store, sample_views as views, writers
-from wardline.streaming import ingest, jobs
+from wardline.streaming import ingest, jobs, trailing
 
 col = F.col
 
@@ -36,16 +36,27 @@ SELECT CAST(t AS INTEGER) AS tree, least(256, (SELECT count(*) FROM events)) AS
   least(256, (SELECT count(DISTINCT event_id) FROM events)) AS distinct_rows FROM (SELECT unnest(range(200)) AS t)""", prelude=False)
 def tree_samples(q: Inputs):
     """Rows drawn per tree, checked against the subsample size."""
-    total = q.trained.model.scaler[0]["n"]
-    size = min(forest.SUBSAMPLE, total)
-    drawn = forest.tree_samples(
-        q.trained.enriched.select("access_id"), "access_id", total, forest.TREES, size, forest.SEED
-    )
-    return drawn.groupBy("tree").agg(
+    return _drawn(q).groupBy("tree").agg(
         F.count("*").alias("rows"), F.countDistinct("access_id").alias("distinct_rows")
     )
 
 
+def _drawn(q: Inputs):
+    return forest.tree_samples(q.logs.select("access_id"), "access_id", forest.TREES, forest.SUBSAMPLE, forest.SEED)
+
+
+@query("m2_sampled_ids", f"""
+WITH t AS (SELECT t, (({forest.SEED << 20} + t + 1)::UHUGEINT * {forest.GOLDEN}) % 18446744073709551616 AS shift FROM (SELECT unnest(range({forest.TREES})) AS t)),
+a AS (SELECT t, event_id, ((event_id::UHUGEINT + shift) % 18446744073709551616)::UBIGINT AS x FROM events, t),
+b AS (SELECT t, event_id, ((xor(x, x >> 32)::UHUGEINT * {forest.MIX}) % 18446744073709551616)::UBIGINT AS x FROM a),
+c AS (SELECT t, event_id, ((xor(x, x >> 29)::UHUGEINT * {forest.MIX}) % 18446744073709551616)::UBIGINT AS x FROM b),
+d AS (SELECT t, event_id, row_number() OVER (PARTITION BY t ORDER BY xor(x, x >> 32) >> 1, event_id) AS k FROM c)
+SELECT t::INTEGER AS tree, event_id AS access_id FROM d WHERE k <= {forest.SUBSAMPLE}""", prelude=False)
+def sampled_ids(q: Inputs):
+    """The events each tree is grown on: the lowest picks of the whole table."""
+    return _drawn(q).select("tree", "access_id")
+
+
 @query("m3_scores")
 def scores(q: Inputs):
     return q.trained.scored().select("access_id", "anomaly_score", "prediction")
@@ -172,12 +183,26 @@ def stream_features(q: Inputs):
     return q.spark.read.option("basePath", out).parquet(out).select("access_id", *FEATURES)
 
 
+@query("r2_revised_features", f"SELECT access_id, {FEATURE_LIST} FROM fe")
+def revised_features(q: Inputs):
+    """The events in three micro-batches in no order of time: late ones revise those they change."""
+    out, checkpoint = _paths(q, "revised")
+    arriving = fresh_path(q.spark, "arriving")
+    for i in range(3):
+        q.logs.where(F.pmod(F.hash("access_id"), F.lit(3)) == i).coalesce(1).write.mode("append").parquet(arriving)
+    stream = ingest.log_files(q.spark, arriving, q.logs.schema, maxFilesPerTrigger=1)
+    run = jobs.score_stream_revised(
+        stream, q.profiles, views.REFERENCE_DATE, out, checkpoint, delay="36500 days", available_now=True
+    )
+    run.awaitTermination()
+    return trailing.current(q.spark, out, "access_id").select("access_id", *FEATURES)
+
+
 @query("r2_event_rates", """
 , w AS (SELECT time_bucket(INTERVAL 5 MINUTE, timestamp) - INTERVAL 5 MINUTE * i AS s, status FROM fx_logs, (SELECT unnest(range(12)) AS i))
-SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, status, count(*) AS n FROM w
-WHERE s + INTERVAL 1 HOUR <= (SELECT max(timestamp) - INTERVAL 1 HOUR FROM fx_logs) GROUP BY 1, 2""")
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, status, count(*) AS n FROM w GROUP BY 1, 2""")
 def stream_rates(q: Inputs):
-    """Sliding hourly rates: closed windows from the stream, open ones added. The SQL has the closed ones only."""
+    """Sliding hourly rates: closed windows from the stream, open ones added."""
     slim = _log_stream(q).select("timestamp", "status")
     out = jobs.whole_rates(slim, q.logs.select("timestamp", "status"), ["status"], *_paths(q, "rates"))
     return out.select(time_text("window_start"), "status", "n")
@@ -206,10 +231,9 @@ def stream_reuse(q: Inputs):
 , g AS (SELECT *, CASE WHEN lag(timestamp) OVER w IS NULL OR timestamp - lag(timestamp) OVER w >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS o
     FROM fx_logs WINDOW w AS (PARTITION BY user_id ORDER BY timestamp, access_id)),
 s AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY timestamp, access_id ROWS UNBOUNDED PRECEDING) AS sid FROM g)
-SELECT user_id, strftime(min(timestamp), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS events FROM s GROUP BY user_id, sid
-HAVING max(timestamp) + INTERVAL 30 MINUTE <= (SELECT max(timestamp) - INTERVAL 1 HOUR FROM fx_logs)""")
+SELECT user_id, strftime(min(timestamp), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS events FROM s GROUP BY user_id, sid""")
 def stream_sessions(q: Inputs):
-    """Sessions: closed ones from the stream, open ones added. The SQL has the closed ones only."""
+    """Sessions: closed ones from the stream, open ones added."""
     slim = _log_stream(q).select("user_id", "timestamp")
     out = jobs.whole_sessions(slim, q.logs.select("user_id", "timestamp"), *_paths(q, "sessions"))
     return out.select("user_id", time_text("session_start"), "events")

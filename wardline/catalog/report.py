@@ -245,6 +245,23 @@ def reuse(q: Inputs):
     return triage.one_per_content(hashed, "event_hash", "timestamp", ["access_id"])
 
 
+@query("t5_from_first_evaluation", """
+, h AS (SELECT access_id, timestamp, sha256('department=' || coalesce(department, '\\N') || '|query_type=' || coalesce(query_type, '\\N')) AS event_hash FROM fx_logs),
+s AS (WITH RECURSIVE r AS (
+    SELECT event_hash, min(timestamp) AS t FROM h GROUP BY 1
+    UNION ALL
+    SELECT r.event_hash, min(h.timestamp) FROM r JOIN h ON h.event_hash = r.event_hash AND h.timestamp >= r.t + INTERVAL 1 HOUR GROUP BY 1)
+  SELECT * FROM r),
+e AS (SELECT h.event_hash, access_id, timestamp, max(s.t) AS t FROM h JOIN s ON s.event_hash = h.event_hash AND s.t <= h.timestamp GROUP BY 1, 2, 3)
+SELECT event_hash, strftime(t, '%Y-%m-%d %H:%M:%S.%f') AS evaluated_at, min(access_id) FILTER (timestamp = t) AS access_id, count(*) AS copies
+FROM e GROUP BY event_hash, t""")
+def reuse_from_first(q: Inputs):
+    """A result serves an hour from the event it was made for; busy contents chain without a pause."""
+    hashed = q.logs.withColumn("event_hash", text.content_hash(["department", "query_type"]))
+    out = triage.from_first_evaluation(hashed, "event_hash", "timestamp", "access_id")
+    return out.withColumn("evaluated_at", F.date_format("evaluated_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
 # --- evaluation --------------------------------------------------------------------------
 
 CONFUSION = """
@@ -449,6 +466,32 @@ def seasonal_rate(q: Inputs):
     return baselines.seasonal_rate(q.logs).withColumn("day", day_text())
 
 
+@query("d8_seasonal_left_out", """
+, d AS (SELECT user_id, CAST(timestamp AS DATE) AS day, count(*) AS n FROM fx_logs GROUP BY 1, 2),
+s AS (SELECT *, CASE WHEN last_day(day) - day < 3 AND month(day) % 3 = 0 THEN 'quarter_end' WHEN last_day(day) - day < 3 THEN 'month_end'
+    ELSE 'ordinary' END AS phase FROM d),
+x AS (SELECT a.user_id, a.day, a.phase, a.n, avg(b.n) FILTER (isodow(b.day) = isodow(a.day)) AS u1, avg(b.n) AS u2
+    FROM s a LEFT JOIN s b ON a.user_id = b.user_id AND a.phase = b.phase AND a.day <> b.day GROUP BY 1, 2, 3, 4),
+w AS (SELECT *, coalesce(u1, u2) AS u FROM x)
+SELECT user_id, strftime(day, '%Y-%m-%d') AS day, phase, n, round_even(u, 4) AS expected, round_even(n / u, 4) AS rate FROM w""")
+def seasonal_left_out(q: Inputs):
+    return baselines.seasonal_rate_left_out(q.logs).withColumn("day", day_text())
+
+
+@query("d9_rolling_board", """
+, l AS (SELECT user_id, timestamp, severity FROM fx_labels WHERE is_anomaly),
+g AS (SELECT unnest(generate_series(date_trunc('hour', min(timestamp)) + INTERVAL 1 HOUR, date_trunc('hour', max(timestamp)) + INTERVAL 72 HOUR,
+    INTERVAL 1 HOUR)) AS as_of FROM l),
+b AS (SELECT as_of, user_id, count(*) AS alerts, count(CASE WHEN severity = 'CRITICAL' THEN 1 END) AS critical
+    FROM g JOIN l ON timestamp < as_of AND timestamp >= as_of - INTERVAL 72 HOUR GROUP BY 1, 2)
+SELECT strftime(as_of, '%Y-%m-%d %H:%M:%S') AS as_of, user_id, alerts, critical, place FROM (
+  SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY alerts DESC, critical DESC, user_id) AS place FROM b) WHERE place <= 10""")
+def rolling_board(q: Inputs):
+    return baselines.riskiest_users_hourly(q.typed).withColumns(
+        {"as_of": F.date_format("as_of", "yyyy-MM-dd HH:mm:ss"), "place": col("place").cast("long")}
+    )
+
+
 @query("d9_riskiest_users", """
 , d AS (SELECT user_id, CAST(timestamp AS DATE) AS day, count(*) AS n, count(CASE WHEN severity = 'CRITICAL' THEN 1 END) AS c
     FROM fx_labels WHERE is_anomaly GROUP BY 1, 2),
@@ -547,6 +590,18 @@ def action_sequences(q: Inputs):
     return baselines.action_sequences(q.logs)
 
 
+@query("d16_action_shifts", """
+, g AS (SELECT user_id, timestamp, lag(query_type) OVER (PARTITION BY user_id ORDER BY timestamp, access_id) AS a, query_type AS b FROM fx_logs),
+s AS (SELECT user_id, concat_ws('>', a, b) AS step, timestamp > (SELECT max(timestamp) FROM g WHERE a IS NOT NULL) - INTERVAL 7 DAY AS now
+    FROM g WHERE a IS NOT NULL),
+c AS (SELECT user_id, step, count(*) FILTER (now) AS n, count(*) FILTER (NOT now) AS m FROM s GROUP BY 1, 2),
+p AS (SELECT *, sum(n) OVER (PARTITION BY user_id) AS tn, sum(m) OVER (PARTITION BY user_id) AS tm FROM c)
+SELECT user_id, CAST(max(tn) AS BIGINT) AS recent_steps, CAST(max(tm) AS BIGINT) AS earlier_steps,
+  round_even(sum(abs(n::DOUBLE / tn - m::DOUBLE / tm)) / 2, 4) AS shift FROM p WHERE tn > 0 AND tm > 0 GROUP BY 1""")
+def action_shifts(q: Inputs):
+    return baselines.action_shifts(q.logs)
+
+
 @query("d17_watch_list", """
 , m AS (SELECT DISTINCT user_id, decided_at FROM decisions WHERE decision = 'Monitor')
 SELECT l.access_id, l.user_id, strftime(max(decided_at), '%Y-%m-%d %H:%M:%S') AS watched_since FROM fx_logs l

@@ -149,6 +149,26 @@ def seasonal_rate(logs: DataFrame) -> DataFrame:
     )
 
 
+def seasonal_rate_left_out(logs: DataFrame) -> DataFrame:
+    """Daily events against the user's other days of the same phase and weekday.
+
+    The judged day is no part of its own expectation. Without another such day the other days of the phase
+    count, without any the expectation and the rate are null.
+    """
+    daily = daily_counts(logs).withColumns({"phase": calendar_phase(F.col("day")), "weekday": F.weekday("day")})
+
+    def others(*keys: str) -> Column:
+        same = Window.partitionBy("user_id", *keys)
+        return (F.sum("n").over(same) - F.col("n")) / F.nullif(F.count("*").over(same) - 1, F.lit(0))
+
+    rated = daily.withColumn("usual", F.coalesce(others("phase", "weekday"), others("phase")))
+    return rated.select(
+        "user_id", "day", "phase", "n",
+        round_to("usual", 4).alias("expected"),
+        round_to(F.col("n") / F.col("usual"), 4).alias("rate"),
+    )
+
+
 def riskiest_users(labelled: DataFrame, top: int = 10, days: int = 3) -> DataFrame:
     """Leaderboard per day: users with most anomalies in the ``days`` calendar days up to it."""
     daily = (
@@ -167,6 +187,32 @@ def riskiest_users(labelled: DataFrame, top: int = 10, days: int = 3) -> DataFra
     return board.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
 
 
+def riskiest_users_hourly(labelled: DataFrame, top: int = 10, hours: int = 72) -> DataFrame:
+    """Leaderboard at the end of each hour: users with most anomalies in the ``hours`` hours up to it.
+
+    Anomalies are counted per user and hour. An hour's counts arrive with it and leave ``hours`` later, so a running
+    sum over a user's hours gives the board from one change to the next; nothing is summed twice.
+    """
+    hour = F.date_trunc("hour", F.col("timestamp").cast("timestamp"))
+    hourly = labelled.where(F.col("is_anomaly")).groupBy("user_id", hour.alias("hour")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("severity") == "CRITICAL").alias("c")
+    )
+    later = F.col("hour") + F.make_interval(hours=F.lit(hours))
+    steps = hourly.where("hour IS NOT NULL").select("user_id", F.inline(F.array(
+        F.struct("hour", "n", "c"), F.struct(later.alias("hour"), (-F.col("n")).alias("n"), (-F.col("c")).alias("c"))
+    )))
+    order = Window.partitionBy("user_id").orderBy("hour")
+    sums = steps.groupBy("user_id", "hour").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).select(
+        "user_id", "hour", F.sum("n").over(order).alias("alerts"), F.sum("c").over(order).alias("critical"),
+        F.lead("hour").over(order).alias("until"),
+    )
+    one = F.make_interval(hours=F.lit(1))
+    board = sums.where("alerts > 0").withColumn("hour", F.explode(F.sequence(F.col("hour"), F.col("until") - one, one)))
+    best = Window.partitionBy("hour").orderBy(F.desc("alerts"), F.desc("critical"), "user_id")
+    placed = board.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top)
+    return placed.select((F.col("hour") + one).alias("as_of"), "user_id", "alerts", "critical", "place")
+
+
 def daily_report(labelled: DataFrame) -> DataFrame:
     anomalies = labelled.where(F.col("is_anomaly"))
     return anomalies.groupBy(_day().alias("day")).agg(
@@ -255,3 +301,26 @@ def action_sequences(logs: DataFrame) -> DataFrame:
         F.sum("n").alias("total"), F.count("*").alias("users")
     )
     return per_user.join(overall, "sequence").select("user_id", "sequence", "n", "total", "users")
+
+
+def action_shifts(logs: DataFrame, days: int = 7) -> DataFrame:
+    """How far each user's steps from one action to the next differ between the last ``days`` days and before.
+
+    Half the sum of absolute differences between the two shares of each step: 0 is no shift, 1 a wholly new
+    pattern. Only users with steps in both periods are compared.
+    """
+    slim = logs.select("access_id", "user_id", "timestamp", "query_type")
+    steps = previous_values(slim, "user_id", "timestamp", "access_id", "query_type", 1)
+    steps = materialize(steps.where("prev_1 IS NOT NULL AND timestamp IS NOT NULL"), "steps")
+    last = F.lit(steps.agg(F.max("timestamp")).first()[0]).cast("timestamp")
+    recent = F.col("timestamp") > last - F.make_interval(days=F.lit(days))
+    counts = steps.groupBy("user_id", F.concat_ws(">", "prev_1", "query_type").alias("step")).agg(
+        F.count_if(recent).alias("now"), F.count_if(~recent).alias("before")
+    )
+    user = Window.partitionBy("user_id")
+    shares = counts.withColumns({"all_now": F.sum("now").over(user), "all_before": F.sum("before").over(user)})
+    gap = F.abs(F.col("now") / F.col("all_now") - F.col("before") / F.col("all_before"))
+    both = shares.where("all_now > 0 AND all_before > 0")
+    return both.groupBy("user_id").agg(
+        F.first("all_now").alias("recent_steps"), F.first("all_before").alias("earlier_steps"), round_to(F.sum(gap) / 2, 4).alias("shift")
+    )

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from wardline.operators.quantiles import exact_quantile
@@ -24,8 +25,7 @@ SUBSAMPLE = 256
 CONTAMINATION = 0.43
 SEED = 42
 
-SLACK = 1.6  # a tree draws 256 rows out of about 410 candidates
-POOL_ROWS = 1 << 18  # far more than trees x subsample, so that trees share few rows
+GOLDEN, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)  # odd numbers that spread picks
 CHUNK = 10_000
 EULER_GAMMA = 0.5772156649015329
 
@@ -79,40 +79,74 @@ def standardise(df: DataFrame, scaler: list, features: list[str]) -> DataFrame:
 # --- sampling ----------------------------------------------------------------------------
 
 
-def _below(fraction: float) -> int:
-    """The signed 64-bit value below which this fraction of hashes lies."""
-    return min(int(-(2**63) + fraction * 2**64), 2**63 - 1)
-
-
 def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int = SEED) -> DataFrame:
     """``n`` rows chosen by hash of their id: the same under every partitioning."""
     return df.orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(n)
 
 
-def tree_samples(
-    df: DataFrame, id_col: str, total: int, trees: int, size: int, seed: int
-) -> DataFrame:
-    """Rows (tree, pick, ...): ``size`` rows per tree, the lowest hashes of (id, tree, seed).
-
-    Large tables are first cut to a uniform pool by one hash per row. Each tree then takes its
-    lowest hashes below a threshold that a known share of the pool passes, so only about
-    trees x size x 1.6 rows are shuffled.
+def _lowest(trees: int, size: int, seed: int):
+    """A task's ``size`` lowest picks of each tree, from batches of (id, key)."""
+    shift = (np.arange(1, trees + 1, dtype=np.uint64) + np.uint64(seed << 20)) * GOLDEN
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        picks: list[np.ndarray] = [np.zeros(0, np.int64)] * trees
+        ids: list[pa.Array | None] = [None] * trees
+        for batch in batches:
+            key = batch.column(1).to_numpy().view(np.uint64)
+            for t in range(trees if len(key) else 0):
+                pick = tree_picks(key, shift[t])
+                if len(picks[t]) >= size:
+                    near = np.flatnonzero(pick <= picks[t].max())
+                else:
+                    near = np.arange(len(pick))
+                if not len(near):
+                    continue
+                both = np.concatenate([picks[t], pick[near]])
+                names = batch.column(0).take(pa.array(near))
+                names = names if ids[t] is None else pa.concat_arrays([ids[t], names])
+                least = np.partition(both, size - 1)[size - 1] if len(both) > size else both.max()
+                kept = np.flatnonzero(both <= least)
+                picks[t], ids[t] = both[kept], names.take(pa.array(kept))
+                if len(kept) > size:  # equal picks; Spark orders them by id, each id counts once
+                    once = pa.table([picks[t], ids[t]], ["p", "id"]).group_by(["p", "id"]).aggregate([]).combine_chunks()
+                    picks[t], ids[t] = once["p"].to_numpy(), once["id"].combine_chunks()
+        for t in range(trees):
+            if ids[t] is not None:
+                n = len(picks[t])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(picks[t]), ids[t]], ["tree", "pick", "_id"])
+
+    return run
+
+
+def tree_picks(key: np.ndarray, shift: np.uint64) -> np.ndarray:
+    """The order in which a tree draws rows: a hash of the row's key, as a number below 2 ** 63."""
+    x = key + shift
+    x = (x ^ (x >> np.uint64(32))) * MIX
+    x = (x ^ (x >> np.uint64(29))) * MIX
+    return ((x ^ (x >> np.uint64(32))) >> np.uint64(1)).view(np.int64)
+
+
+def tree_samples(df: DataFrame, id_col: str, trees: int, size: int, seed: int) -> DataFrame:
+    """Rows (tree, pick, ...): for each tree the ``size`` rows of the whole table with the lowest picks.
+
+    Picks are taken from the ids alone, each task keeping the lowest ones of every tree, so a pass over one
+    column sends at most trees x size rows a task. They are merged in two steps, by tree and a sixteenth of the
+    tree's rows, then by tree. The rows themselves are fetched for at most trees x size ids. Whole numbers are
+    their own key, other ids are hashed. Ids should be unique; all rows of a repeated id are drawn with it.
     """
-    pool, pool_rows = df, total
-    if total > POOL_ROWS:
-        pool = df.where(F.xxhash64(id_col, F.lit(seed), F.lit(-1)) < _below(POOL_ROWS / total))
-        pool_rows = POOL_ROWS * 0.95  # the pool's own size varies a little
-    share = min(SLACK * size / pool_rows, 1.0)
-    draws = F.transform(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.struct(t.alias("tree"), F.xxhash64(F.col(id_col), t, F.lit(seed)).alias("pick")),
-    )
-    if share < 1.0:
-        limit = _below(share)
-        draws = F.filter(draws, lambda d: d["pick"] < F.lit(limit))
-    drawn = pool.select("*", F.inline(draws))
-    order = Window.partitionBy("tree").orderBy("pick", id_col)
-    return drawn.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= size)
+    whole = isinstance(df.schema[id_col].dataType, T.IntegralType)
+    key = F.col(id_col).cast("long") if whole else F.xxhash64(id_col)
+    kind = df.schema[id_col].dataType.simpleString()
+    narrow = df.select(F.col(id_col).alias("_id"), F.coalesce(key, F.lit(0).cast("long")).alias("_key"))
+    picks = narrow.mapInArrow(_lowest(trees, size, seed), f"tree int, pick long, _id {kind}").distinct()
+
+    def merged(rows: DataFrame, *keys) -> DataFrame:
+        order = Window.partitionBy("tree", *keys).orderBy("pick", "_id")
+        return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= size).drop("_rank")
+
+    drawn = materialize(merged(merged(picks, F.col("pick") % 16)), "picks")
+    same = df[id_col].eqNullSafe(drawn["_id"])
+    return df.join(F.broadcast(drawn), same).drop("_id")
 
 
 # --- fitting -----------------------------------------------------------------------------
@@ -273,7 +307,7 @@ def fit_forest(
     total = scaler[0]["n"]
     size = min(subsample, total)
     z = standardise(df.select(id_col, *features), scaler, features)
-    samples = tree_samples(z, id_col, total, trees, size, seed)
+    samples = tree_samples(z, id_col, trees, size, seed)
     nodes = fit_trees(samples, features, size, seed).toPandas()  # at most trees x (2 size - 1) rows
     model = Forest(spark, features, scaler, nodes, size, 0.0, seed)
     raw = materialize(df.withColumn("raw", model.raw_score()), "training_scores")

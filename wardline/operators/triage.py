@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline.functions.numeric import fixed, round_to
@@ -10,6 +13,8 @@ from wardline.functions import scoring
 from wardline.functions.text import time_cell
 from wardline.operators.attribution import top_features
 from wardline.operators.joins import with_context, with_labels
+from wardline.operators.windows import last_before, previous_values
+from wardline.session import materialize
 
 MIN_COMPUTED = 50
 TTL_SECONDS = 3600
@@ -141,3 +146,81 @@ def one_per_content(
     )
     return pick.select(hash_col, "ttl_cell", "_rep.*", "copies")
 
+
+
+LONG_RUN = 1_000_000  # distinct times of one content without a pause that a task goes through in order
+
+
+def evaluation_starts(times: DataFrame, key: str, ts: str, ttl_seconds: int = TTL_SECONDS, long_run: int = LONG_RUN) -> DataFrame:
+    """(key, ts) of the evaluations: the first time of a content, then each first one after the result has expired.
+
+    ``times`` has distinct (key, ts). After a pause of a time to live an evaluation begins in any case, so a content's
+    times fall into independent runs. A run is gone through in order, holding one time; one of more than ``long_run``
+    times is resolved by pointers instead: each time points to the first one after its expiry, and those reached from
+    the run's start are found by doubling the pointers, so no task has the run.
+    """
+    ttl = F.make_interval(secs=F.lit(ttl_seconds))
+    slim = times.select(key, F.col(ts).cast("timestamp").alias("at")).where("at IS NOT NULL")
+    seen = previous_values(slim.withColumn("was", F.col("at")), key, "at", "was", "was", 1)
+    heads = materialize(seen.where(F.col("prev_1").isNull() | (F.col("at") >= F.col("prev_1") + ttl)).select(key, "at"), "heads")
+    runs = materialize(last_before(slim, heads, key, "at", "head"), "runs")
+    sizes = runs.groupBy(key, "head").agg(F.count("*").alias("n"))
+    long = materialize(sizes.where(F.col("n") > long_run).select(key, "head"), "long_runs")
+    if long.isEmpty():
+        return _greedy(runs, key, ttl_seconds)
+    same = ["head", key]
+    short = _greedy(runs.join(long, same, "left_anti"), key, ttl_seconds)
+    return short.unionByName(_reached(runs.join(long, same, "left_semi"), key, ttl))
+
+
+def _greedy(runs: DataFrame, key: str, ttl_seconds: int) -> DataFrame:
+    """Starts within runs (key, at, head), each run in order."""
+    ttl = ttl_seconds * 1_000_000
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, until = None, 0
+        for batch in batches:
+            kept = []
+            heads = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())
+            for i, (here, at) in enumerate(zip(heads, batch.column(3).to_pylist())):
+                if here != run or at >= until:
+                    run, until = here, at + ttl
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    dealt = runs.select(key, "at", "head", F.unix_micros("at").alias("micros")).repartition(key, "head")
+    ordered = dealt.sortWithinPartitions(key, "head", "at")
+    return ordered.mapInArrow(pick, ordered.schema).select(key, "at")
+
+
+def _reached(runs: DataFrame, key: str, ttl: Column) -> DataFrame:
+    """Starts within runs, by doubling the pointers from each time to the first one after its expiry."""
+    mirrored = lambda c: F.timestamp_micros(-F.unix_micros(c))  # noqa: E731  # the first after is the last before
+    nodes = materialize(runs.select(key, "at", "head"), "nodes")
+    marks = nodes.select(key, mirrored(F.col("at")).alias("expires"))
+    asked = nodes.withColumn("expires", mirrored(F.col("at") + ttl))
+    found = last_before(asked, marks, key, "expires", "follows")
+    jumps = found.select(key, "at", mirrored(F.col("follows")).alias("to")).where("to IS NOT NULL")
+    # a pointer out of its run leads to the next run's start, which is reached anyway
+    jumps = materialize(jumps, "jumps")
+    reached = materialize(nodes.where(F.col("at") == F.col("head")).select(key, "at"), "reached")
+    while not jumps.isEmpty():
+        more = reached.join(jumps, [key, "at"]).select(key, F.col("to").alias("at"))
+        reached = materialize(reached.unionByName(more).distinct(), "reached")
+        onward = jumps.select(key, F.col("at").alias("to"), F.col("to").alias("beyond"))
+        jumps = materialize(jumps.join(onward, [key, "to"]).select(key, "at", F.col("beyond").alias("to")), "jumps")
+    return reached
+
+
+def from_first_evaluation(df: DataFrame, hash_col: str, ts: str, order: str, ttl_seconds: int = TTL_SECONDS, long_run: int = LONG_RUN) -> DataFrame:
+    """A row for each evaluation: content, its time, the event evaluated, and how many events its result serves.
+
+    A result serves the content's events less than ``ttl_seconds`` after the event it was made for, and the next
+    one is evaluated anew. Events without a time are not looked at.
+    """
+    at = F.col(ts).cast("timestamp")
+    moments = df.where(at.isNotNull()).groupBy(hash_col, at.alias("at")).agg(F.min(order).alias(order), F.count("*").alias("copies"))
+    moments = materialize(moments, "moments")
+    starts = materialize(evaluation_starts(moments, hash_col, "at", ttl_seconds, long_run), "starts")
+    served = last_before(moments, starts, hash_col, "at", "evaluated_at")
+    return served.groupBy(hash_col, "evaluated_at").agg(F.min_by(order, "at").alias(order), F.sum("copies").alias("copies"))
