@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 _TAG = re.compile(
-    r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))",
+    r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))",
     re.S,
 )
 _NAMED = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -42,9 +42,10 @@ INLINE = frozenset(
 )
 #: elements that are never part of the article
 OUTSIDE = RAW | frozenset(
-    "head nav header footer aside form button select option input svg canvas object audio video template menu "
-    "dialog fieldset map applet".split()
+    "head nav header footer aside button select option input svg canvas object audio video menu map applet".split()
 )
+#: elements that are none unless they hold the article, as a form around the whole page does
+HOLDERS = frozenset("form fieldset dialog template".split())
 #: words of a class, id or role that say the same
 OUTSIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner "
@@ -53,6 +54,12 @@ OUTSIDE_NAMES = frozenset(
     "social share sharing related recommended recommendations comment comments commentlist respond disqus "
     "widget toolbar pagination pager search contentinfo complementary copyright dialog form".split()
 )
+#: pieces that may follow such a word, or come before it, and say only where or how it stands
+LAYOUT = frozenset(
+    "list area container wrapper wrap box bar left right top bottom links section block inner outer content item "
+    "items body main group panel unit slot posts stories articles thread children entry row col column".split()
+)
+PLACES = frozenset("site page post entry global wp blog".split())
 WHOLE = frozenset("html body article main".split())  # their own names never exclude them
 #: an opening tag ends these open elements, up to the nearest of the others
 ENDS = {
@@ -79,13 +86,23 @@ class Node:
 
 
 def _outside(tag: str, attributes: str) -> bool:
-    """Do class, id or role say that it is no part of the article? The last piece of each name tells."""
+    """Do class, id or role say that it is no part of the article?
+
+    A name does if its last piece is such a word, or if it begins with one and only places follow: ``comment-list``
+    and ``sidebar-left`` do, ``related-work`` does not.
+    """
     if not attributes or tag in WHOLE:
         return False
     for m in _NAMED.finditer(attributes):
         for name in (m[2] or m[3] or m[4] or "").split():
             pieces = _PIECES.findall(_CAMEL.sub("-", name).lower())
-            if pieces and pieces[-1] in OUTSIDE_NAMES and pieces[0] not in ABOUT:
+            if not pieces or pieces[0] in ABOUT:
+                continue
+            if pieces[-1] in OUTSIDE_NAMES:
+                return True
+            while len(pieces) > 1 and pieces[0] in PLACES:
+                del pieces[0]
+            if pieces[0] in OUTSIDE_NAMES and all(x in OUTSIDE_NAMES or x in LAYOUT for x in pieces):
                 return True
     return False
 
@@ -131,16 +148,19 @@ def tree(page: str) -> Node:
 
 
 def judge(root: Node, by_name: bool) -> None:
-    """Marks what is left out: ``OUTSIDE`` elements and, with ``by_name``, what is named so.
+    """Marks what is left out: ``OUTSIDE`` elements, ``HOLDERS`` and, with ``by_name``, what is named so.
 
     Never a node with the largest article or main element of the page in it, nor, on a page without such an element
-    elsewhere, one with more than half of the text outside links.
+    elsewhere, one with more than half of the text outside links. A form needs a paragraph for that, too.
     """
     nodes, i = [root], 0
     while i < len(nodes):
         nodes += [c for c in nodes[i].parts if type(c) is Node and not c.never]
         i += 1
+    prose: set[int] = set()
     for n in reversed(nodes):
+        if n.up is not None and (n.tag == "p" or id(n) in prose):
+            prose.add(id(n.up))
         n.plain = 0 if n.tag == "a" else sum(len(p.strip()) if type(p) is str else 0 if p.never else p.plain for p in n.parts)
     wholes = [n for n in nodes if n.tag in ("article", "main") and n.plain]
     n = max(wholes, key=lambda n: n.plain, default=None)
@@ -150,7 +170,9 @@ def judge(root: Node, by_name: bool) -> None:
         n = n.up
     for n in nodes[1:]:
         most = not wholes and 2 * n.plain > root.plain
-        n.out = n.up.out or (by_name and n.named and id(n) not in held and not most)
+        holder = n.tag in HOLDERS
+        said = holder or (by_name and n.named)
+        n.out = n.up.out or (said and id(n) not in held and not (most and (not holder or id(n) in prose)))
 
 
 def _order(root: Node) -> list[Node]:
