@@ -20,7 +20,6 @@ import json
 import mmap
 import re
 import struct
-import sys
 import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -29,6 +28,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from wardline.llm.common import tables, tidy
+
 LEXICON_WORDS = 1 << 17  # most frequent words that are compiled
 MEMO = 400_000  # distinct pieces after a space, and as many others, a Python worker remembers at once
 SHORT = 32  # bytes of words whose pairs are simply searched for each merge
@@ -279,6 +280,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"]
         )
 
+    tidy()
     heads, rest = Counter(), Counter()
     for batch in batches:
         for text in batch.column(0):
@@ -314,11 +316,8 @@ def vocabulary_of(path: str | None) -> bytes:
 
 def codec_of(vocabulary: bytes, lexicon: bytes | None) -> Codec:
     """The codec of these tables; a Python worker keeps the one made last from task to task."""
-    last = sys.__dict__.setdefault("_wardline_codec", [])  # this module's own names come anew with each task
     name = hashlib.sha256(vocabulary + (lexicon or b"")).digest()
-    if not last or last[0] != name:
-        last[:] = [name, Codec(vocabulary, lexicon)]
-    return last[1]
+    return tables(name, lambda: Codec(vocabulary, lexicon))
 
 
 def _with_codec(docs: DataFrame, path: str | None, fields: str, names: list[str], row) -> DataFrame:

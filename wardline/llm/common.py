@@ -6,7 +6,10 @@ from 0x80 up, with A-Z lower-cased. Nulls count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
+import sys
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -29,6 +32,31 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def tables(name: bytes, make):
+    """The tables ``name`` of a Python worker, made once and kept from task to task until others are asked for."""
+    kept = sys.__dict__.setdefault("_wardline_tables", [])  # a module's own names come anew with each task
+    if not kept or kept[0] != name:
+        tidy()
+        kept[:] = [name, make()]
+    return kept[1]
+
+
+def tidy() -> None:
+    """Gives back what earlier tasks of other operators left in this Python worker: tables, and pages not in use.
+
+    Workers go from one operator to the next; without this they hold the most that each of them ever needed.
+    """
+    kept = sys.__dict__.setdefault("_wardline_tables", [])
+    if kept:
+        kept.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 class Texts(NamedTuple):
     """Rows ``lo`` to ``hi`` of a batch: their bytes end to end, row ``i`` being data[off[i]:off[i+1]]."""
 

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wardline.llm.common import Words, free, hashed_words, odd_numbers, mix, slices
+from wardline.llm.common import Words, free, hashed_words, odd_numbers, mix, slices, tidy
 
 WINDOW, AGREE = 13, 11  # words, and how many of them must be equal
 MASKS = ("110011101", "11010100011")
@@ -75,6 +75,7 @@ def item_seeds(items: DataFrame) -> DataFrame:
     """item_id, n_words, seed and surrounding words of every seed of a benchmark table (item_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for t in slices(batch.column(1)):
                 w = hashed_words(t)

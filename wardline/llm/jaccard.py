@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wardline.llm.common import Texts, forest, free, hashed_words, mix, odd_numbers, slices, whole_groups, windows_of
+from wardline.llm.common import Texts, forest, free, hashed_words, mix, odd_numbers, slices, tidy, whole_groups, windows_of
 from wardline.llm.components import components
 from wardline.session import materialize
 
@@ -91,6 +91,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tidy()
     for batch in batches:
         for t in slices(batch.column(2)):
             sets = shingles(t)
@@ -147,6 +148,7 @@ def _sides(mine: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tidy()
     for rows, bounds in whole_groups(batches):
         node, mine = rows.column("node").to_numpy(), rows.column("mine").to_numpy()
         cross = rows.column("cross").to_numpy(zero_copy_only=False)
@@ -195,6 +197,7 @@ def overlap_counts(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tidy()
     for rows, bounds in whole_groups(batches):
         node, mine = rows.column("node").to_numpy(), rows.column("mine").to_numpy()
         copies = rows.column("copies").to_numpy()
@@ -228,6 +231,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tidy()
     for batch in batches:
         at = batch.schema.get_field_index("text")
         names = [n if n != "text" else "shingles" for n in batch.schema.names]

@@ -21,13 +21,14 @@ rows give repeated results; other columns are dropped; an empty table gives no r
 from __future__ import annotations
 
 import hashlib
-import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from wardline.llm.common import tables
+
 SLICE_CHARS = 4 << 20  # characters handled at once; a longer text makes a slice of its own
 FEW = 64  # strings; fewer go on one by one
 REMEMBERED = 1 << 20  # steps and pairs remembered for those
@@ -351,11 +352,7 @@ class Pieces:
 
 def pieces_of(model: bytes) -> Pieces:
     """The tables of a model; a Python worker keeps those made last from task to task."""
-    last = sys.__dict__.setdefault("_wardline_pieces", [])  # this module's own names come anew with each task
-    name = hashlib.sha256(model).digest()
-    if not last or last[0] != name:
-        last[:] = [name, Pieces(model)]
-    return last[1]
+    return tables(hashlib.sha256(model).digest(), lambda: Pieces(model))
 
 
 def model_of(path: str | None) -> bytes:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wardline.llm.common import Texts, free, hashed_words, mix, slices
+from wardline.llm.common import Texts, free, hashed_words, mix, slices, tidy
 
 TRAIN_ROWS = 10_000  # labelled rows that the model is fitted on, by hash of the id
 TRAIN_LINES = 200  # texts with more lines are left out of the fit (not of the scores)
@@ -297,6 +297,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     rows = docs.select(*keep, F.col("text").alias(free("_text", keep)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for t in slices(batch.column(len(keep))):
                 quality = model.qualities(lines_of(t))

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wardline.llm.common import Texts, free, mix, odd_numbers, slices, whole_groups
+from wardline.llm.common import Texts, free, mix, odd_numbers, slices, tidy, whole_groups
 from wardline.llm.suffix_sort import suffix_order
 from wardline.session import materialize
 
@@ -135,6 +135,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def _anchor_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tidy()
     for batch in batches:
         for t in slices(batch.column(0)):
             h = anchors(t, contexts=False)[2]
@@ -142,6 +143,7 @@ def _anchor_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tidy()
     for batch in batches:
         for t in slices(batch.column(1)):
             row, at, h, c = anchors(t)
@@ -152,6 +154,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _bytes_around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the contexts that a text is asked for."""
+    tidy()
     names = ["g", "c", "first", "last", "before", "around"]
     for batch in batches:
         asked = batch.column(1).to_pylist()
@@ -240,6 +243,7 @@ def _runs(flags: np.ndarray) -> list[dict[str, int]]:
 
 
 def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tidy()
     for rows, bounds in whole_groups(batches):
         lo = 0
         while lo < len(bounds) - 1:  # whole buckets, a few thousand contexts at a time
@@ -271,6 +275,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     ``r`` names all the bytes of the part's windows.
     """
+    tidy()
     names = ["h", "g", "c", "first", "last", "before", "around", "r"]
     for batch in batches:
         out: list[list] = [[] for _ in names]
@@ -360,6 +365,7 @@ def cut(data: bytes, ranges: list[dict] | None) -> tuple[bytes, int]:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tidy()
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     for batch in batches:
         out: list[list] = [[], [], [], []]
