@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline.llm.common import Texts, free, mix, odd_numbers, slices, tidy, whole_groups
 from wardline.llm.suffix_sort import suffix_order
@@ -326,6 +326,18 @@ def _sort_buckets(contexts: DataFrame) -> DataFrame:
     return out
 
 
+def _union(ranges: Column) -> Column:
+    """Sorted ranges with those that overlap or touch made one."""
+
+    def add(done: Column, r: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], r["hi"]).alias("hi"))
+        meets = (F.size(done) > 0) & (last["hi"] >= r["lo"])
+        return F.when(meets, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(r)))
+
+    return F.aggregate(ranges, F.array().cast(ROW), add)
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """_key and the sorted, disjoint byte ranges to remove, of the texts that have any."""
     texts = keyed(docs)
@@ -343,8 +355,9 @@ def spans(docs: DataFrame) -> DataFrame:
     around = materialize(around.withColumn("h", F.col("g")).dropDuplicates(["h", "c"]), "around")
     whole = F.array(F.struct(F.lit(-BEFORE).alias("lo"), F.lit(LENGTH).alias("hi"))).cast(ROW)
     covered = contexts.where("n > 1").select("h", "c", whole.alias("ranges")).unionByName(_sort_buckets(around))
-    covered = covered.select("h", "c", F.explode("ranges").alias("r"))
-    found = shared.join(covered, ["h", "c"]).select(
+    # one row a context, its ranges made disjoint, so that no holder is repeated
+    covered = covered.groupBy("h", "c").agg(_union(F.array_sort(F.flatten(F.collect_set("ranges")))).alias("ranges"))
+    found = shared.join(covered, ["h", "c"]).select("_key", "at", F.explode("ranges").alias("r")).select(
         "_key", F.greatest(F.lit(0), F.col("at") + F.col("r.lo")).alias("lo"), (F.col("at") + F.col("r.hi")).alias("hi")
     )
     return found.groupBy("_key").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
