@@ -42,7 +42,8 @@ LENGTH = 200  # bytes of a string that must not repeat
 GRAM = 40  # bytes of an anchor
 BEFORE = LENGTH - GRAM  # most bytes of a window before its anchor
 SPLIT = 8  # parts that the windows of a large bucket are divided into
-LARGE = 4096  # contexts of a bucket that are sorted together
+LARGE = 1 << 16  # contexts of a bucket that are sorted together, about 3 KB of a task's memory each
+PACKED = 2048  # contexts of small buckets that are sorted together
 BLOCK = 40  # bytes of a block
 STRETCH = 1 << 20  # bytes handled at once
 
@@ -190,14 +191,15 @@ def _matrix(parts: list[bytes], width: int) -> np.ndarray:
 def _sorted(bucket: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of equally long byte rows by bucket, and the common prefix of each with the one before it.
 
-    Rows are texts of bucket, block ranks and a separator; their suffixes at the row starts give the order.
+    Rows are texts of bucket and block ranks; the bucket's symbol, above all ranks, begins each text, and the order
+    of the suffixes at these symbols is that of the rows.
     """
     n, width = rows.shape
     blocks = np.ascontiguousarray(rows).view(f"S{BLOCK}")
     ranks = np.unique(blocks, return_inverse=True)[1].reshape(n, -1)
-    text = np.zeros((n, ranks.shape[1] + 2), np.int64)
-    text[:, 0] = bucket + int(ranks.max(initial=0)) + 2
-    text[:, 1:-1] = ranks + 1
+    text = np.empty((n, ranks.shape[1] + 1), np.int64)
+    text[:, 0] = bucket + int(ranks.max(initial=0)) + 1
+    text[:, 1:] = ranks
     order = np.array(suffix_order(text.ravel().tolist()))
     order = order[order % text.shape[1] == 0] // text.shape[1]
     equal = rows[order[1:]] == rows[order[:-1]]
@@ -209,27 +211,40 @@ def _sorted(bucket: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def repeated_windows(bucket: np.ndarray, before: np.ndarray, around: list[bytes], first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """[context, o]: does the window that begins o bytes before the anchor occur in another context of its bucket."""
     n = len(around)
-    right = _matrix([a[b:] for a, b in zip(around, before.tolist())], LENGTH)
-    left = _matrix([a[:b][::-1] for a, b in zip(around, before.tolist())], BEFORE)
+    out = np.zeros((n, BEFORE + 1), bool)
     size = np.array([len(a) for a in around]) - before
+    right = _matrix([a[b:] for a, b in zip(around, before.tolist())], LENGTH)
     by_right, common_right = _sorted(bucket, right)
-    by_left, common_left = _sorted(bucket, left)
-    out = np.zeros((n, BEFORE + 1), bool)
-    for o in range(BEFORE + 1):
-        has = np.flatnonzero((before >= o) & (size >= LENGTH - o) & (first <= o) & (o <= last))
+    begin = np.maximum(np.maximum(first, LENGTH - size), LENGTH - _reach(by_right, common_right))
+    end = np.minimum(last, before)
+    alive = np.flatnonzero(begin <= end)  # what shares too little after the anchor is not sorted again
+    if not len(alive):
+        return out
+    left = _matrix([around[i][: before[i]][::-1] for i in alive.tolist()], BEFORE)
+    by_left, common_left = _sorted(bucket[alive], left)
+    begin, end = begin[alive], np.minimum(end[alive], _reach(by_left, common_left))
+    a, b = np.empty(len(alive), np.int64), np.empty(n, np.int64)
+    for o in range(int(begin.min()), int(end.max()) + 1):
+        has = np.flatnonzero((begin <= o) & (o <= end))
         if len(has) < 2:
             continue
-        a, b = np.empty(n, np.int64), np.empty(n, np.int64)
         a[by_left] = np.cumsum(common_left < o)
         b[by_right] = np.cumsum(common_right < LENGTH - o)
-        same = a[has] * (n + 1) + b[has]
+        same = a[has] * (n + 1) + b[alive[has]]
         order = np.argsort(same, kind="stable")
         ordered = same[order]
         pair = ordered[1:] == ordered[:-1]
         twice = np.zeros(len(has), bool)
         twice[1:] |= pair
         twice[:-1] |= pair
-        out[has[order[twice]], o] = True
+        out[alive[has[order[twice]]], o] = True
+    return out
+
+
+def _reach(order: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The longest prefix that each row of an order shares with any other."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.maximum(common, np.append(common[1:], -1))
     return out
 
 
@@ -247,7 +262,7 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, bounds in whole_groups(batches):
         lo = 0
         while lo < len(bounds) - 1:  # whole buckets, a few thousand contexts at a time
-            hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + LARGE // 2, side="right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + PACKED, side="right")) - 1)
             part = rows.slice(int(bounds[lo]), int(bounds[hi] - bounds[lo]))
             sizes = np.diff(bounds[lo : hi + 1])
             lo = hi
