@@ -45,7 +45,7 @@ SPLIT = 8  # parts that the windows of a large bucket are divided into
 LARGE = 1 << 16  # contexts of a bucket that are sorted together, about 3 KB of a task's memory each
 PACKED = 2048  # contexts of small buckets that are sorted together
 BLOCK = 40  # bytes of a block
-STRETCH = 1 << 20  # bytes handled at once
+STRETCH = 1 << 16  # bytes handled at once, so that the work on them stays in a core's cache
 
 _BYTE = odd_numbers(41, 256)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
