@@ -248,13 +248,14 @@ def _reach(order: np.ndarray, common: np.ndarray) -> np.ndarray:
     return out
 
 
-def _runs(flags: np.ndarray) -> list[dict[str, int]]:
-    """Covered bytes, as ranges from the anchor, of the windows flagged for one context."""
+def _runs(flags: np.ndarray) -> pa.Array:
+    """Covered bytes, as ranges from the anchor, of the windows flagged for each context."""
     step = np.diff(flags.astype(np.int8), prepend=0, append=0)
-    return [
-        {"lo": -int(b - 1), "hi": LENGTH - int(a)}
-        for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1))
-    ]
+    row, begin = np.nonzero(step == 1)
+    end = np.nonzero(step == -1)[1]
+    ranges = [pa.array((1 - end).astype(np.int32)), pa.array((LENGTH - begin).astype(np.int32))]
+    offsets = np.searchsorted(row, np.arange(len(flags) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(ranges, ["lo", "hi"]))
 
 
 def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,8 +278,7 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hit = np.flatnonzero(flags.any(axis=1))
             made = part.take(pa.array(hit))
             columns = [made.column("h").combine_chunks(), made.column("c").combine_chunks()]
-            ranges = pa.array([_runs(flags[i]) for i in hit], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([*columns, ranges], ["h", "c", "ranges"])
+            yield pa.RecordBatch.from_arrays([*columns, _runs(flags[hit])], ["h", "c", "ranges"])
 
 
 def _name(x: int, y: int, z: int, data: bytes) -> int:
