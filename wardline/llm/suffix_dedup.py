@@ -91,8 +91,8 @@ def _stretch_anchors(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, n
     return at, grams[at]
 
 
-def anchors(t: Texts, contexts: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, position, hash and context hash (if asked for) of every anchor of a slice, a stretch of windows at a time."""
+def anchors(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, position, hash and context hash of every anchor of a slice, a stretch of windows at a time."""
     out: list[tuple] = []
     n = len(t.data)
     for lo in range(0, max(n - LENGTH + 1, 0), STRETCH):
@@ -105,7 +105,7 @@ def anchors(t: Texts, contexts: bool = True) -> tuple[np.ndarray, np.ndarray, np
         keep = (at >= lo) & (final | (at < lo + STRETCH))
         at, h = at[keep], h[keep]
         row = np.searchsorted(t.off, at, side="right") - 1
-        c = _context_hashes(t, row, at, max(0, lo - BEFORE), min(n, hi + LENGTH)) if contexts else h
+        c = _context_hashes(t, row, at, max(0, lo - BEFORE), min(n, hi + LENGTH))
         out.append((row, at - t.off[row], h, c))
     if not out:
         return EMPTY, EMPTY, EMPTY.astype(np.uint64), EMPTY.astype(np.uint64)
@@ -135,14 +135,6 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(F.isnull("doc_id"), "doc_id", text).alias("_key"), text.alias("text"))
 
 
-def _anchor_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tidy()
-    for batch in batches:
-        for t in slices(batch.column(0)):
-            h = anchors(t, contexts=False)[2]
-            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64))], ["h"])
-
-
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tidy()
     for batch in batches:
@@ -356,8 +348,8 @@ def _union(ranges: Column) -> Column:
 def spans(docs: DataFrame) -> DataFrame:
     """_key and the sorted, disjoint byte ranges to remove, of the texts that have any."""
     texts = keyed(docs)
-    every = texts.mapInArrow(_anchor_rows, "_key long, at long, h long, c long")
-    often = texts.select("text").mapInArrow(_anchor_hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    every = materialize(texts.mapInArrow(_anchor_rows, "_key long, at long, h long, c long"), "every")
+    often = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     shared = materialize(every.join(often, "h"), "anchors")
     holder = F.struct("_key", F.col("at").cast("int").alias("at"))
     contexts = shared.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(holder).alias("one"))
