@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from wardline.llm.common import tables, tidy
 
 LEXICON_WORDS = 1 << 17  # most frequent words that are compiled
-MEMO = 400_000  # distinct pieces after a space, and as many others, a Python worker remembers at once
+MEMO = 200_000  # distinct pieces after a space, and as many others, a Python worker remembers at once
 SHORT = 32  # bytes of words whose pairs are simply searched for each merge
 NEW, NEVER = (1 << 24) - 1, 1 << 62  # a merge is its rank and, in the low bits, the id it makes
 COUNTED = 200_000  # distinct pieces a task counts before it hands them on
