@@ -42,7 +42,7 @@ LENGTH = 200  # bytes of a string that must not repeat
 GRAM = 40  # bytes of an anchor
 BEFORE = LENGTH - GRAM  # most bytes of a window before its anchor
 SPLIT = 8  # parts that the windows of a large bucket are divided into
-LARGE = 1 << 16  # contexts of a bucket that are sorted together, at a KB or two of memory each
+LARGE = 1 << 16  # contexts of a bucket that are sorted together, about 4 KB of memory each with their bytes
 PACKED = 2048  # contexts of small buckets that are sorted together
 BLOCK = 40  # bytes of a block
 STRETCH = 1 << 16  # bytes handled at once, so that the work on them stays in a core's cache
