@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from wardline.llm.common import tables, tidy
+from wardline.llm.common import small_batches, tables, tidy
 
 LEXICON_WORDS = 1 << 17  # most frequent words that are compiled
 MEMO = 200_000  # distinct pieces after a space, and as many others, a Python worker remembers at once
@@ -298,7 +298,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> DataFrame:
     """The ``most`` most frequent words (a top-k) of all texts, ties by the word."""
-    counted = docs.select("text").mapInArrow(_count_words, "word string, n long").where("word <> ''")
+    counted = small_batches(docs).select("text").mapInArrow(_count_words, "word string, n long").where("word <> ''")
     return counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
 
 
@@ -335,7 +335,7 @@ def _with_codec(docs: DataFrame, path: str | None, fields: str, names: list[str]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {fields}")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {fields}")
 
 
 def _ids(codec: Codec, texts: list[str]) -> list[pa.Array]:
@@ -361,7 +361,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return small_batches(encoded).select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
 
 
 def _digests(codec: Codec, texts: list[str]) -> list[pa.Array]:

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 1 << 20  # text handled at once inside a task; one longer text makes a slice of its own
+BATCH_BYTES = 4 << 20  # rows sent to a Python worker at once; one longer row makes a batch of its own
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")  # on text whose A-Z are lower-cased
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -32,6 +33,18 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session now bounds batches for Python workers by bytes as well as by rows.
+
+    Ten thousand texts may be any number of bytes, held by the executor and by the worker at once. A bound that the
+    session's user has set stays.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not conf.get(key, None):
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def tables(name: bytes, make):
     """The tables ``name`` of a Python worker, made once and kept from task to task until others are asked for."""
     kept = sys.__dict__.setdefault("_wardline_tables", [])  # a module's own names come anew with each task
