@@ -9,28 +9,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wardline.llm import bpe, decontaminate, jaccard, quality_crf, suffix_dedup
-from wardline.llm.common import table
+from wardline.llm.common import small_batches, table
 from wardline.session import materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    return quality_crf.accepted(docs, table(spark, sf_dir, "labels"))
+    return quality_crf.accepted(small_batches(docs), table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
-    return jaccard.keep_first(docs)
+    return jaccard.keep_first(small_batches(docs))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the 200-byte strings that occur twice; n_chars follows the text."""
-    return suffix_dedup.without_repeats(docs)
+    return suffix_dedup.without_repeats(small_batches(docs))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap no benchmark item."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.clean(small_batches(docs), table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
