@@ -46,7 +46,8 @@ SPOILED = {"timestamp": "soon", "rowcount": "many", "is_vpn": "maybe", "session_
                  f" WHERE right(CAST(access_id AS VARCHAR), 1) = '{d}' HAVING count(*) > 0" for d, c in enumerate(SPOILED)))
 def rejected_cells(q: Inputs):
     """The logs as CSV with half of the rows spoiled in one cell, read back with every cell checked."""
-    plain = q.logs.select(*[col(f.name).cast("string").alias(f.name) for f in schemas.LOGS])
+    plain = q.logs.withColumn("timestamp", time_text("timestamp"))
+    plain = plain.select(*[col(f.name).cast("string").alias(f.name) for f in schemas.LOGS])
     spoiled = {
         c: F.when(F.right("access_id", F.lit(1)) == str(d), F.lit(v)).otherwise(col(c))
         for d, (c, v) in enumerate(SPOILED.items())
