@@ -13,7 +13,7 @@ from wardline.plans import alerts as alert_plan, train as train_plan
 from wardline.schemas import FEATURES
 from wardline.session import fresh_path
 from wardline.sources import model_store, sample_views as views, writers
-from wardline.streaming import ingest, jobs, trailing
+from wardline.streaming import ingest, jobs, trailing, watch
 
 col = F.col
 
@@ -239,6 +239,19 @@ def stream_sessions(q: Inputs):
     return out.select("user_id", time_text("session_start"), "events")
 
 
+@query("d17_watch_stream", """
+, m AS (SELECT DISTINCT user_id, decided_at FROM decisions WHERE decision = 'Monitor')
+SELECT l.access_id, l.user_id, strftime(max(decided_at), '%Y-%m-%d %H:%M:%S') AS watched_since FROM fx_logs l
+JOIN m ON l.user_id = m.user_id AND l.timestamp BETWEEN decided_at AND decided_at + INTERVAL 48 HOUR GROUP BY 1, 2""")
+def watch_stream(q: Inputs):
+    """The watch list from two streams: settled events from the stream, open ones added."""
+    path = fresh_path(q.spark, "decision_log")
+    q.decisions.write.parquet(path)
+    log = q.spark.readStream.schema(q.decisions.schema).parquet(path)
+    out = watch.whole_watch(_log_stream(q), log, q.logs, q.decisions, *_paths(q, "watch"))
+    return out.select("access_id", "user_id", time_text("watched_since"))
+
+
 @query("t6_response")
 def responses(q: Inputs):
     """Scored requests with reuse: one evaluation per content, copies marked."""

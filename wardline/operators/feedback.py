@@ -38,9 +38,10 @@ def training_feedback(enriched: DataFrame, decisions: DataFrame) -> DataFrame:
 def watch_list(logs: DataFrame, decisions: DataFrame, hours: int = WATCH_HOURS) -> DataFrame:
     """Events of a user in the ``hours`` after a Monitor decision.
 
-    Only the latest decision before an event matters, so no event-decision pairs are formed.
+    Only the latest decision before an event matters, so no event-decision pairs are formed. A decision without a user
+    watches nobody.
     """
-    monitored = decisions.where(F.col("decision") == "Monitor").select(
+    monitored = decisions.where((F.col("decision") == "Monitor") & F.col("user_id").isNotNull()).select(
         "user_id", F.col("decided_at").alias("timestamp")
     )
     seen = last_before(logs, monitored, "user_id", "timestamp", "watched_since")
