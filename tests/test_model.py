@@ -145,6 +145,29 @@ def test_attribution_equals_brute_force(table, model):
         assert phi.sum() == pytest.approx(walk(x[None, :])[0] - walk(z).mean(), abs=1e-9)
 
 
+def test_blocks_of_leaves_give_the_sum_of_all_leaves(table, model, monkeypatch):
+    """A row looks up one value per block, not one per leaf; also on cuts, and with blocks of any size."""
+    arrays = model.arrays()
+    rng = np.random.default_rng(5)
+    xs = rng.normal(0, 2, (300, 4))
+    cuts = arrays["threshold"][~arrays["is_leaf"]]
+    xs[:100, :3] = rng.choice(cuts, (100, 3))
+    back = rng.normal(0, 2, (20, 4))
+    for codes, most in ((1, 1.0), (64, 0.7), (2_048, 0.3)):
+        monkeypatch.setattr(at, "BLOCK_CODES", codes)
+        leaves = at.leaf_table(arrays)
+        assert sum(len(t["leaves"]) - 1 for t in leaves["trees"]) <= most * len(leaves["value"])
+        masks = at.background_masks(at.met_bits(back, leaves))
+        values = at.LeafValues(masks, leaves)
+        want = np.zeros(xs.shape)
+        for leaf, bits in enumerate(at.met_bits(xs, leaves).T.astype(np.int64)):
+            some, which = np.unique(leaf << leaves["width"] | bits, return_inverse=True)
+            np.add.at(want.T, leaves["feature"][leaf], values.of_leaves(some)[which].T)
+        assert values.sums(xs[:7]) == pytest.approx(want[:7], abs=1e-12)
+        assert values.sums(xs) == pytest.approx(want, abs=1e-12)
+        assert all(len(v) <= 1 + len(p) for v, p in zip(values.values, values.place))
+
+
 def test_explain_adds_up_in_spark(table, model):
     rows = at.background_rows(table, model, "access_id", 20)
     out = at.explain(table.where("access_id >= 3025"), model, rows).collect()

@@ -11,6 +11,7 @@ Negative values push towards "anomalous".
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +23,12 @@ from wardline.operators.forest import Forest, seeded_sample
 
 TOP = 3
 BACKGROUND = 50
-ROWS_AT_ONCE = 64  # rows whose leaves are looked up together
+ROWS_AT_ONCE = 2_048  # rows that go through a tree together
+BLOCK_CODES = 2_048  # ways in which a row can lie towards the leaves of one block
 
 
 def leaf_table(model: dict) -> dict:
-    """Every leaf with the interval (low, high] each of its path features must lie in."""
+    """Every leaf with the interval (low, high] each of its path features must lie in, and the trees' blocks."""
     feats, lows, highs, values = [], [], [], []
     for root in model["roots"]:
         stack = [(int(root), {})]
@@ -42,14 +44,91 @@ def leaf_table(model: dict) -> dict:
             lo, hi = box.get(f, (-math.inf, math.inf))
             stack.append((left, {**box, f: (lo, min(hi, cut))}))
             stack.append((left + 1, {**box, f: (max(lo, cut), hi)}))
-    width = max(1, max(map(len, feats)))
+    width, inner = max(1, max(map(len, feats))), ~model["is_leaf"]
     pad = lambda rows, fill: np.array([r + [fill] * (width - len(r)) for r in rows])
-    return {
+    table = {
         "feature": pad(feats, 0).astype(np.int64),
         "low": pad(lows, -math.inf).astype(float),
         "high": pad(highs, math.inf).astype(float),
         "value": np.array(values) / len(model["roots"]),
         "width": width,
+        "cuts": {int(f): np.unique(model["threshold"][inner & (model["feature"] == f)]) for f in np.unique(model["feature"][inner])},
+        "trees": [],
+    }
+    leaf = 0
+    for root in model["roots"]:
+        blocks = _blocks(model, int(root))
+        if blocks[0][0] or blocks[0][1]:  # else the tree is a single leaf
+            table["trees"].append(_tree_codes(blocks, table["cuts"], leaf))
+        leaf += sum(b[3] for b in blocks)
+    return table
+
+
+def _blocks(model: dict, root: int) -> list[tuple[dict, dict, int, int]]:
+    """The tree cut into subtrees towards which a row can lie in at most ``BLOCK_CODES`` ways, or single leaves.
+
+    Each block is (cuts inside it by feature, box of its path, ways, leaves), in the order of the leaves.
+    """
+    inside: dict[int, tuple[dict, int]] = {}
+
+    def below(at: int) -> tuple[dict, int]:
+        if at not in inside:
+            cuts: dict[int, set] = {}
+            leaves = 1
+            if not model["is_leaf"][at]:
+                left = int(model["left"][at])
+                parts = below(left), below(left + 1)
+                for f, some in [x for part in parts for x in part[0].items()]:
+                    cuts.setdefault(f, set()).update(some)
+                cuts.setdefault(int(model["feature"][at]), set()).add(float(model["threshold"][at]))
+                leaves = parts[0][1] + parts[1][1]
+            inside[at] = cuts, leaves
+        return inside[at]
+
+    found, stack = [], [(root, {})]
+    while stack:
+        at, box = stack.pop()
+        cuts, leaves = below(at)
+        ways = math.prod(len(cuts.get(f, ())) + 1 + (f in box) for f in {*cuts, *box})
+        if ways <= BLOCK_CODES or leaves == 1:
+            found.append((cuts, box, ways, leaves))
+            continue
+        f, cut, left = int(model["feature"][at]), float(model["threshold"][at]), int(model["left"][at])
+        lo, hi = box.get(f, (-math.inf, math.inf))
+        stack.append((left, {**box, f: (lo, min(hi, cut))}))
+        stack.append((left + 1, {**box, f: (max(lo, cut), hi)}))
+    return found
+
+
+def _tree_codes(blocks: list[tuple], cuts: dict[int, np.ndarray], leaf: int) -> dict:
+    """How to add up a row's code in each block of a tree from its features' places among the forest's cuts.
+
+    Towards a block a feature is either outside its path's interval or between two cuts inside the block.
+    """
+    features = sorted({f for inside, box, *_ in blocks for f in (*inside, *box)})
+    first = np.cumsum([0] + [ways for *_, ways, _ in blocks])
+    stride = [1] * len(blocks)
+    steps = []
+    for f in features:
+        # a row at place r lies in (cuts[r - 1], cuts[r]]; only the tree's own cuts make a difference
+        own = np.unique([c for inside, box, *_ in blocks for c in (*inside.get(f, ()), *box.get(f, ())) if np.isfinite(c)])
+        upper = np.append(own, math.inf)
+        digits = np.zeros((len(upper), len(blocks)), np.int32)
+        for b, (inside, box, *_) in enumerate(blocks):
+            if f not in inside and f not in box:
+                continue
+            digit = np.searchsorted(np.sort(list(inside.get(f, ()))), upper)
+            if f in box:
+                low, high = box[f]
+                digit = np.where((upper > low) & (upper <= high), digit + 1, 0)
+            digits[:, b] = digit * stride[b]
+            stride[b] *= len(inside.get(f, ())) + 1 + (f in box)
+        steps.append((f, np.searchsorted(own, np.append(cuts[f], math.inf)), digits))
+    return {
+        "features": np.array(features),
+        "steps": steps,
+        "first": first.astype(np.int32),
+        "leaves": leaf + np.cumsum([0] + [n for *_, n in blocks]),
     }
 
 
@@ -81,9 +160,9 @@ def shapley_weights(width: int) -> np.ndarray:
 
 
 class LeafValues:
-    """What each leaf adds to the features on its path, by the mask of a row; worked out once per leaf and mask.
+    """What the leaves of each block add to the features, by the code of a row; worked out once per block and code.
 
-    Memory is bounded by the model: at most 2^height masks for each leaf.
+    Memory is bounded by the model: at most ``BLOCK_CODES`` codes for each block.
     """
 
     def __init__(self, background: tuple, leaves: dict):
@@ -92,10 +171,10 @@ class LeafValues:
         self.weights = shapley_weights(width)
         self.set_bits = np.array([bin(m).count("1") for m in range(1 << width)], dtype=np.int64)
         self.first = np.searchsorted(self.leaf_of, np.arange(n + 1))  # background masks lie by leaf
-        self.place = np.full(n << width, -1, np.int32)  # row of ``values`` by leaf and mask; row 0 is all zero
-        self.values, self.known = np.zeros((1 << 12, width)), 1
+        self.place = [np.full(t["first"][-1], -1, np.int32) for t in leaves["trees"]]  # row of ``values`` by code
+        self.values = [np.zeros((1, len(t["features"]))) for t in leaves["trees"]]
 
-    def learn(self, codes: np.ndarray) -> None:
+    def of_leaves(self, codes: np.ndarray) -> np.ndarray:
         """Values of distinct codes (leaf << width | mask): the sum over the background masks of the leaf."""
         width = self.leaves["width"]
         leaf, mask = codes >> width, (codes & ((1 << width) - 1)).astype(self.mask_of.dtype)
@@ -109,35 +188,47 @@ class LeafValues:
         n_x, n_b = self.set_bits[only_x], self.set_bits[only_b]
         value = self.leaves["value"][leaf[one]] * self.share_of[at]
         gain, loss = self.weights[n_x, n_b] * value, self.weights[n_b, n_x] * value
-        found = np.stack(
+        return np.stack(
             [np.bincount(one, gain * (only_x >> j & 1) - loss * (only_b >> j & 1), len(codes)) for j in range(width)],
             axis=1,
         )
-        some = found.any(axis=1)
-        self.place[codes] = 0
-        after = self.known + int(some.sum())
-        self.place[codes[some]] = np.arange(self.known, after)
-        if after > len(self.values):
-            grown = np.zeros((2 * after, width))
-            grown[: self.known] = self.values[: self.known]
-            self.values = grown
-        self.values[self.known : after] = found[some]
-        self.known = after
+
+    def learn(self, tree: int, z: np.ndarray, codes: np.ndarray) -> None:
+        """Values of the codes of a tree's blocks that are new among those of the rows ``z``."""
+        shape, leaves = self.leaves["trees"][tree], self.leaves
+        new, at = np.unique(np.where(self.place[tree][codes] < 0, codes, -1), return_index=True)
+        new, at = new[new >= 0], at[new >= 0]
+        row, block = np.divmod(at, codes.shape[1])
+        n = shape["leaves"][block + 1] - shape["leaves"][block]
+        one = np.repeat(np.arange(len(new)), n)
+        leaf = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(shape["leaves"][block], n)
+        v = z[row[one][:, None], leaves["feature"][leaf]]
+        met = (v > leaves["low"][leaf]) & (v <= leaves["high"][leaf])
+        masks = met @ (1 << np.arange(leaves["width"], dtype=np.int64))
+        known, back = np.unique((leaf << leaves["width"]) | masks, return_inverse=True)
+        own = np.searchsorted(shape["features"], leaves["feature"][leaf])
+        own = np.minimum(own, len(shape["features"]) - 1)  # padding adds nothing, whatever feature it names
+        target = one[:, None] * len(shape["features"]) + own
+        found = np.bincount(target.ravel(), self.of_leaves(known)[back].ravel(), len(new) * len(shape["features"]))
+        self.place[tree][new] = np.arange(len(new)) + len(self.values[tree])
+        self.values[tree] = np.concatenate([self.values[tree], found.reshape(len(new), -1)])
 
     def sums(self, z: np.ndarray) -> np.ndarray:
-        width, n_features = self.leaves["width"], z.shape[1]
-        base = np.arange(len(self.leaves["value"]), dtype=np.int64) << width
-        out = np.zeros((len(z), n_features))
+        out = np.zeros(z.shape)
         for lo in range(0, len(z), ROWS_AT_ONCE):
-            codes = base | met_bits(z[lo : lo + ROWS_AT_ONCE], self.leaves)
-            new = codes[self.place[codes] < 0]
-            if len(new):
-                self.learn(np.unique(new))
-            place = self.place[codes]
-            row, leaf = np.nonzero(place)
-            target = row[:, None] * n_features + self.leaves["feature"][leaf]
-            total = np.bincount(target.ravel(), self.values[place[row, leaf]].ravel(), len(codes) * n_features)
-            out[lo : lo + len(codes)] = total.reshape(len(codes), n_features)
+            part = z[lo : lo + ROWS_AT_ONCE]
+            places = {f: np.searchsorted(cuts, part[:, f]) for f, cuts in self.leaves["cuts"].items()}
+            for t, shape in enumerate(self.leaves["trees"]):
+                codes = np.repeat(shape["first"][None, :-1], len(part), axis=0)
+                for f, own, digits in shape["steps"]:
+                    codes += digits.take(own.take(places[f]), axis=0)
+                if (self.place[t].take(codes) < 0).any():
+                    self.learn(t, part, codes)
+                place = self.place[t].take(codes.T)
+                total = self.values[t].take(place[0], axis=0)
+                for one in place[1:]:
+                    total += self.values[t].take(one, axis=0)
+                out[lo : lo + len(part), shape["features"]] += total
         return out
 
 
@@ -152,22 +243,34 @@ def background_rows(df: DataFrame, forest: Forest, id_col: str, n: int) -> np.nd
     return rows.select(*forest.features).toPandas().to_numpy(float)
 
 
+_kept: dict[str, LeafValues] = {}
+
+
+def values_of(name: str, background: tuple, leaves: dict) -> LeafValues:
+    """The values of the forest explained last; a Python worker keeps what it has learnt from task to task."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = LeafValues(background, leaves)
+    return _kept[name]
+
+
 def attribution(forest: Forest, background: np.ndarray) -> Column:
     """array<double>, one value per feature in model order."""
     model = forest.arrays()
     leaves = leaf_table(model)
     masks = background_masks(met_bits((background - model["mean"]) / model["std"], leaves))
-    shared = forest.spark.sparkContext.broadcast((model["mean"], model["std"], leaves, masks))
+    shared, name = forest.spark.sparkContext.broadcast((model["mean"], model["std"], leaves, masks)), uuid.uuid4().hex
 
     @F.pandas_udf("array<double>")
     def attribute(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         mean, std, table, masks = shared.value
-        values = LeafValues(masks, table)
+        values = values_of(name, masks, table)
         for cols in batches:
             x = np.column_stack([c.to_numpy(float) for c in cols])
             yield pd.Series(list(values.sums((x - mean) / std)))
 
-    return attribute(*[F.col(f) for f in forest.features])
+    # a filter inferred from what is done with the array would else run the function a second time, before the shuffle
+    return attribute.asNondeterministic()(*[F.col(f) for f in forest.features])
 
 
 def explain(flagged: DataFrame, forest: Forest, background: np.ndarray) -> DataFrame:
