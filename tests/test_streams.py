@@ -5,7 +5,7 @@ import json
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from wardline.catalog.registry import Inputs
 from wardline.plans.enrich import enrich
@@ -138,6 +138,49 @@ def test_late_events_revise(spark, tmp_path):
     assert every.count() > 244
 
 
+def test_one_call_of_the_state_serves_many_users():
+    """Users of a bucket, null among them, are counted apart; a later call returns only what it changes."""
+    held = []
+
+    class Held:
+        def get(self):
+            return iter(list(held))
+
+        def appendList(self, rows):
+            held.extend(rows)
+
+    class Handle:
+        def getListState(self, name, schema):
+            return Held()
+
+        def registerTimer(self, at):
+            pass
+
+    span = 3600 * trailing.SECOND
+    hour = trailing.TrailingHour("", ["id", "user"], "user", "n", span)
+    hour.init(Handle())
+    rnd = random.Random(4)
+    made = Row("micros_", "tie_", "own_", "id", "user")
+    rows = []
+    for i in range(400):  # of the hour 0, which counts, and of the hour before it
+        t = rnd.randrange(-60, 60) * 60 * trailing.SECOND
+        rows.append(made(t, i, t >= 0, i, rnd.choice([1, 2, 3, None])))
+    late = next(r for r in rows if r.user == 2 and r.own_)
+    rest = [r for r in rows if r is not late and not (r.user == 1 and r.micros_ > 0)]
+    latest = {r.id: r.n for r in hour.handleInputRows((0, 0), iter(rest), None)}
+    revised = {r.id: r.n for r in hour.handleInputRows((0, 0), iter([late]), None)}
+    by_id = {r.id: r for r in rows}
+    assert late.id in revised and {by_id[i].user for i in revised} == {2}
+    latest |= revised
+    seen = [*rest, late]
+    place = lambda r: (r.micros_, r.tie_)
+    want = {
+        r.id: sum(o.user == r.user and r.micros_ - span < o.micros_ and place(o) <= place(r) for o in seen)
+        for r in seen if r.own_
+    }
+    assert latest == want
+
+
 def test_state_falls_after_the_hour(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     batches = [[(10 * k + i, "u", start + dt.timedelta(hours=3 * k, minutes=i)) for i in range(5)] for k in range(4)]

@@ -188,13 +188,13 @@ def revised_features(q: Inputs):
     """The events in three micro-batches in no order of time: late ones revise those they change."""
     out, checkpoint = _paths(q, "revised")
     arriving = fresh_path(q.spark, "arriving")
-    for i in range(3):
-        q.logs.where(F.pmod(F.hash("access_id"), F.lit(3)) == i).coalesce(1).write.mode("append").parquet(arriving)
-    stream = ingest.log_files(q.spark, arriving, q.logs.schema, maxFilesPerTrigger=1)
-    run = jobs.score_stream_revised(
-        stream, q.profiles, views.REFERENCE_DATE, out, checkpoint, delay="36500 days", available_now=True
-    )
-    run.awaitTermination()
+    for i in range(3):  # each run goes on from the checkpoint and takes what has arrived since as one micro-batch
+        q.logs.where(F.pmod(F.hash("access_id"), F.lit(3)) == i).write.mode("append").parquet(arriving)
+        stream = ingest.log_files(q.spark, arriving, q.logs.schema)
+        run = jobs.score_stream_revised(
+            stream, q.profiles, views.REFERENCE_DATE, out, checkpoint, delay="36500 days", available_now=True
+        )
+        run.awaitTermination()
     return trailing.current(q.spark, out, "access_id").select("access_id", *FEATURES)
 
 

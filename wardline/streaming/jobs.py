@@ -93,11 +93,14 @@ def score_stream_revised(
     ``delay``. ``trailing.current`` reads the latest version of each event.
     """
     require_unique(profiles, ["user_id"], "profiles")
-    features = stateless_features(stream, profiles, reference_date)
+    others = [f for f in FEATURES if f != VELOCITY]
+    # the state works row by row, so the features go through it as one value, in the type they end in
+    packed = F.array(*[F.col(f).cast("double") for f in others]).alias("values_")
+    features = stateless_features(stream, profiles, reference_date).select(*IDS, packed)
     counted = trailing_stream(features, "user_id", "timestamp", "access_id", VELOCITY, delay, VELOCITY_SECONDS)
 
     def whole(batch: DataFrame) -> DataFrame:
-        done = finish(batch)
+        done = finish(batch.withColumns({f: F.get("values_", F.lit(i)) for i, f in enumerate(others)}))
         return done if model is None else model.score(done)
 
     return versions(counted, "timestamp", out, checkpoint, available_now, whole)
