@@ -161,6 +161,22 @@ def test_tokens(spark, odd_docs):
     assert bpe.round_trip(docs.limit(0)).collect() == []
 
 
+def test_memo_keeps_frequent_pieces(monkeypatch):
+    """Pieces met again and again are worked out once, however many others pass; ids stay the same."""
+    monkeypatch.setattr(bpe, "MEMO", 40)
+    codec, whole = bpe.Codec(bpe.vocabulary_of(None)), bpe.Codec(bpe.vocabulary_of(None))
+    worked, merge = [], codec.merge
+    monkeypatch.setattr(codec, "merge", lambda word: worked.append(word) or merge(word))
+    for i in range(300):
+        text = f"z the x{''.join(string.ascii_lowercase[int(c)] for c in str(i))}"
+        monkeypatch.setattr(bpe, "MEMO", 10**6)
+        want = whole.encode(text)
+        monkeypatch.setattr(bpe, "MEMO", 40)
+        assert codec.encode(text) == want
+        assert len(codec.later) + len(codec.later.older) <= 40
+    assert worked.count(b" the") == 1
+
+
 def test_lexicon():
     rnd = random.Random(5)
     words = sorted({bytes(rnd.choice(b"abc") for _ in range(rnd.randrange(1, 9))) for _ in range(800)})

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import itertools
 import json
 import mmap
 import re
@@ -235,24 +234,23 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else ""
 
 
-def halve(memo: dict) -> None:
-    """Forgets the older half of a full memo."""
-    if len(memo) >= MEMO:
-        for key in list(itertools.islice(memo, MEMO // 2)):
-            del memo[key]
-
-
 class Memo(dict):
     """Ids of pieces met lately, as text; a piece is a word or several with nothing between them.
 
-    ``lead`` is the space, if any, that comes before the piece.
+    ``lead`` is the space, if any, that comes before the piece. Once half of ``MEMO`` pieces are in, they become the
+    older half and the one before is forgotten, but for the pieces met again meanwhile.
     """
 
     def __init__(self, codec: Codec, lead: str):
-        self.codec, self.lead = codec, lead
+        self.codec, self.lead, self.older = codec, lead, {}
 
     def __missing__(self, piece: str) -> str:
-        halve(self)
+        if len(self) >= MEMO // 2:
+            self.older = dict(self)
+            self.clear()
+        if (ids := self.older.pop(piece, None)) is not None:
+            self[piece] = ids
+            return ids
         words = self.codec.pattern.findall(self.lead + piece)
         if len(words) == 1:
             ids = self.codec.word_ids(words[0])
