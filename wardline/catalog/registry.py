@@ -13,11 +13,15 @@ from wardline.catalog.prelude import PRELUDE, scaled_rounding
 from wardline.operators import rules
 from wardline.plans import enrich as plan
 from wardline.plans.train import Trained, fit
-from wardline.schemas import FEATURES
+from wardline.schemas import FEATURES, IDS
 from wardline.session import materialize
 from wardline.sources import sample_views as views
 
 
+# What the rules for labels read besides ids and features.
+LABEL_INPUTS = ["query_type", "destination", "data_sensitivity", "access_tier"]
+
+
 class Inputs:
     """Lazy views of one data folder. Only ``stored``, ``decisions`` and ``trained`` run jobs."""
 
@@ -37,6 +41,10 @@ class Inputs:
     def logs(self) -> DataFrame:
         return views.logs(self.spark, self.sf_dir)
 
+    @cached_property
+    def spread_logs(self) -> DataFrame:
+        return views.spread_logs(self.spark, self.sf_dir)
+
     @cached_property
     def profiles(self) -> DataFrame:
         return views.profiles(self.spark, self.sf_dir)
@@ -127,8 +135,20 @@ class Inputs:
     @property
     def stored(self) -> DataFrame:
         """The feature table, written once per application and folder; for jobs that read it often."""
+        return self._enriched_once.select(*IDS, *FEATURES)
+
+    @property
+    def stored_labels(self) -> DataFrame:
+        """The rows of ``labels``, from the stored feature table: features and trailing counts are not made again."""
+        return rules.typed_anomalies(self._enriched_once).select(
+            "access_id", "is_anomaly", "anomaly_type", "severity", "explanation"
+        )
+
+    @property
+    def _enriched_once(self) -> DataFrame:
         if self._key not in Inputs._stored:
-            Inputs._stored[self._key] = materialize(self.enriched, "enriched")
+            table = plan.enrich(self.spread_logs, self.profiles, views.REFERENCE_DATE, LABEL_INPUTS, self.logs)
+            Inputs._stored[self._key] = materialize(table, "enriched")
         return Inputs._stored[self._key]
 
     @property

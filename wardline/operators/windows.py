@@ -75,8 +75,8 @@ def trailing_count(
     (all of the cell before) minus what has left so far plus what has arrived so far. That is one
     running sum per (key, cell): one shuffle, linear work, no sliding frame.
 
-    A narrow pass with partial counts looks for cells of more than ``dense_cell_rows`` rows; if there are any,
-    the running sum is taken over sorted ranges instead, with the same result. Arrivals and departures are made
+    Narrow passes with partial counts look for keys, then cells, of more than ``dense_cell_rows`` rows; if there are
+    such cells, the running sum is taken over sorted ranges instead, with the same result. Arrivals and departures are made
     from the same row, so they always cancel.
     """
     span = seconds * MICROS
@@ -106,7 +106,9 @@ def trailing_count(
     both = F.when(F.col(ts).isNull(), F.array(arrives)).otherwise(F.array(arrives, leaves))
     steps = df.select(key, F.inline(both))
 
-    if _has_dense_cell(keys.select(key, cell(micros(F.col(ts))).alias("_c")), dense_cell_rows):
+    cells = keys.select(key, cell(micros(F.col(ts))).alias("_c"))
+    # a key of few rows has no cell of many, so most tables need no counts per cell
+    if _has_more(cells.select(key), dense_cell_rows) and _has_more(cells, dense_cell_rows):
         counted = _running_over_ranges(steps, [key, "_t", "_step", tiebreak])
     else:
         counted = _running_over_cells(steps, key, cell, tiebreak)
@@ -128,9 +130,9 @@ def _running_over_cells(steps: DataFrame, key: str, cell, tiebreak: str) -> Data
     return celled.withColumn("_count", F.sum("_step").over(so_far) + base)
 
 
-def _has_dense_cell(cells: DataFrame, limit: int) -> bool:
-    """Whether any (key, cell) has more than ``limit`` rows; counted map-side first."""
-    counts = cells.groupBy(*cells.columns).agg(F.count("*").alias("_n"))
+def _has_more(rows: DataFrame, limit: int) -> bool:
+    """Whether any row comes more than ``limit`` times; counted map-side first."""
+    counts = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
     return not counts.where(F.col("_n") > limit).isEmpty()
 
 

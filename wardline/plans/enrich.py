@@ -44,16 +44,21 @@ def finish(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
 
 
 def enrich(
-    logs: DataFrame, profiles: DataFrame, reference_date: str, extra: list[str] | None = None
+    logs: DataFrame,
+    profiles: DataFrame,
+    reference_date: str,
+    extra: list[str] | None = None,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """The feature table: one profile join, one shuffle for the trailing count.
 
     Only ids and numbers (and ``extra`` columns, if asked for) travel through that shuffle.
     ``profiles`` must have one row per user, as a second one would repeat events; that is checked first.
+    ``keys`` are the same events where their users and times are cheaper to read than from ``logs``.
     """
     require_columns(logs, LOG_INPUTS, "access logs")
     require_unique(profiles, ["user_id"], "profiles")
     featured = event_features(merge(logs, profiles, reference_date))
     keep = [f for f in FEATURES if f != VELOCITY]
     slim = featured.select(*IDS, *(extra or []), *keep)
-    return finish(with_velocity(slim, logs), extra)
+    return finish(with_velocity(slim, logs if keys is None else keys), extra)
