@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from wardline.catalog.registry import Inputs
+from wardline.catalog.registry import REGISTRY, Inputs
 from wardline.operators import windows
 from wardline.schemas import FEATURES, IDS
 from wardline.sources import sample_views as views
@@ -41,6 +41,10 @@ def rows_of(df):
     return sorted(map(repr, df.collect()))
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_row_group_is_dealt_before_columns_are_derived(spark, folder):
     q = Inputs(spark, folder)
     used = lambda df: df.select(F.spark_partition_id()).distinct().count()
@@ -65,3 +69,9 @@ def test_cells_are_counted_only_if_a_key_is_large(spark, monkeypatch):
     assert asked == [["u"]]
     assert count(3) == want and asked[1:] == [["u"], ["u", "_c"]]  # 4 events a key, 1 a cell
     assert count(0) == want and len(asked) == 5
+
+
+def test_labels_come_from_the_stored_table(spark, folder):
+    q = Inputs(spark, folder)
+    assert rows_of(q.stored_labels) == rows_of(q.labels)
+    assert "Window" not in plan_of(REGISTRY["m5_model_metrics"].run(q))
