@@ -75,3 +75,7 @@ def test_labels_come_from_the_stored_table(spark, folder):
     q = Inputs(spark, folder)
     assert rows_of(q.stored_labels) == rows_of(q.labels)
     assert "Window" not in plan_of(REGISTRY["m5_model_metrics"].run(q))
+
+
+def test_alert_labels_come_from_the_stored_table(spark, folder):
+    assert "Window" not in plan_of(REGISTRY["t1_alerts"].run(Inputs(spark, folder)))

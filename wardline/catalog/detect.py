@@ -143,12 +143,12 @@ def model_anomalies(q: Inputs):
 
 @query("t1_alerts")
 def alerts(q: Inputs):
-    return alert_plan.flagged_events(q.trained, q.logs, q.labels)
+    return alert_plan.flagged_events(q.trained, q.logs, q.stored_labels)
 
 
 @query("s9_alert_json")
 def alert_json(q: Inputs):
-    return writers.alerts_as_json(alert_plan.flagged_events(q.trained, q.logs, q.labels, limit=20))
+    return writers.alerts_as_json(alert_plan.flagged_events(q.trained, q.logs, q.stored_labels, limit=20))
 
 
 # --- streams -----------------------------------------------------------------------------
