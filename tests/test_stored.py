@@ -79,3 +79,10 @@ def test_labels_come_from_the_stored_table(spark, folder):
 
 def test_alert_labels_come_from_the_stored_table(spark, folder):
     assert "Window" not in plan_of(REGISTRY["t1_alerts"].run(Inputs(spark, folder)))
+
+
+def test_requests_are_hashed_once(spark, folder):
+    q = Inputs(spark, folder)
+    answers = REGISTRY["t6_response"].run(q)
+    assert "sha2(" not in plan_of(answers)
+    assert answers.count() > 0 and {r.reused for r in answers.collect()} <= {False, True}

@@ -11,7 +11,7 @@ from wardline.functions.text import content_hash, time_cell
 from wardline.operators import attribution, evaluate, filters, forest, triage
 from wardline.plans import alerts as alert_plan, train as train_plan
 from wardline.schemas import FEATURES
-from wardline.session import fresh_path
+from wardline.session import fresh_path, materialize
 from wardline.sources import model_store, sample_views as views, writers
 from wardline.streaming import ingest, jobs, trailing, watch
 
@@ -256,12 +256,13 @@ def watch_stream(q: Inputs):
 @query("t6_response")
 def responses(q: Inputs):
     """Scored requests with reuse: one evaluation per content, copies marked."""
-    hashed = q.logs.select(
+    requests = q.spread_logs.select(
         "access_id",
         "timestamp",
         content_hash(CONTENT).alias("event_hash"),
         time_cell(col("timestamp"), triage.TTL_SECONDS).alias("ttl_cell"),
     )
+    hashed = materialize(requests, "hashed")  # read twice, hashed once
     picked = triage.one_per_content(hashed, "event_hash", "timestamp", ["access_id"])
     once = picked.select("event_hash", "ttl_cell", F.col("access_id").alias("evaluated_as"))
     scored = q.trained.scored().select(
