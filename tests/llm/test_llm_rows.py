@@ -177,6 +177,54 @@ def test_memo_keeps_frequent_pieces(monkeypatch):
     assert worked.count(b" the") == 1
 
 
+def odd_texts(n: int, most: int) -> list[str]:
+    rnd = random.Random(7)
+    parts = [" ", "  ", "\n", "a", "é", "漢", "😀", "'", "'s", "'re", "l", "ve", "s", "1", "٣", "\x1c", "\u0301", "..", "-", "\xa0", "\u2028"]
+    return ["".join(rnd.choice(parts) for _ in range(rnd.randrange(most))) for _ in range(n)]
+
+
+def test_words_of_many_texts():
+    import regex
+
+    texts = odd_texts(20_000, 14)
+    found = bpe.cut(texts, bpe.kinds_of_points())
+    words = [w.decode() for w in found.words.to_pylist()]
+    first = found.first.tolist()
+    assert [words[lo:hi] for lo, hi in zip(first, first[1:])] == [regex.findall(bpe.PATTERN, t) for t in texts]
+
+
+def test_new_words_are_merged_together(monkeypatch):
+    """New words, however many, cost no merges one by one; only words beyond ``SHORT`` bytes do."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_path())
+    rnd = random.Random(9)
+    word = lambda n: "".join(rnd.choice("abcdehinorstu\u00e9") for _ in range(n))
+    texts = ["", *(" ".join(word(rnd.randrange(1, 15)) for _ in range(200)) for _ in range(40)), word(60) + " the", "<|endoftext|>" * 2 + "a"]
+    texts += odd_texts(200, 30)
+    known = sorted({w.encode() for w in texts[1].split(" ")})
+    plain = bpe.Codec(bpe.vocabulary_of(None))
+    for lexicon in (None, bpe.Lexicon.compile(known, {w: plain.merge(w) for w in known})):
+        codec = bpe.Codec(bpe.vocabulary_of(None), lexicon)
+        worked, merge = [], codec.merge
+        monkeypatch.setattr(codec, "merge", lambda w: worked.append(w) or merge(w))
+        got = codec.encode_all(texts)
+        assert [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [codec.decode(x) for x in got] == texts
+        assert all(len(w) > bpe.SHORT for w in worked) and len(worked) < 5
+        assert [codec.text_ids(x) for x in got] == [codec.encode(t) for t in texts]
+
+
+def test_long_texts_in_parts(monkeypatch):
+    texts = odd_texts(300, 400)
+    codec = bpe.Codec(bpe.vocabulary_of(None))
+    whole = [x.tolist() for x in codec.encode_all(texts)]
+    monkeypatch.setattr(bpe, "AT_ONCE", 20)
+    assert max(sum(len(t) for _, t in held) for held in bpe.grouped(enumerate(["a b\n" * 99]), 20)) < 25
+    assert [x.tolist() for x in codec.encode_all(texts)] == whole
+    assert [codec.decode(codec.encode_all([t])[0]) for t in texts] == texts
+
+
 def test_lexicon():
     rnd = random.Random(5)
     words = sorted({bytes(rnd.choice(b"abc") for _ in range(rnd.randrange(1, 9))) for _ in range(800)})

@@ -5,6 +5,9 @@ that shares prefixes and suffixes. Numbers on its edges add up to a word's row i
 gives the ids. The automaton is a flat file that each task maps into memory; words outside it are merged
 exactly, pair by pair in order of rank. The lexicon saves time and never changes a result.
 
+Texts are cut and encoded a slice at a time: the slice's different words walk the automaton together, and those
+outside it are merged together, in NumPy arrays.
+
 Defined results: a null or empty text has no ids and decodes to an empty text; the vocabulary's added tokens
 are matched in texts as whole tokens, as the tokenizers library does by default; texts and words of any length
 take time n log n in the longest word; repeated rows give repeated results; other columns are dropped unless
@@ -20,26 +23,113 @@ import mmap
 import re
 import struct
 import tempfile
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain, islice
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from wardline.llm.common import small_batches, tables, tidy
+from wardline.llm.common import small_batches, tables
 
 LEXICON_WORDS = 1 << 17  # most frequent words that are compiled
-MEMO = 200_000  # distinct pieces after a space, and as many others, a Python worker remembers at once
+AT_ONCE = 1 << 21  # characters cut and encoded together
+MEMO = 200_000  # distinct pieces after a space, and as many others, ``Codec.encode`` remembers at once
 SHORT = 32  # bytes of words whose pairs are simply searched for each merge
-NEW, NEVER = (1 << 24) - 1, 1 << 62  # a merge is its rank and, in the low bits, the id it makes
-COUNTED = 200_000  # distinct pieces a task counts before it hands them on
+NEW, NEVER = (1 << 24) - 1, 1 << 50  # a merge is its rank and, in the low bits, the id it makes
+COUNTED = 1_000_000  # distinct words of slices a task counts before it hands them on
 LEAST = 4  # counts below this within one such hand-over can't make a word frequent
 
 #: how the vocabulary cuts text into words (fixed value)
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # a space next to other white space or at the end: then cutting at spaces would differ from the pattern
 _ODD = re.compile(r" (?:\s|\Z)|\s |[\x1c-\x1f]")
+_CUT = re.compile(r"(?<=\S)(?=[ \n])")  # a text cut here has the same words
+
+
+def kinds_of_points() -> np.ndarray:
+    """What the pattern takes each code point for: 1 letter, 2 number, 3 white space, 0 other."""
+    points = "".join(map(chr, range(0x110000)))
+    kinds = np.zeros(len(points), np.uint8)
+    for kind, one in enumerate((r"\p{L}+", r"\p{N}+", r"\s+"), 1):
+        for m in regex.finditer(one, points):
+            kinds[m.start() : m.end()] = kind
+    return kinds
+
+
+class Cut(NamedTuple):
+    """Words of texts in order: word i is data[off[i]:off[i + 1]], text j has the words first[j] to first[j + 1]."""
+
+    data: np.ndarray
+    off: np.ndarray
+    first: np.ndarray
+
+    @property
+    def words(self) -> pa.Array:
+        buffers = [None, pa.py_buffer(self.off), pa.py_buffer(self.data)]
+        return pa.Array.from_buffers(pa.large_binary(), len(self.off) - 1, buffers)
+
+
+def cut(texts: list[str], kinds: np.ndarray) -> Cut:
+    """The words of the texts as ``PATTERN`` finds them in each; ``kinds`` is that of all code points."""
+    whole = "".join(texts)
+    data = np.frombuffer(whole.encode(), np.uint8)
+    point = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+    n = len(point)
+    rows = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(t) for t in texts], out=rows[1:])
+    head = np.zeros(n + 4, bool)  # where a text begins, and beyond the last
+    head[rows] = head[n:] = True
+    kind = kinds[point]
+    white = kind == 3
+    begins = head[:n].copy()
+    # a change of kind begins a word, but a space belongs to what follows
+    begins[1:] |= (kind[1:] != kind[:-1]) & ((point[:-1] != 32) | head[1:n])
+    # of white space before a word, the last character stands apart
+    begins[1:-1] |= white[:-2] & white[1:-1] & ~white[2:] & ~head[2:n]
+    quote = np.flatnonzero(begins & (point == 39))
+    if len(quote):
+        after = np.append(point, [0, 0, 0])
+        one, two = after[quote + 1], after[quote + 2]
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = np.zeros(len(quote), bool)
+        for a, b in ("re", "ve", "ll"):
+            long |= (one == ord(a)) & (two == ord(b))
+        short &= ~head[quote + 1]
+        long &= ~head[quote + 1] & ~head[quote + 2]
+        begins[quote[short | long] + 1] = False
+        ends = np.concatenate([quote[short] + 2, quote[long] + 3])
+        begins[ends[ends < n]] = True
+    begin = np.flatnonzero(begins)
+    at = begin if len(data) == n else np.flatnonzero((data & 0xC0) != 0x80)[begin]
+    return Cut(data, np.append(at, len(data)), np.searchsorted(begin, rows))
+
+
+def grouped(texts: Iterable[tuple[int, str]], most: int) -> Iterator[list[tuple[int, str]]]:
+    """Numbered texts in lists of about ``most`` characters; a longer text comes in parts that share no word."""
+    held, size = [], 0
+    for number, text in texts:
+        lo = 0
+        while lo < len(text):
+            found = _CUT.search(text, lo + most) if len(text) - lo > most else None
+            hi = found.start() if found else len(text)
+            held.append((number, text[lo:hi]))
+            size += hi - lo
+            lo = hi
+            if size >= most:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _spans(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for count[0] numbers, then the same from start[1], and so on."""
+    ends = np.cumsum(count)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + count, count)
 
 
 def default_path() -> str:
@@ -129,6 +219,8 @@ class Lexicon:
         self.final = memoryview(self.file)[at : at + n_states]
         self.labels = memoryview(self.file)[at + n_states :]
         self.met: list[dict[int, tuple[int, int]] | None] = [None] * n_states
+        states = np.repeat(np.arange(n_states), np.diff(self.first))
+        self.keys = np.append(states << 8 | np.asarray(self.labels), 1 << 62)  # ascending, as the edges stand
 
     def edges(self, state: int) -> dict[int, tuple[int, int]]:
         """Byte: target and number of a state's edges, read from the file when first met."""
@@ -146,6 +238,22 @@ class Lexicon:
             row += edge[1]
         return row if self.final[state] else -1
 
+    def find_all(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """``find`` for the words data[off[i]:off[i + 1]], all a byte further at each step."""
+        targets, adds, length = np.asarray(self.targets), np.asarray(self.adds), np.diff(off)
+        state, row = np.full(len(length), self.root), np.zeros(len(length), np.int64)
+        at, step = np.arange(len(length)), 0
+        while len(at := at[length[at] > step]):
+            key = state[at] << 8 | data[off[at] + step]
+            edge = np.searchsorted(self.keys, key)
+            there = self.keys[edge] == key
+            state[at[~there]], row[at[~there]] = 0, -1
+            at, edge = at[there], edge[there]
+            state[at] = targets[edge]
+            row[at] += adds[edge]
+            step += 1
+        return np.where(np.asarray(self.final)[state] > 0, row, -1)
+
     def ids(self, row: int) -> list[int]:
         return self.flat[self.starts[row] : self.starts[row + 1]].tolist()
 
@@ -168,8 +276,15 @@ class Codec:
         self.bytes_of |= {str(i): t.encode() for t, i in self.added.items()}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.pattern = regex.compile(PATTERN)
+        self.kinds = kinds_of_points()
         self.lexicon = Lexicon(lexicon) if lexicon else None
-        self.names = {i: str(i) for i in vocab.values()}
+        self.names = {i: str(i) for i in [*vocab.values(), *self.added.values()]}
+        pairs = sorted((a << 24 | b, code) for (a, b), code in self.merges.items())
+        self.pairs = np.array([*(p for p, _ in pairs), NEVER])
+        self.codes = np.array([*(c for _, c in pairs), NEVER])
+        tokens = [self.bytes_of.get(str(i), b"") for i in range(max(self.names) + 1)]
+        self.token_len = np.array([len(t) for t in tokens])
+        self.token_at, self.token_bytes = np.cumsum(self.token_len) - self.token_len, np.frombuffer(b"".join(tokens), np.uint8)
         self.first, self.later = Memo(self, ""), Memo(self, " ")
 
     def merge(self, word: bytes) -> list[int]:
@@ -208,6 +323,85 @@ class Codec:
                 heapq.heappush(heap, (m, h))
         return [x for x in ids if x >= 0]
 
+    def merge_all(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``merge`` for the words data[off[i]:off[i + 1]]: numbers of words, how many ids each has, and these ids.
+
+        Words stand in columns, between rows without a token; at each step, every word joins its first pair of lowest
+        rank. A place takes eight bits, so words may have 250 bytes.
+        """
+        length = np.diff(off)
+        at, place = np.arange(len(length)), np.arange(length.max(initial=0) + 2)[:, None]
+        inside = (place > 0) & (place <= length)
+        ids = np.full(inside.shape, NEW)
+        ids.T[inside.T] = np.array(self.byte_id)[data[off[0] : off[-1]]]
+        order = self._codes(ids[:-1], ids[1:]) << 8 | place[:-1]  # between equal pairs, the first
+        while len(at):
+            first = order.min(0)
+            ends = first >= NEVER << 8
+            if ends.any():
+                done = ids[:, ends].T
+                yield at[ends], (done != NEW).sum(1), done[done != NEW]
+                at, ids, order, first = at[~ends], ids[:, ~ends], order[:, ~ends], first[~ends]
+            column, row = np.arange(len(at)), first & 255
+            later = place[:-1] > row
+            np.copyto(ids[:-1], ids[1:], where=later)
+            np.copyto(order[:-1], order[1:] - 1, where=later[:-1])
+            ids[row, column] = first >> 8 & NEW
+            for here in (row - 1, row):
+                order[here, column] = self._codes(ids[here, column], ids[here + 1, column]) << 8 | here
+
+    def _codes(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pair = left << 24 | right
+        at = np.searchsorted(self.pairs, pair)
+        return np.where(self.pairs[at] == pair, self.codes[at], NEVER)
+
+    def _slice_ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; a word is worked out once."""
+        words = cut(texts, self.kinds)
+        coded = words.words.dictionary_encode()
+        _, off, data = coded.dictionary.buffers()
+        n, number = len(coded.dictionary), coded.indices.to_numpy()
+        off = np.frombuffer(off, np.int64)[: n + 1]
+        data = np.frombuffer(data, np.uint8)
+        start, count, length = np.zeros(n, np.int64), np.zeros(n, np.int64), np.diff(off)
+        pool, held = [], 0
+        found = self.lexicon.find_all(data, off) if self.lexicon else np.full(n, -1)
+        if self.lexicon:
+            starts, known = np.asarray(self.lexicon.starts), found >= 0
+            start[known], count[known] = starts[found[known]], np.diff(starts)[found[known]]
+            pool, held = [np.asarray(self.lexicon.flat)], len(self.lexicon.flat)
+        left = np.flatnonzero(found < 0)
+        groups = [left[(length[left] > lo) & (length[left] <= hi)] for lo, hi in ((0, 8), (8, 16), (16, SHORT))]
+        for group in groups:
+            ends = np.concatenate([[0], np.cumsum(length[group])])
+            for some, counts, ids in self.merge_all(data[_spans(off[group], length[group])], ends):
+                some = group[some]
+                start[some], count[some] = held + np.cumsum(counts) - counts, counts
+                pool.append(ids)
+                held += len(ids)
+        for i in left[length[left] > SHORT].tolist():
+            ids = self.merge(data[off[i] : off[i + 1]].tobytes())
+            start[i], count[i] = held, len(ids)
+            pool.append(np.array(ids))
+            held += len(ids)
+        every = count[number]
+        flat = np.concatenate(pool)[_spans(start[number], every)].astype(np.int32)
+        bounds = np.concatenate([[0], np.cumsum(every)])[words.first].tolist()
+        return [flat[lo:hi] for lo, hi in zip(bounds, bounds[1:])]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        cuts = [self.special.split(t) if self.added else [t] for t in texts]
+        parts = list(chain.from_iterable(cuts))
+        ids = [[np.array([self.added[p]], np.int32)] if p in self.added else [] for p in parts]
+        plain = ((i, p) for i, p in enumerate(parts) if p not in self.added)
+        for held in grouped(plain, AT_ONCE):
+            for (i, _), found in zip(held, self._slice_ids([p for _, p in held])):
+                ids[i].append(found)
+        rest = iter(ids)
+        rows = (list(chain.from_iterable(islice(rest, len(c)))) for c in cuts)
+        return [x[0] if len(x) == 1 else np.concatenate([*x, np.zeros(0, np.int32)]) for x in rows]
+
     def word_ids(self, word: str) -> str:
         """Ids of one word in decimal, joined by commas."""
         raw = word.encode()
@@ -215,7 +409,7 @@ class Codec:
         return ",".join(map(self.names.__getitem__, self.merge(raw) if row < 0 else self.lexicon.ids(row)))
 
     def encode(self, text: str) -> str:
-        """Ids in decimal, joined by commas."""
+        """Ids of a single text in decimal, joined by commas; pieces met lately are remembered."""
         out = []
         for part in self.special.split(text) if self.added else (text,):
             if part in self.added:
@@ -230,8 +424,16 @@ class Codec:
         head, *rest = text.split(" ")
         return ([self.first[head]] if head else []) + list(map(self.later.__getitem__, rest))
 
-    def decode(self, ids: str) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else ""
+    def text_ids(self, ids: np.ndarray) -> str:
+        """Ids in decimal, joined by commas."""
+        return ",".join(map(self.names.__getitem__, ids.tolist()))
+
+    def decode(self, ids: np.ndarray) -> str:
+        parts = []
+        for lo in range(0, len(ids), AT_ONCE):
+            some = ids[lo : lo + AT_ONCE]
+            parts.append(self.token_bytes[_spans(self.token_at[some], self.token_len[some])].tobytes())
+        return b"".join(parts).decode("utf-8", "replace")
 
 
 class Memo(dict):
@@ -263,35 +465,24 @@ class Memo(dict):
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pattern = regex.compile(PATTERN)
-
-    def handed(heads: Counter, rest: Counter) -> pa.RecordBatch:
-        words: Counter = Counter()
-        for lead, counts in (("", heads), (" ", rest)):
-            for piece, n in counts.items():
-                if n >= LEAST:
-                    for w in pattern.findall(lead + piece):
-                        words[w] += n
-            counts.clear()
-        words = {w: n for w, n in words.items() if len(w) < 100}
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"]
-        )
-
-    tidy()
-    heads, rest = Counter(), Counter()
+    def handed() -> pa.RecordBatch:
+        counts = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        counts = counts.filter(pc.greater_equal(counts["n_sum"], LEAST))
+        words, n = counts["word"].cast(pa.string()).combine_chunks(), counts["n_sum"].combine_chunks()
+        short = pc.less(pc.utf8_length(words), 100)
+        return pa.RecordBatch.from_arrays([words.filter(short), n.filter(short)], ["word", "n"])
+
+    kinds = tables(b"kinds", kinds_of_points)
+    held: list[pa.Table] = []
     for batch in batches:
-        for text in batch.column(0):
-            text = text.as_py() or ""
-            if _ODD.search(text):
-                heads.update(pattern.findall(text))
-            else:
-                head, *tail = text.split(" ")
-                heads[head] += 1
-                rest.update(tail)
-            if len(rest) + len(heads) > COUNTED:
-                yield handed(heads, rest)
-    yield handed(heads, rest)
+        for texts in grouped(enumerate(x or "" for x in batch.column(0).to_pylist()), AT_ONCE):
+            counts = cut([text for _, text in texts], kinds).words.value_counts()
+            held.append(pa.table([counts.field(0), counts.field(1)], ["word", "n"]))
+            if sum(map(len, held)) > COUNTED:
+                yield handed()
+                held.clear()
+    if held:
+        yield handed()
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> DataFrame:
@@ -327,17 +518,15 @@ def _with_codec(docs: DataFrame, path: str | None, fields: str, names: list[str]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(*shared.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                columns = row(codec, [x or "" for x in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", *names])
+            columns = row(codec, [x or "" for x in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {fields}")
 
 
 def _ids(codec: Codec, texts: list[str]) -> list[pa.Array]:
-    ids = [[int(i) for i in s.split(",")] if (s := codec.encode(t)) else [] for t in texts]
+    ids = codec.encode_all(texts)
     return [pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))]
 
 
@@ -355,7 +544,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                texts = [codec.decode(",".join(map(str, x or ()))) for x in part.column(1).to_pylist()]
+                texts = [codec.decode(np.array(x or (), np.int64)) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
@@ -363,12 +552,12 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def _digests(codec: Codec, texts: list[str]) -> list[pa.Array]:
-    ids = [codec.encode(t) for t in texts]
+    ids = codec.encode_all(texts)
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     return [
-        pa.array([s.count(",") + 1 if s else 0 for s in ids], pa.int64()),
-        pa.array([sha(s) for s in ids]),
-        pa.array([sha(codec.decode(s)) for s in ids]),
+        pa.array([len(x) for x in ids], pa.int64()),
+        pa.array([sha(codec.text_ids(x)) for x in ids]),
+        pa.array([sha(codec.decode(x)) for x in ids]),
     ]
 
 
